@@ -70,7 +70,7 @@ def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
     """Lower the session's Arrow batches to ``rows`` rows and BYTES_PER_BATCH; smaller settings stay."""
     for kind, most in (("Records", rows), ("Bytes", BYTES_PER_BATCH)):
         key = f"spark.sql.execution.arrow.max{kind}PerBatch"
-        now = str(spark.conf.get(key, "0"))
+        now = str(spark.conf.get(key)).rstrip("b")
         if not now.isdigit() or int(now) <= 0 or int(now) > most:
             spark.conf.set(key, str(most))
 
