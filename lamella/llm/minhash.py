@@ -322,3 +322,23 @@ def keep(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
     found = classes(docs, size=size, percent=percent)
     kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+
+
+#: All pairs that share a shingle, and a recursive closure: for small tables.
+ORACLE = r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM w),
+n AS (SELECT doc_id, len(g) AS n_shingles, md5(array_to_string(list_sort(g), chr(10))) AS h, g FROM s),
+r AS (SELECT h, min(doc_id) AS rep, any_value(n_shingles) AS n, any_value(g) AS g FROM n WHERE n_shingles > 0 GROUP BY h),
+e AS (SELECT rep, n, unnest(g) AS x FROM r),
+p AS (SELECT a.rep AS a, b.rep AS b, a.n AS an, b.n AS bn, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * k >= 80 * (an + bn - k)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT a AS node, a AS seen FROM u UNION SELECT c.node, u.b FROM c JOIN u ON u.a = c.seen),
+m AS (SELECT node, min(seen) AS label FROM c GROUP BY node)
+SELECT n.doc_id, n.n_shingles::BIGINT AS n_shingles, coalesce(m.label, r.rep, n.doc_id) AS component_id, n.doc_id = coalesce(m.label, r.rep, n.doc_id) AS kept
+FROM n LEFT JOIN r ON r.h = n.h AND n.n_shingles > 0 LEFT JOIN m ON m.node = r.rep
+"""
