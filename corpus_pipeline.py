@@ -7,6 +7,7 @@ and returns a DataFrame; all but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lamella.llm import decontaminate, linededup, minhash, mixing, quality
 from lamella.llm.common import read, scratch_path
@@ -18,8 +19,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated passages; documents of which nothing is left go."""
-    return linededup.keep(docs)
+    """Texts without repeated passages, n_chars to match; documents of which nothing is left go."""
+    done = linededup.keep(docs)
+    return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in done.columns else done
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
