@@ -1,7 +1,7 @@
 """Removal of multi-line passages that repeat anywhere in the corpus.
 
-A text is cut into lines, and a line of more than LONG_LINE words further at
-its sentence ends.  A rolling hash over the last two line hashes ends a chunk
+A text is cut into lines, and a line of more than LONG_LINE words further after
+.!?,; marks.  A rolling hash over the last two line hashes ends a chunk
 wherever its value says so, hence by content: an insertion moves no boundary
 but those beside it.  Chunks of two lines or more whose hash occurs more than
 once are compared with their first occurrence byte for byte, and an equal one
@@ -25,12 +25,12 @@ from .common import map_arrow, small_batches, stored, text_bytes
 LONG_LINE = 20
 LEAST_LINES = 2
 #: Chunks of fewer words are too common to be a passage.
-LEAST_WORDS = 10
+LEAST_WORDS = 8
 #: Lines that a match may grow by on either side.
 REACH = 64
 SEEDS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 LINE = re.compile(rb"[^\n]*\n|[^\n]+")
-SENTENCE = re.compile(rb"[^.!?]*[.!?]+[ \t\r]*\n?|[^.!?]+")
+CLAUSE = re.compile(rb"[^.!?,;]*[.!?,;]+[ \t\r]*\n?|[^.!?,;]+")
 
 
 def lines_of(text: bytes) -> list[bytes]:
@@ -38,7 +38,7 @@ def lines_of(text: bytes) -> list[bytes]:
     out: list[bytes] = []
     for line in LINE.findall(text):
         if line.count(b" ") >= LONG_LINE:
-            out.extend(SENTENCE.findall(line))
+            out.extend(CLAUSE.findall(line))
         else:
             out.append(line)
     return out
