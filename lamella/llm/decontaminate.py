@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then local alignment.
 
 1. Every n-gram of the test items is counted over the whole corpus.
-2. Each item's rarest n-grams are its seeds.
+2. Of each item's n-grams that occur, the rarest are its seeds.
 3. Where a text has a seed, Smith-Waterman aligns the item with the words
    around it, so edited and paraphrased copies are found as well.
 
@@ -167,11 +167,11 @@ def blocks_of(benchmark: DataFrame, most: int = BLOCK_GRAMS) -> Iterator[list[tu
         yield sorted((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect())
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.4, seed_share: float = 0.6, most: int = BLOCK_GRAMS) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.4, seed_share: float = 0.8, most: int = BLOCK_GRAMS) -> DataFrame:
     """doc_id, item_id, score, word_start, word_end: every item that a text holds.
 
-    ``seed_share`` is the part of an item's n-grams, the rarest ones, that seed
-    an alignment; at least eight do.  Null texts hold nothing; repeated rows
+    ``seed_share`` is the part of an item's n-grams that occur at all, the
+    rarest ones, that seed an alignment; at least eight do.  Null texts hold nothing; repeated rows
     repeat their hits; an empty benchmark gives no rows.
     """
     spark = docs.sparkSession
@@ -197,7 +197,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.4, seed_shar
             frequency[r["g"]] = r["n"]
         by_item: dict[int, list[tuple[int, int, int]]] = {}
         for g, owners in enumerate(block.owners):
-            for item, offset in owners:
+            for item, offset in owners if frequency[g] else ():
                 by_item.setdefault(item, []).append((int(frequency[g]), offset, g))
         seeds: dict[int, list[tuple[int, int]]] = {}
         for item, found in by_item.items():

@@ -297,6 +297,7 @@ def classes(docs: DataFrame, *, size: int = 2, percent: int = 80) -> DataFrame:
         component = F.coalesce("label", "rep", "doc_id")
     else:
         component = F.coalesce("rep", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
