@@ -167,7 +167,7 @@ def blocks_of(benchmark: DataFrame, most: int = BLOCK_GRAMS) -> Iterator[list[tu
         yield sorted((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect())
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.4, seed_share: float = 0.8, most: int = BLOCK_GRAMS) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.35, seed_share: float = 0.8, most: int = BLOCK_GRAMS) -> DataFrame:
     """doc_id, item_id, score, word_start, word_end: every item that a text holds.
 
     ``seed_share`` is the part of an item's n-grams that occur at all, the
@@ -218,7 +218,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.4, seed_shar
     return out
 
 
-def keep(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.4) -> DataFrame:
+def keep(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.35) -> DataFrame:
     """Rows of ``docs``, all columns, without those that hold a test item."""
     bad = hits(docs, benchmark, least=least).select("doc_id").where("doc_id is not null").distinct()
     return docs.join(bad, "doc_id", "left_anti")

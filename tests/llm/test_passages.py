@@ -115,7 +115,7 @@ def contaminated(rng, items, rate):
     return out
 
 
-@pytest.mark.parametrize(("rate", "least"), [(0.0, 1.0), (0.15, 1.0), (0.3, 0.85)])
+@pytest.mark.parametrize(("rate", "least"), [(0.0, 1.0), (0.15, 0.98), (0.3, 0.9)])
 def test_edited_copies_are_found(spark, rate, least):
     rng = random.Random(5)
     items = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randint(15, 50)))) for i in range(20)]
@@ -143,7 +143,7 @@ def test_hits_against_brute_force(spark, data):
     for r in docs.collect():
         ids = D.numbers(block, r.text or "")
         for i, w in block.items.items():
-            if np.isin(w, ids).sum() >= 0.4 * len(w) and D.align(w, ids)[0] >= 0.4 * D.MATCH * len(w):
+            if np.isin(w, ids).sum() >= 0.35 * len(w) and D.align(w, ids)[0] >= 0.35 * D.MATCH * len(w):
                 want.add((r.doc_id, i))
     assert got == want and got
 
