@@ -10,10 +10,11 @@ The work is spread so that no group of copies meets in one task as pairs:
 
 1. Documents with equal shingle sets become one class (a min and a count).
 2. Within a band's bucket each class is compared with the bucket's hub alone,
-   the bucket's smallest class: rows, not pairs, grow with a group.
+   a class that meets many others: rows, not pairs, grow with a group.
 3. Confirmed links join classes into components.  A bucket whose other members
-   lie in one component is finished.  The others take a new hub, twice more;
-   what then still differs is compared across components, cut by set size.
+   lie in one component is finished.  The others take a new hub, until few
+   pairs are left or HUB_TURNS is reached; then what still differs is compared
+   across components, cut by set size.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import map_arrow, remove_path, scratch_path, small_batches, text_bytes
@@ -35,7 +36,9 @@ PERMUTATIONS = BANDS * ROWS // 2
 PIECE = 1 << 11
 #: Values whose lowest four bits make up the sketch, packed in longs.
 SKETCHED, LONGS = 128, 8
-HUB_TURNS = 3
+HUB_TURNS = 4
+#: Once so few pairs a document are left in open buckets, they are all compared.
+PAIRS_PER_ROW = 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -157,18 +160,25 @@ def _differing(a: str, b: str) -> Column:
     return total
 
 
-def plausible(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that sizes and sketches allow to link.
+def _fits(a: str, b: str, percent: int) -> Column:
+    """Sizes and sketches allow two sets to link.
 
     Of SKETCHED values those that differ have mean 15/16 (1 - J); the bound is
     six standard deviations above the mean at the threshold.
     """
-    side = lambda x: heads.select(F.col("rep").alias(x), F.col("n").alias(f"{x}n"), *(F.col(f"s{i}").alias(f"{x}s{i}") for i in range(LONGS)))
     mean = SKETCHED * (1 - percent / 100) * 15 / 16
     most = int(mean + 6 * (mean * (1 - mean / SKETCHED)) ** 0.5) + 1
-    both = pairs.join(side("b"), "b").where(F.col("bn").isNotNull()).join(side("a"), "a")
-    fits = 100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")
-    return both.where(fits & (_differing("a", "b") <= most)).select("a", "b")
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (_differing(a, b) <= most)
+
+
+def _side(heads: DataFrame, x: str) -> DataFrame:
+    return heads.select(F.col("rep").alias(x), F.col("n").alias(f"{x}n"), *(F.col(f"s{i}").alias(f"{x}s{i}") for i in range(LONGS)))
+
+
+def plausible(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may link."""
+    return pairs.join(_side(heads, "b"), "b").join(_side(heads, "a"), "a").where(_fits("a", "b", percent)).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -201,25 +211,52 @@ class _Tables:
     def __init__(self, spark) -> None:  # noqa: ANN001
         self.spark, self.paths = spark, {}
 
-    def put(self, name: str, df: DataFrame) -> DataFrame:
-        path = scratch_path(self.spark, name)
-        df.write.parquet(path)
+    def put(self, name: str, df: DataFrame) -> tuple[DataFrame, int]:
+        """The stored table and its number of rows, counted while it is written."""
+        path, seen = scratch_path(self.spark, name), Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
         old, self.paths[name] = self.paths.get(name), path
         if old:
             remove_path(self.spark, old)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), seen.get["n"]
+
+
+#: Links that one task may join with a union-find, some 200 MB; more go by stars.
+LOCAL_LINKS = 1_000_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
 
+    def root(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
 
-def components(links: DataFrame, tables: _Tables, name: str = "labels") -> DataFrame:
-    """(node, label) with the smallest node reachable over (a, b) links, each node once.
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            p, q = root(a), root(b)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+    nodes = list(parent)
+    for at in range(0, len(nodes), 10_000):
+        part = nodes[at : at + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["node", "label"])
 
-    Alternates large-star and small-star steps (Kiveris et al. 2014): every
-    step is a min per node, and the number of steps grows with the logarithm of
+
+def components(links: DataFrame, tables: _Tables, n_links: int, name: str = "labels") -> DataFrame:
+    """(node, label): the smallest node reachable over (a, b) links, each linked node once.
+
+    Up to LOCAL_LINKS links one task holds them.  Beyond, alternating
+    large-star and small-star steps (Kiveris et al. 2014) on stored tables:
+    each is a minimum per node, and their number grows with the logarithm of
     the largest component.
     """
-    digest = lambda x: tuple(x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    edges = tables.put(f"{name}-edges", links.select("a", "b").where("a <> b").distinct())
-    now = digest(edges)
+    if n_links <= LOCAL_LINKS:
+        return tables.put(name, links.select("a", "b").coalesce(1).mapInArrow(_forest, "node long, label long"))[0]
+    mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    edges, n = tables.put(f"{name}-edges", links.select("a", "b").where("a <> b").distinct())
+    now = (n, edges.agg(mark).first()[0])
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -229,13 +266,13 @@ def components(links: DataFrame, tables: _Tables, name: str = "labels") -> DataF
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = tables.put(f"{name}-edges", small)
-        before, now = now, digest(edges)
+        edges, n = tables.put(f"{name}-edges", small)
+        before, now = now, (n, edges.agg(mark).first()[0])
         if before == now:
             break
     out = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
-    return tables.put(name, out.unionByName(roots))
+    return tables.put(name, out.unionByName(roots))[0]
 
 
 def classes(docs: DataFrame, *, size: int = 2, percent: int = 80) -> DataFrame:
@@ -246,50 +283,58 @@ def classes(docs: DataFrame, *, size: int = 2, percent: int = 80) -> DataFrame:
     is kept.  Repeated rows of one doc_id repeat in the result.
     """
     tables = _Tables(docs.sparkSession)
-    signed = tables.put("signed", signatures(docs, size))
+    signed, n_docs = tables.put("signed", signatures(docs, size))
     usable = signed.where("set_hash is not null and doc_id is not null")
-    reps = tables.put("reps", usable.groupBy("set_hash").agg(F.min("doc_id").alias("rep")))
-    sketch = [f"s{i}" for i in range(LONGS)]
+    reps, _ = tables.put("reps", usable.groupBy("set_hash").agg(F.min("doc_id").alias("rep")))
     # one row for each class: that of its smallest document
     first = usable.withColumnRenamed("doc_id", "rep").join(reps, ["set_hash", "rep"], "left_semi").dropDuplicates(["set_hash"])
-    heads = first.select("rep", F.col("n_shingles").alias("n"), *sketch)
-    keyed = first.select("rep", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("hub")).where("members > 1").drop("members")
-    buckets = tables.put("buckets", keyed.join(shared, "key"))
+    heads, _ = tables.put("heads", first.select("rep", F.col("n_shingles").alias("n"), "bands", *(f"s{i}" for i in range(LONGS))))
+    keyed = heads.select("rep", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    met, _ = tables.put("met", keyed.join(shared, "key"))
+    # how many others a class meets over all bands: the original of a group meets most, so it makes the best hub
+    central = met.groupBy("rep").agg(F.sum("members").alias("meets"))
+    buckets, left = tables.put("ranked", met.join(central, "rep").select("key", "rep", "meets"))
+    buckets = _with_hub(buckets)
 
     texts = docs.select("doc_id", "text").where("doc_id is not null")
     links = labels = tried = None
+    n_links, across = 0, False
     for turn in range(HUB_TURNS + 1):
-        if turn < HUB_TURNS:
+        if across:
+            pairs = _across(buckets, heads, percent)
+        else:
             pairs = buckets.where("rep <> hub")
             if turn:
                 pairs = pairs.where("label <> hub_label")
-            pairs = pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        else:
-            pairs = _across(buckets, heads, percent)
+            pairs = plausible(pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), heads, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = tables.put(f"pairs{turn}", plausible(pairs, heads, percent))
+        pairs, n = tables.put(f"pairs{turn}", pairs)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        if not pairs.isEmpty():
+        if n:
             need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-            held = tables.put("texts", texts.join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-            found = tables.put(f"links{turn}", confirmed(pairs, held, size, percent))
-            if not found.isEmpty():
-                links = found if links is None else links.unionByName(found)
-                labels = components(links, tables)
-        if turn == HUB_TURNS:
+            held, _ = tables.put("texts", texts.join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+            found, more = tables.put(f"links{turn}", confirmed(pairs, held, size, percent))
+            if more:
+                links, n_links = (found if links is None else links.unionByName(found)), n_links + more
+                labels = components(links, tables, n_links)
+        if across:
             break
         # members that were not compared with all others yet, in buckets where they differ
-        rest = buckets.where("rep <> hub").select("key", "rep")
+        rest = buckets.where("rep <> hub").select("key", "rep", "meets")
         if labels is not None:
-            rest = rest.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+            rest = rest.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "meets", F.coalesce("label", "rep").alias("label"))
         else:
             rest = rest.withColumn("label", F.col("rep"))
-        open_ = rest.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min(F.struct("rep", "label")).alias("h")).where("l0 <> l1")
-        buckets = tables.put("buckets", rest.join(open_.select("key", F.col("h.rep").alias("hub"), F.col("h.label").alias("hub_label")), "key"))
-        if buckets.isEmpty():
+        open_ = rest.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("members")).where("l0 <> l1").select("key", "members")
+        buckets, left = tables.put("buckets", rest.join(open_, "key"))
+        if not left:
             break
+        # pairs that a comparison across components could see: when they are few, it comes now
+        across = turn + 1 == HUB_TURNS or buckets.agg(F.sum("members")).first()[0] <= PAIRS_PER_ROW * n_docs
+        if not across:
+            buckets = _with_hub(buckets)
 
     out = signed.select("doc_id", "n_shingles", "set_hash").join(reps, "set_hash", "left")
     if labels is not None:
@@ -301,17 +346,29 @@ def classes(docs: DataFrame, *, size: int = 2, percent: int = 80) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _with_hub(buckets: DataFrame) -> DataFrame:
+    """``hub`` of each bucket, the member that meets most others, and its label if there are labels."""
+    labelled = ["label"] if "label" in buckets.columns else []
+    top = buckets.groupBy("key").agg(F.max(F.struct("meets", (-F.col("rep")).alias("minus"), *labelled)).alias("h"))
+    return buckets.join(top.select("key", (-F.col("h.minus")).alias("hub"), *(F.col("h.label").alias("hub_label") for _ in labelled)), "key")
+
+
 def _across(buckets: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components whose sizes fit.
+    """Pairs (a, b) of one bucket and different components that may link.
 
     Sizes fall in classes with a ratio of 100 / percent, so that sizes that
-    fit lie in one class or in neighbours: two equi-joins on (bucket, class).
+    fit lie in one class or in neighbours: two equi-joins on (bucket, class),
+    which give only pairs that sizes and sketches allow.
     """
-    rows = buckets.where("rep <> hub").join(heads.select("rep", "n"), "rep").withColumn("c", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int"))
-    rows = rows.select("key", "rep", "label", "c")
-    side = lambda x: rows.select("key", "c", F.col("rep").alias(x), F.col("label").alias(f"l{x}"))
-    same = side("x").join(side("y"), ["key", "c"]).where("x < y and lx <> ly")
-    near = side("x").join(side("y").withColumn("c", F.col("c") - 1), ["key", "c"]).where("lx <> ly")
+    rows = buckets.select("key", "rep", "label").join(heads.drop("bands"), "rep")
+    rows = rows.withColumn("c", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int"))
+
+    def side(x: str, shift: int = 0) -> DataFrame:
+        return rows.select("key", (F.col("c") + shift).alias("c"), F.col("rep").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"{x}n"), *(F.col(f"s{i}").alias(f"{x}s{i}") for i in range(LONGS)))
+
+    fits = (F.col("lx") != F.col("ly")) & _fits("x", "y", percent)
+    same = side("x").join(side("y"), ["key", "c"]).where((F.col("x") < F.col("y")) & fits)
+    near = side("x").join(side("y", -1), ["key", "c"]).where(fits)
     return same.unionByName(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
