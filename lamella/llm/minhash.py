@@ -12,9 +12,9 @@ The work is spread so that no group of copies meets in one task as pairs:
 2. Within a band's bucket each class is compared with the bucket's hub alone,
    a class that meets many others: rows, not pairs, grow with a group.
 3. Confirmed links join classes into components.  A bucket whose other members
-   lie in one component is finished.  The others take a new hub, until few
-   pairs are left or HUB_TURNS is reached; then what still differs is compared
-   across components, cut by set size.
+   lie in one component is finished.  The others take a new hub while
+   that finds links; then what still differs is compared across components,
+   by a prefix filter over shingles in order of frequency.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, remove_path, scratch_path, small_batches, text_bytes
@@ -37,8 +37,8 @@ PIECE = 1 << 11
 #: Values whose lowest four bits make up the sketch, packed in longs.
 SKETCHED, LONGS = 128, 8
 HUB_TURNS = 4
-#: Once so few pairs a document are left in open buckets, they are all compared.
-PAIRS_PER_ROW = 20
+#: A turn that gives a link for fewer than one in so many documents is the last.
+HUB_WORTH = 1000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -302,7 +302,7 @@ def classes(docs: DataFrame, *, size: int = 2, percent: int = 80) -> DataFrame:
     n_links, across = 0, False
     for turn in range(HUB_TURNS + 1):
         if across:
-            pairs = _across(buckets, heads, percent)
+            pairs = _across(buckets, heads, texts, tables, size, percent)
         else:
             pairs = buckets.where("rep <> hub")
             if turn:
@@ -311,6 +311,7 @@ def classes(docs: DataFrame, *, size: int = 2, percent: int = 80) -> DataFrame:
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs, n = tables.put(f"pairs{turn}", pairs)
+        more = 0
         tried = pairs if tried is None else tried.unionByName(pairs)
         if n:
             need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
@@ -331,8 +332,7 @@ def classes(docs: DataFrame, *, size: int = 2, percent: int = 80) -> DataFrame:
         buckets, left = tables.put("buckets", rest.join(open_, "key"))
         if not left:
             break
-        # pairs that a comparison across components could see: when they are few, it comes now
-        across = turn + 1 == HUB_TURNS or buckets.agg(F.sum("members")).first()[0] <= PAIRS_PER_ROW * n_docs
+        across = turn + 1 == HUB_TURNS or more * HUB_WORTH < n_docs
         if not across:
             buckets = _with_hub(buckets)
 
@@ -353,23 +353,51 @@ def _with_hub(buckets: DataFrame) -> DataFrame:
     return buckets.join(top.select("key", (-F.col("h.minus")).alias("hub"), *(F.col("h.label").alias("hub_label") for _ in labelled)), "key")
 
 
-def _across(buckets: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components that may link.
+def _across(buckets: DataFrame, heads: DataFrame, texts: DataFrame, tables: _Tables, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may link, from buckets that hold several.
 
-    Sizes fall in classes with a ratio of 100 / percent, so that sizes that
-    fit lie in one class or in neighbours: two equi-joins on (bucket, class),
-    which give only pairs that sizes and sketches allow.
+    First the classes that have any likely partner in a bucket, by semi-joins,
+    which give a class once however many partners it has.  Then a prefix
+    filter among them: shingles are ordered by how many of these classes have
+    them, and sets with similarity t share one of their first n - t n + 1.
+    The sizes of two sets bound the place of their first shared shingle further.
+    Texts that share but a common passage have it last, so they don't meet.
     """
-    rows = buckets.select("key", "rep", "label").join(heads.drop("bands"), "rep")
-    rows = rows.withColumn("c", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int"))
+    ratio = F.log(F.lit(100 / percent))
+    rows = buckets.select("key", "rep", "label").join(heads.drop("bands"), "rep").withColumn("c", F.floor(F.log("n") / ratio).cast("int"))
+    rows, _ = tables.put("open", rows)
 
-    def side(x: str, shift: int = 0) -> DataFrame:
-        return rows.select("key", (F.col("c") + shift).alias("c"), F.col("rep").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"{x}n"), *(F.col(f"s{i}").alias(f"{x}s{i}") for i in range(LONGS)))
+    def side(df: DataFrame, x: str, *keys: Column | str) -> DataFrame:
+        return df.select(*keys, F.col("rep").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"{x}n"), *(F.col(f"s{i}").alias(f"{x}s{i}") for i in range(LONGS)))
 
+    # sizes that fit lie in one class of ratio 100 / percent or in neighbours
     fits = (F.col("lx") != F.col("ly")) & _fits("x", "y", percent)
-    same = side("x").join(side("y"), ["key", "c"]).where((F.col("x") < F.col("y")) & fits)
-    near = side("x").join(side("y", -1), ["key", "c"]).where(fits)
-    return same.unionByName(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    likely = None
+    for shift in (-1, 0, 1):
+        x, y = side(rows, "x", "key", "c"), side(rows, "y", F.col("key").alias("k"), (F.col("c") + shift).alias("d"))
+        found = x.join(y, (F.col("key") == F.col("k")) & (F.col("c") == F.col("d")) & fits, "left_semi").select(F.col("x").alias("rep"))
+        likely = found if likely is None else likely.unionByName(found)
+    chosen, n = tables.put("likely", likely.distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(size)
+        for batch in batches:
+            sets = [hasher.sets(t, {}).view(np.int64) for t in text_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "h"])
+
+    held = texts.join(chosen.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    grams, _ = tables.put("grams", held.mapInArrow(run, "rep long, h array<long>").select("rep", F.size("h").alias("n"), F.explode("h").alias("h")))
+    often = grams.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    # a shingle that one class alone has comes first in its order and meets nothing: only its place counts
+    ranked = grams.join(often, "h", "left").withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy(F.coalesce("df", F.lit(1)), "h")))
+    prefix = ranked.where(F.col("df").isNotNull() & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).select("rep", "h", "at")
+    info = rows.select("rep", "label", "n", *(f"s{i}" for i in range(LONGS))).dropDuplicates(["rep"])
+    prefix, _ = tables.put("prefix", prefix.join(info, "rep"))
+    x, y = side(prefix, "x", "h", F.col("at").alias("i")), side(prefix, "y", "h", F.col("at").alias("j"))
+    # the first shared shingle leaves room for the overlap that the sizes ask for
+    overlap = F.ceil((F.col("xn") + F.col("yn")) * percent / (100 + percent))
+    room = F.least(F.col("xn") - F.col("i"), F.col("yn") - F.col("j")) + 1 >= overlap
+    return x.join(y, "h").where((F.col("x") < F.col("y")) & room & fits).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
 def keep(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
