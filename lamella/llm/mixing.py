@@ -21,7 +21,7 @@ LEVELS = ("domain", "lang", "source")
 #: Integer weights by level and value; others weigh 1.
 WEIGHTS = {"lang": {"en": 4, "de": 2, "fr": 2, "es": 1}}
 #: Rows of a leaf in one slice of its order, about; only one slice is sorted.
-SLICE_ROWS = 5000
+SLICE_ROWS = 500
 #: Leaves up to which the table of leaves is broadcast.
 BROADCAST_LEAVES = 50_000
 
