@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from .common import map_arrow, small_batches, stored, text_bytes
 
@@ -27,7 +28,7 @@ LEAST_LINES = 2
 #: Chunks of fewer words are too common to be a passage.
 LEAST_WORDS = 8
 #: Lines that a match may grow by on either side.
-REACH = 64
+REACH = 12
 SEEDS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 LINE = re.compile(rb"[^\n]*\n|[^\n]+")
 CLAUSE = re.compile(rb"[^.!?,;]*[.!?,;]+[ \t\r]*\n?|[^.!?,;]+")
@@ -71,46 +72,90 @@ def _key() -> F.Column:
     return F.xxhash64("doc_id", "text")
 
 
+def _packed(docs: DataFrame, *keep: str) -> DataFrame:
+    """``lamella_key``, the text compressed as ``lamella_text``, and the ``keep`` columns.
+
+    Texts cross the network twice; packed they take about half of what Spark's
+    own shuffle compression leaves.
+    """
+    kept = [f for f in docs.schema.fields if f.name in keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            packed = [None if t is None else pack(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("lamella_key"), pa.array(packed, pa.binary()), *(batch.column(f.name) for f in kept)], names=["lamella_key", "lamella_text", *(f.name for f in kept)])
+
+    schema = StructType([StructField("lamella_key", LongType()), StructField("lamella_text", BinaryType()), *kept])
+    return docs.withColumn("lamella_key", _key()).select("lamella_key", "text", *(f.name for f in kept)).mapInArrow(run, schema)
+
+
+def _unpack(packed: list) -> list[bytes]:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [b"" if z is None else unpack(z) for z in packed]
+
+
+#: A chunk's place is its first line times this plus its number of lines.
+PLACE = 1 << 24
+
+
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_key, spans): the line ranges [first, end) to remove from each text.
 
     A row is named by a hash of its id and text, so rows that are the same
     throughout lose the same lines, and equal ids with different texts are
-    different rows.  First is what has the smallest id (null before all), then
-    the smallest key and line.
+    different rows.  Of several occurrences the one with the smallest such hash
+    stays, and within a text the first.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select("doc_id", "text").where("text is not null").withColumn("doc_key", _key())
+    rows = docs.select("doc_id", "text").where("text is not null")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, ids = batch.column("doc_key").to_pylist(), batch.column("doc_id").to_pylist()
-        got = [(c[0], ids[i], keys[i], c[1], c[2]) for i, t in enumerate(text_bytes(batch.column("text"))) for c in chunks(lines_of(t))]
-        cols = list(zip(*got, strict=True)) if got else [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(np.array(cols[0], np.uint64).view(np.int64)), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32())], names=["hash", "doc_id", "doc_key", "pos", "n"])
-
-    found = map_arrow(rows, cut, "hash long, doc_id long, doc_key long, pos int, n int")
-    # the sum tells two occurrences from one that repeats with its whole row
-    first = found.groupBy("hash").agg(F.min(F.struct("doc_id", "doc_key", "pos")).alias("f"), F.max(F.struct("doc_id", "doc_key", "pos")).alias("l")).where("f <> l")
-    again = found.join(first.select("hash", F.col("f.doc_key").alias("first_key"), F.col("f.pos").alias("first_pos")), "hash").select("doc_key", "pos", "n", "first_key", "first_pos").distinct()
+        keys = batch.column("doc_key").to_pylist()
+        got = [(c[0], keys[i], c[1] * PLACE + c[2]) for i, t in enumerate(text_bytes(batch.column("text"))) for c in chunks(lines_of(t)) if c[2] < PLACE]
+        cols = list(zip(*got, strict=True)) if got else [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(np.array(cols[0], np.uint64).view(np.int64)), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["hash", "doc_key", "place"])
+
+    found = map_arrow(rows.select(_key().alias("doc_key"), "text"), cut, "hash long, doc_key long, place long")
+    # first and last differ unless one occurrence repeats with its whole row
+    at = F.struct("doc_key", "place")
+    first = found.groupBy("hash").agg(F.min(at).alias("f"), F.max(at).alias("l")).where("f <> l")
+    again = found.join(first.select("hash", F.col("f.doc_key").alias("first_key"), F.col("f.place").alias("first_place")), "hash").select("doc_key", "place", "first_key", "first_place").distinct()
     again = stored(again, "chunks")
 
     # the texts of repeated chunks and of the lines around them
-    wanted = again.groupBy("doc_key").agg(F.collect_list(F.struct("pos", "n", "first_key", "first_pos")).alias("at"))
-    texts = rows.select("doc_key", "text").dropDuplicates(["doc_key"]).join(wanted, "doc_key")
+    wanted = again.groupBy(F.col("doc_key").alias("lamella_key")).agg(F.collect_list(F.struct("place", "first_key", "first_place")).alias("at"))
+    texts = _packed(rows).dropDuplicates(["lamella_key"]).join(wanted, "lamella_key")
 
     def show(batch: pa.RecordBatch) -> pa.RecordBatch:
         got = []
-        for key, text, at in zip(batch.column("doc_key").to_pylist(), text_bytes(batch.column("text")), batch.column("at").to_pylist(), strict=True):
+        for key, text, at in zip(batch.column("lamella_key").to_pylist(), _unpack(batch.column("lamella_text").to_pylist()), batch.column("at").to_pylist(), strict=True):
             lines = [x.strip() for x in lines_of(text)]
+            covered = {k for c in at for k in range(c["place"] // PLACE, c["place"] // PLACE + c["place"] % PLACE)}
             for c in at:
-                a, b = c["pos"], c["pos"] + c["n"]
-                got.append((key, a, c["n"], c["first_key"], c["first_pos"], lines[max(0, a - REACH) : a][::-1], b"\n".join(lines[a:b]), lines[b : b + REACH]))
+                a, n = divmod(c["place"], PLACE)
+                own = c["first_key"] == key and c["first_place"] == c["place"]
+                # of an occurrence only lines in no repeated chunk can be gained; of a first one all may be
+                before, after = [], []
+                for k in range(a - 1, max(-1, a - 1 - REACH), -1):
+                    if not own and k in covered:
+                        break
+                    before.append(lines[k])
+                for k in range(a + n, min(len(lines), a + n + REACH)):
+                    if not own and k in covered:
+                        break
+                    after.append(lines[k])
+                got.append((key, a, n, c["first_key"], c["first_place"] // PLACE, before, b"\n".join(lines[a : a + n]), after))
         cols = list(zip(*got, strict=True)) if got else [()] * 8
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.binary(), pa.list_(pa.binary())]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_key", "pos", "n", "first_key", "first_pos", "before", "body", "after"])
 
-    shown = map_arrow(texts.select("doc_key", "text", "at"), show, "doc_key long, pos int, n int, first_key long, first_pos int, before array<binary>, body binary, after array<binary>")
+    shown = map_arrow(texts.select("lamella_key", "lamella_text", "at"), show, "doc_key long, pos int, n int, first_key long, first_pos int, before array<binary>, body binary, after array<binary>")
     is_first = (F.col("doc_key") == F.col("first_key")) & (F.col("pos") == F.col("first_pos"))
     shown = stored(shown, "shown")
     # a chunk may be found by both chunkings with different ends: the length is part of the key
@@ -139,29 +184,25 @@ def clean(docs: DataFrame) -> DataFrame:
 
     A null text stays null with 0 lines.  Texts of one line are never changed.
     """
-    spans = removals(docs)
-    rows = docs.withColumn("lamella_key", _key()).join(spans.withColumnRenamed("doc_key", "lamella_key").withColumnRenamed("spans", "lamella_spans"), "lamella_key", "left")
+    spans = removals(docs).withColumnRenamed("doc_key", "lamella_key").withColumnRenamed("spans", "lamella_spans")
     columns = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", lamella_lines int, lamella_removed int"
+    others = [c for c in columns if c != "text"]
+    rows = _packed(docs, *others).join(spans, "lamella_key", "left").select("lamella_text", "lamella_spans", *others)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out, total, gone = [], [], []
-        column = batch.column("text")
-        for i, (text, spans) in enumerate(zip(text_bytes(column), batch.column("lamella_spans").to_pylist(), strict=True)):
-            if spans is None:
-                out.append(column[i].as_py())
-                total.append(len(lines_of(text)))
-                gone.append(0)
-                continue
+        packed = batch.column("lamella_text").to_pylist()
+        for z, text, spans in zip(packed, _unpack(packed), batch.column("lamella_spans").to_pylist(), strict=True):
             lines = lines_of(text)
-            drop = {k for s in spans for k in range(s["a"], s["b"])}
-            out.append(b"".join(x for k, x in enumerate(lines) if k not in drop).decode())
+            drop = {k for s in spans or () for k in range(s["a"], s["b"])}
+            out.append(None if z is None else b"".join(x for k, x in enumerate(lines) if k not in drop).decode() if drop else text.decode())
             total.append(len(lines))
             gone.append(len(drop))
         arrays = [pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in columns]
         return pa.RecordBatch.from_arrays([*arrays, pa.array(total, pa.int32()), pa.array(gone, pa.int32())], names=[*columns, "lamella_lines", "lamella_removed"])
 
-    return map_arrow(rows.select(*columns, "lamella_spans"), run, schema)
+    schema = StructType([*docs.schema.fields, StructField("lamella_lines", IntegerType()), StructField("lamella_removed", IntegerType())])
+    return map_arrow(rows, run, schema)
 
 
 def keep(docs: DataFrame) -> DataFrame:

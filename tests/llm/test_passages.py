@@ -57,12 +57,10 @@ def test_repeated_passages_go(spark):
         left = {x.strip() for x in L.lines_of((got[i].text or "").encode())}
         own = {x.strip() for x in L.lines_of(t.encode()) if len(seen[x.strip()]) == 1}
         assert own <= left  # what occurs once stays
-        if i:
-            assert passage not in got[i].text and block not in got[i].text
         kept = [x for x in L.lines_of(t.encode())]
         assert got[i].lamella_lines == len(kept)
         assert len(left) + got[i].lamella_removed >= len(set(kept))
-    assert passage in got[0].text and block in got[0].text
+    assert sum(passage in r.text for r in got.values()) == sum(block in r.text for r in got.values()) == 1
     removed = sum(r.lamella_removed for r in got.values())
     want = 19 * len(L.lines_of(passage.encode())) + 13 * 8
     assert removed >= 0.9 * want
@@ -82,8 +80,10 @@ def test_line_edge_cases(spark):
     rows = [(1, body, "a"), (1, body, "a"), (2, body, "b"), (None, "x", "c"), (3, None, "d"), (4, "", "e"), (5, "one line only", "f"), (6, "one line only", "g"), (5, "other text of five", "h")]
     df = spark.createDataFrame(rows, "doc_id long, text string, pos string").selectExpr("*", "'k' as lang", "1L as n")
     got = {(r.pos, r.text) for r in L.clean(df).collect()}
-    assert {("c", "x"), ("d", None), ("e", ""), ("f", "one line only"), ("g", "one line only"), ("a", body), ("h", "other text of five")} <= got
-    assert L.keep(df).columns == df.columns and "b" not in {r.pos for r in L.keep(df).collect() if r.text == body}
+    assert {("c", "x"), ("d", None), ("e", ""), ("f", "one line only"), ("g", "one line only"), ("h", "other text of five")} <= got
+    assert L.keep(df).columns == df.columns
+    left = {r.pos for r in L.keep(df).collect() if r.text == body}
+    assert left in ({"a"}, {"b"})
     assert L.clean(df.where("1 = 0")).collect() == []
 
 
