@@ -137,9 +137,15 @@ def removals(docs: DataFrame) -> DataFrame:
         for key, text, at in zip(batch.column("lamella_key").to_pylist(), _unpack(batch.column("lamella_text").to_pylist()), batch.column("at").to_pylist(), strict=True):
             lines = [x.strip() for x in lines_of(text)]
             covered = {k for c in at for k in range(c["place"] // PLACE, c["place"] // PLACE + c["place"] % PLACE)}
-            for c in at:
+            told: dict[tuple[int, int], set[int]] = {}
+            for c in sorted(at, key=lambda c: (c["place"] // PLACE, -(c["place"] % PLACE))):
                 a, n = divmod(c["place"], PLACE)
                 own = c["first_key"] == key and c["first_place"] == c["place"]
+                # what another chunk says of the same lines and the same first text isn't said again
+                mine = told.setdefault((c["first_key"], c["first_place"] // PLACE - a), set())
+                if not own and mine.issuperset(range(a, a + n)):
+                    continue
+                mine.update(range(a, a + n))
                 # of an occurrence only lines in no repeated chunk can be gained; of a first one all may be
                 before, after = [], []
                 for k in range(a - 1, max(-1, a - 1 - REACH), -1):
@@ -150,12 +156,12 @@ def removals(docs: DataFrame) -> DataFrame:
                     if not own and k in covered:
                         break
                     after.append(lines[k])
-                got.append((key, a, n, c["first_key"], c["first_place"] // PLACE, before, b"\n".join(lines[a : a + n]), after))
+                got.append((key, a, n, c["first_key"], c["first_place"] // PLACE, b"\n".join(before) if before else None, b"\n".join(lines[a : a + n]), b"\n".join(after) if after else None))
         cols = list(zip(*got, strict=True)) if got else [()] * 8
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.binary(), pa.list_(pa.binary())]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_key", "pos", "n", "first_key", "first_pos", "before", "body", "after"])
 
-    shown = map_arrow(texts.select("lamella_key", "lamella_text", "at"), show, "doc_key long, pos int, n int, first_key long, first_pos int, before array<binary>, body binary, after array<binary>")
+    shown = map_arrow(texts.select("lamella_key", "lamella_text", "at"), show, "doc_key long, pos int, n int, first_key long, first_pos int, before binary, body binary, after binary")
     is_first = (F.col("doc_key") == F.col("first_key")) & (F.col("pos") == F.col("first_pos"))
     shown = stored(shown, "shown")
     # a chunk may be found by both chunkings with different ends: the length is part of the key
@@ -164,8 +170,9 @@ def removals(docs: DataFrame) -> DataFrame:
 
     def common(a: str, b: str) -> F.Column:
         """Leading elements that two arrays share."""
-        m = F.least(F.size(a), F.size(b))
-        same = F.zip_with(F.slice(a, 1, m), F.slice(b, 1, m), lambda x, y: x == y)
+        x, y = (F.when(F.col(c).isNull(), F.array().cast("array<string>")).otherwise(F.split(F.col(c).cast("string"), "\n")) for c in (a, b))
+        m = F.least(F.size(x), F.size(y))
+        same = F.zip_with(F.slice(x, 1, m), F.slice(y, 1, m), lambda x, y: x == y)
         at = F.array_position(same, F.lit(False))
         return F.when(at > 0, at - 1).otherwise(m).cast("int")
 
