@@ -12,8 +12,6 @@ Conventions that all operators of this subpackage follow:
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -21,6 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.scratch import scratch_dir, scratch_path, stored  # noqa: F401
+
+
 #: Bytes that end a word.
 SPACE = b" \t\n\r\x0b\x0c"
 #: UTF-8 continuation bytes; deleting them leaves one byte for each code point.
@@ -34,38 +35,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; a temporary one only where none is set."""
-    conf = spark.sparkContext.getConf()
-    path = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = getattr(spark, "_lamella_scratch", None) or tempfile.mkdtemp(prefix="lamella-")
-        spark._lamella_scratch = path
-    return path.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, deleted when the driver's JVM ends."""
-    path = f"{scratch_dir(spark)}/lamella-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
 def remove_path(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends here."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
     """Lower the session's Arrow batches to ``rows`` rows and BYTES_PER_BATCH; smaller settings stay."""
     for kind, most in (("Records", rows), ("Bytes", BYTES_PER_BATCH)):
