@@ -37,6 +37,8 @@ PIECE = 1 << 11
 #: Values whose lowest four bits make up the sketch, packed in longs.
 SKETCHED, LONGS = 128, 8
 HUB_TURNS = 4
+#: Ids that are broadcast at most, 8 MB.
+BROADCAST_IDS = 1_000_000
 #: A turn that gives a link for fewer than one in so many documents is the last.
 HUB_WORTH = 1000
 
@@ -315,7 +317,7 @@ def classes(docs: DataFrame, *, size: int = 2, percent: int = 80) -> DataFrame:
         tried = pairs if tried is None else tried.unionByName(pairs)
         if n:
             need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-            held, _ = tables.put("texts", texts.join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+            held, _ = tables.put("texts", _texts_of(texts, *tables.put("need", need)))
             found, more = tables.put(f"links{turn}", confirmed(pairs, held, size, percent))
             if more:
                 links, n_links = (found if links is None else links.unionByName(found)), n_links + more
@@ -346,6 +348,11 @@ def classes(docs: DataFrame, *, size: int = 2, percent: int = 80) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _texts_of(texts: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """One text for each of ``n`` ids: they are broadcast up to BROADCAST_IDS, else all texts are shuffled."""
+    return texts.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
 def _with_hub(buckets: DataFrame) -> DataFrame:
     """``hub`` of each bucket, the member that meets most others, and its label if there are labels."""
     labelled = ["label"] if "label" in buckets.columns else []
@@ -385,7 +392,7 @@ def _across(buckets: DataFrame, heads: DataFrame, texts: DataFrame, tables: _Tab
             sets = [hasher.sets(t, {}).view(np.int64) for t in text_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "h"])
 
-    held = texts.join(chosen.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    held = _texts_of(texts, chosen.withColumnRenamed("rep", "doc_id"), n)
     grams, _ = tables.put("grams", held.mapInArrow(run, "rep long, h array<long>").select("rep", F.size("h").alias("n"), F.explode("h").alias("h")))
     often = grams.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     # a shingle that one class alone has comes first in its order and meets nothing: only its place counts
