@@ -28,7 +28,7 @@ LEAST_LINES = 2
 #: Chunks of fewer words are too common to be a passage.
 LEAST_WORDS = 8
 #: Lines that a match may grow by on either side.
-REACH = 12
+REACH = 6
 SEEDS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 LINE = re.compile(rb"[^\n]*\n|[^\n]+")
 CLAUSE = re.compile(rb"[^.!?,;]*[.!?,;]+[ \t\r]*\n?|[^.!?,;]+")
@@ -164,8 +164,9 @@ def removals(docs: DataFrame) -> DataFrame:
     shown = map_arrow(texts.select("lamella_key", "lamella_text", "at"), show, "doc_key long, pos int, n int, first_key long, first_pos int, before binary, body binary, after binary")
     is_first = (F.col("doc_key") == F.col("first_key")) & (F.col("pos") == F.col("first_pos"))
     shown = stored(shown, "shown")
-    # a chunk may be found by both chunkings with different ends: the length is part of the key
-    heads = shown.where(is_first).select("first_key", "first_pos", "n", F.col("before").alias("before1"), F.col("body").alias("body1"), F.col("after").alias("after1")).dropDuplicates(["first_key", "first_pos", "n"])
+    # a chunk may be found by both chunkings with different ends, so the length is part of the key;
+    # each text came once, so each first chunk is here once
+    heads = shown.where(is_first).select("first_key", "first_pos", "n", F.col("before").alias("before1"), F.col("body").alias("body1"), F.col("after").alias("after1"))
     pairs = shown.where(~is_first).join(heads, ["first_key", "first_pos", "n"])
 
     def common(a: str, b: str) -> F.Column:
