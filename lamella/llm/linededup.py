@@ -1,13 +1,12 @@
 """Removal of multi-line passages that repeat anywhere in the corpus.
 
 A text is cut into lines, and a line of more than LONG_LINE words further after
-.!?,; marks.  A rolling hash over the last two line hashes ends a chunk
-wherever its value says so, hence by content: an insertion moves no boundary
-but those beside it.  Chunks of two lines or more whose hash occurs more than
-once are compared with their first occurrence byte for byte, and an equal one
-grows line by line into both neighbours as long as bytes agree.  All
-occurrences but the first are removed.  Two independent chunkings make it
-unlikely that a passage has no chunk of its own.
+.!?,; marks.  A passage is LEAST_LINES lines or more with LEAST_WORDS words or
+more.  Every smallest window that is one is hashed, both the one that starts
+and the one that ends at each line, so any passage that two texts share is a
+union of windows they share, whatever surrounds it.  Windows that occur before
+are joined to runs along the same first text and compared with it byte for
+byte.  All occurrences but the first are removed.
 """
 
 from __future__ import annotations
@@ -17,19 +16,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import map_arrow, small_batches, stored, text_bytes
+from .common import ROWS_PER_BATCH, map_arrow, small_batches, stored, text_bytes
 
 LONG_LINE = 20
 LEAST_LINES = 2
-#: Chunks of fewer words are too common to be a passage.
+#: Windows of fewer words are too common to be a passage.
 LEAST_WORDS = 8
-#: Lines that a match may grow by on either side.
-REACH = 6
-SEEDS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Base of the window hash, and its inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+#: Bytes of runs that a worker holds before it passes them on.
+BODY_BYTES = 1 << 20
 LINE = re.compile(rb"[^\n]*\n|[^\n]+")
 CLAUSE = re.compile(rb"[^.!?,;]*[.!?,;]+[ \t\r]*\n?|[^.!?,;]+")
 
@@ -45,27 +46,38 @@ def lines_of(text: bytes) -> list[bytes]:
     return out
 
 
-def chunks(lines: list[bytes]) -> Iterator[tuple[int, int, int]]:
-    """(hash, first line, lines) of every chunk of two lines or more, of both chunkings."""
+def windows(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, first lines, numbers of lines) of the smallest passages that start or end at each line."""
     import xxhash
 
     n = len(lines)
-    if n < LEAST_LINES:
-        return
-    h64 = xxhash.xxh3_64_intdigest
     bare = [x.strip() for x in lines]
-    h = np.fromiter(map(h64, bare), np.uint64, n)
-    words = np.concatenate([[0], np.cumsum([x.count(b" ") + 1 for x in bare])])
+    words = np.zeros(n + 1, np.int64)
+    np.cumsum([x.count(b" ") + 1 if x else 0 for x in bare], out=words[1:])
+    if n < LEAST_LINES or words[n] < LEAST_WORDS:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    start = np.arange(n)
+    end = np.maximum(np.searchsorted(words, words[:n] + LEAST_WORDS), start + LEAST_LINES)
+    start, end = start[end <= n], end[end <= n]
+    # an end that no start leads to has a window of its own
+    alone = np.ones(n + 1, bool)
+    alone[: end[0]] = False
+    alone[end] = False
+    last = np.flatnonzero(alone)
+    first = np.minimum(np.searchsorted(words, words[last] - LEAST_WORDS, "right") - 1, last - LEAST_LINES)
+    start, end = np.concatenate([start, first]), np.concatenate([end, last])
     with np.errstate(over="ignore"):
-        for seed in SEEDS:
-            roll = h * np.uint64(seed)
-            roll[1:] += (h[:-1] * np.uint64(seed)) >> np.uint64(7)
-            roll ^= roll >> np.uint64(29)
-            ends = np.flatnonzero((roll * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(63)) + 1
-            edges = np.unique(np.concatenate([[0], ends, [n]]))
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if b - a >= LEAST_LINES and words[b] - words[a] >= LEAST_WORDS:
-                    yield h64(b"\n".join(bare[a:b])), a, b - a
+        power, back = np.full(n, BASE, np.uint64), np.full(n, INVERSE, np.uint64)
+        power[0] = back[0] = 1
+        power, back = np.multiply.accumulate(power), np.multiply.accumulate(back)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(np.fromiter(map(xxhash.xxh3_64_intdigest, bare), np.uint64, n) * power, out=sums[1:])
+        return (sums[end] - sums[start]) * back[start], start, end - start
+
+
+def chunks(lines: list[bytes]) -> Iterator[tuple[int, int, int]]:
+    """(hash, first line, lines) of every window."""
+    return zip(*(x.tolist() for x in windows(lines)), strict=True)
 
 
 def _key() -> F.Column:
@@ -99,7 +111,7 @@ def _unpack(packed: list) -> list[bytes]:
     return [b"" if z is None else unpack(z) for z in packed]
 
 
-#: A chunk's place is its first line times this plus its number of lines.
+#: A window's place is its first line times this plus its number of lines.
 PLACE = 1 << 24
 
 
@@ -116,74 +128,62 @@ def removals(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text").where("text is not null")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = batch.column("doc_key").to_pylist()
-        got = [(c[0], keys[i], c[1] * PLACE + c[2]) for i, t in enumerate(text_bytes(batch.column("text"))) for c in chunks(lines_of(t)) if c[2] < PLACE]
-        cols = list(zip(*got, strict=True)) if got else [()] * 3
-        return pa.RecordBatch.from_arrays([pa.array(np.array(cols[0], np.uint64).view(np.int64)), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["hash", "doc_key", "place"])
+        got = [windows(lines_of(t)) for t in text_bytes(batch.column("text"))]
+        keys = np.repeat(batch.column("doc_key").to_numpy(), [len(h) for h, _, _ in got])
+        hashes, first, n = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in range(3))
+        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(keys), pa.array(first * PLACE + n)], names=["hash", "doc_key", "place"])
 
     found = map_arrow(rows.select(_key().alias("doc_key"), "text"), cut, "hash long, doc_key long, place long")
-    # first and last differ unless one occurrence repeats with its whole row
-    at = F.struct("doc_key", "place")
-    first = found.groupBy("hash").agg(F.min(at).alias("f"), F.max(at).alias("l")).where("f <> l")
-    again = found.join(first.select("hash", F.col("f.doc_key").alias("first_key"), F.col("f.place").alias("first_place")), "hash").select("doc_key", "place", "first_key", "first_place").distinct()
-    again = stored(again, "chunks")
-
-    # the texts of repeated chunks and of the lines around them
-    wanted = again.groupBy(F.col("doc_key").alias("lamella_key")).agg(F.collect_list(F.struct("place", "first_key", "first_place")).alias("at"))
+    # an occurrence that repeats with its whole row is not a later one
+    by_hash = Window.partitionBy("hash").orderBy("doc_key", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    again = found.select("doc_key", "place", F.first("doc_key").over(by_hash).alias("first_key"), F.first("place").over(by_hash).alias("first_place")).where("doc_key <> first_key or place <> first_place")
+
+    # windows with the same first text at the same distance, end to end, are one run
+    again = again.selectExpr("doc_key", "first_key", f"cast(place div {PLACE} as int) as pos", f"cast(place % {PLACE} as int) as n", f"cast(place div {PLACE} - first_place div {PLACE} as int) as shift", "place")
+    # one that overlaps its own first occurrence stands alone and leaves the lines they share
+    over = (F.col("doc_key") == F.col("first_key")) & (F.col("shift") < F.col("n"))
+    again = again.select("doc_key", "first_key", "shift", F.when(over, F.col("place")).otherwise(F.lit(-1)).alias("alone"), "pos", (F.col("pos") + F.col("n")).alias("end"))
+    group = ("doc_key", "first_key", "shift", "alone")
+    line = Window.partitionBy(*group).orderBy("pos", "end")
+    reached = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    opens = again.withColumn("opens", F.when(F.col("pos") <= reached, 0).otherwise(1))
+    numbered = opens.withColumn("run", F.sum("opens").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = numbered.groupBy(*group, "run").agg(F.min("pos").alias("pos"), F.max("end").alias("end"))
+    n = F.col("end") - F.col("pos")
+    skip = F.when(F.col("alone") >= 0, n - F.col("shift")).otherwise(F.lit(0))
+    runs = stored(runs.select("doc_key", "pos", n.alias("n"), "first_key", (F.col("pos") - F.col("shift")).alias("first_pos"), skip.alias("skip")), "runs")
+
+    # the texts of runs and of their first occurrences
+    firsts = runs.select(F.col("first_key").alias("doc_key"), F.col("first_pos").alias("pos"), "n", "first_key", "first_pos", F.lit(-1).alias("skip")).distinct()
+    wanted = runs.unionByName(firsts).groupBy(F.col("doc_key").alias("lamella_key")).agg(F.collect_list(F.struct("pos", "n", "first_key", "first_pos", "skip")).alias("at"))
     texts = _packed(rows).dropDuplicates(["lamella_key"]).join(wanted, "lamella_key")
+    kinds = {"doc_key": pa.int64(), "pos": pa.int32(), "n": pa.int32(), "first_key": pa.int64(), "first_pos": pa.int32(), "skip": pa.int32(), "body": pa.binary()}
 
-    def show(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = []
-        for key, text, at in zip(batch.column("lamella_key").to_pylist(), _unpack(batch.column("lamella_text").to_pylist()), batch.column("at").to_pylist(), strict=True):
-            lines = [x.strip() for x in lines_of(text)]
-            covered = {k for c in at for k in range(c["place"] // PLACE, c["place"] // PLACE + c["place"] % PLACE)}
-            told: dict[tuple[int, int], set[int]] = {}
-            for c in sorted(at, key=lambda c: (c["place"] // PLACE, -(c["place"] % PLACE))):
-                a, n = divmod(c["place"], PLACE)
-                own = c["first_key"] == key and c["first_place"] == c["place"]
-                # what another chunk says of the same lines and the same first text isn't said again
-                mine = told.setdefault((c["first_key"], c["first_place"] // PLACE - a), set())
-                if not own and mine.issuperset(range(a, a + n)):
-                    continue
-                mine.update(range(a, a + n))
-                # of an occurrence only lines in no repeated chunk can be gained; of a first one all may be
-                before, after = [], []
-                for k in range(a - 1, max(-1, a - 1 - REACH), -1):
-                    if not own and k in covered:
-                        break
-                    before.append(lines[k])
-                for k in range(a + n, min(len(lines), a + n + REACH)):
-                    if not own and k in covered:
-                        break
-                    after.append(lines[k])
-                got.append((key, a, n, c["first_key"], c["first_place"] // PLACE, b"\n".join(before) if before else None, b"\n".join(lines[a : a + n]), b"\n".join(after) if after else None))
-        cols = list(zip(*got, strict=True)) if got else [()] * 8
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_key", "pos", "n", "first_key", "first_pos", "before", "body", "after"])
-
-    shown = map_arrow(texts.select("lamella_key", "lamella_text", "at"), show, "doc_key long, pos int, n int, first_key long, first_pos int, before binary, body binary, after binary")
-    is_first = (F.col("doc_key") == F.col("first_key")) & (F.col("pos") == F.col("first_pos"))
-    shown = stored(shown, "shown")
-    # a chunk may be found by both chunkings with different ends, so the length is part of the key;
-    # each text came once, so each first chunk is here once
-    heads = shown.where(is_first).select("first_key", "first_pos", "n", F.col("before").alias("before1"), F.col("body").alias("body1"), F.col("after").alias("after1"))
-    pairs = shown.where(~is_first).join(heads, ["first_key", "first_pos", "n"])
-
-    def common(a: str, b: str) -> F.Column:
-        """Leading elements that two arrays share."""
-        x, y = (F.when(F.col(c).isNull(), F.array().cast("array<string>")).otherwise(F.split(F.col(c).cast("string"), "\n")) for c in (a, b))
-        m = F.least(F.size(x), F.size(y))
-        same = F.zip_with(F.slice(x, 1, m), F.slice(y, 1, m), lambda x, y: x == y)
-        at = F.array_position(same, F.lit(False))
-        return F.when(at > 0, at - 1).otherwise(m).cast("int")
-
-    spans = pairs.where("body = body1").select("doc_key", "pos", "n", "first_key", "first_pos", common("before", "before1").alias("left"), common("after", "after1").alias("right"))
-    # a text that repeats itself: growth must not reach into the first occurrence
-    own = F.col("doc_key") == F.col("first_key")
-    room = F.greatest(F.lit(0), F.col("pos") - F.col("first_pos") - F.col("n"))
-    left = F.when(own, F.least("left", F.floor(room / 2).cast("int"))).otherwise(F.col("left"))
-    right = F.when(own, F.least("right", room)).otherwise(F.col("right"))
-    return spans.select("doc_key", F.struct((F.col("pos") - left).alias("a"), (F.col("pos") + F.col("n") + right).alias("b")).alias("s")).groupBy("doc_key").agg(F.collect_set("s").alias("spans"))
+    def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*got, strict=True)) if got else [()] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True)], names=list(kinds))
+
+        for batch in batches:
+            for key, text, at in zip(batch.column("lamella_key").to_pylist(), _unpack(batch.column("lamella_text").to_pylist()), batch.column("at").to_pylist(), strict=True):
+                lines = [x.strip() for x in lines_of(text)]
+                for c in at:
+                    body = b"\n".join(lines[c["pos"] : c["pos"] + c["n"]])
+                    got.append((key, c["pos"], c["n"], c["first_key"], c["first_pos"], c["skip"], body))
+                    size += len(body)
+                    if size > BODY_BYTES or len(got) >= ROWS_PER_BATCH:
+                        yield flush()
+                        got, size = [], 0
+        yield flush()
+
+    schema = "doc_key long, pos int, n int, first_key long, first_pos int, skip int, body binary"
+    shown = stored(texts.select("lamella_key", "lamella_text", "at").mapInArrow(show, schema), "shown")
+    heads = shown.where("skip < 0").select("first_key", "first_pos", "n", F.col("body").alias("body1"))
+    same = shown.where("skip >= 0").join(heads, ["first_key", "first_pos", "n"]).where("body = body1")
+    return same.select("doc_key", F.struct((F.col("pos") + F.col("skip")).alias("a"), (F.col("pos") + F.col("n")).alias("b")).alias("s")).groupBy("doc_key").agg(F.collect_set("s").alias("spans"))
 
 
 def clean(docs: DataFrame) -> DataFrame:

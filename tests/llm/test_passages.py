@@ -74,6 +74,30 @@ def test_repeats_within_one_text(spark):
     assert r.text.count(block) == 1 and r.text.startswith("start here now.\n") and r.text.endswith("end.")
 
 
+def copies_kept(spark, passages, copies, rng):
+    """How many of the copies of each passage, each in a text of its own lines, keep any line."""
+    rows, marks = [], {}
+    for k, lines in enumerate(passages):
+        for _ in range(copies):
+            around = [sentence(rng, 12) + f" u{rng.random()}" for _ in range(6)]
+            marks[len(rows)] = k
+            rows.append((len(rows), "\n".join(around[:3] + lines + around[3:])))
+    kept = [0] * len(passages)
+    for r in L.clean(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        left = set(r.text.split("\n"))
+        kept[marks[r.doc_id]] += bool(left & set(passages[marks[r.doc_id]]))
+        assert r.lamella_lines - r.lamella_removed >= 6
+    return kept
+
+
+@pytest.mark.parametrize("units", [2, 3, 4, 5, 6])
+def test_short_passages_go(spark, units):
+    rng = random.Random(10 + units)
+    passages = [[sentence(rng, 60 // units).rstrip(".") for _ in range(units)] for _ in range(40)]
+    assert copies_kept(spark, passages, 2, rng) == [1] * 40
+    assert copies_kept(spark, passages[:5], 20, rng) == [1] * 5
+
+
 def test_line_edge_cases(spark):
     rng = random.Random(4)
     body = "\n".join(sentence(rng, 9) for _ in range(8))
