@@ -98,6 +98,12 @@ def test_short_passages_go(spark, units):
     assert copies_kept(spark, passages[:5], 20, rng) == [1] * 5
 
 
+def test_long_passages_of_short_lines_go(spark):
+    rng = random.Random(20)
+    passages = [[sentence(rng, 2).rstrip(".") + f"p{k}" for _ in range(60)] for k in range(20)]
+    assert copies_kept(spark, passages, 2, rng) == [1] * 20
+
+
 def test_line_edge_cases(spark):
     rng = random.Random(4)
     body = "\n".join(sentence(rng, 9) for _ in range(8))
