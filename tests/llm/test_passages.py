@@ -104,6 +104,13 @@ def test_long_passages_of_short_lines_go(spark):
     assert copies_kept(spark, passages, 2, rng) == [1] * 20
 
 
+def test_middle_copies_lose_their_edges(spark):
+    """Of three copies in different surroundings the second and third lose every line."""
+    rng = random.Random(21)
+    passages = [[sentence(rng, 9).rstrip(".") for _ in range(8)] for _ in range(60)]
+    assert copies_kept(spark, passages, 3, rng) == [1] * 60
+
+
 def test_line_edge_cases(spark):
     rng = random.Random(4)
     body = "\n".join(sentence(rng, 9) for _ in range(8))
