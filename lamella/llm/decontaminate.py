@@ -5,6 +5,9 @@
 3. Where a text has a seed, Smith-Waterman aligns the item with the words
    around it, so edited and paraphrased copies are found as well.
 
+Items of two words have no n-gram and are found word for word; a single word
+is no passage and is never found.
+
 The test items are a stated query set: they go through the corpus in blocks of
 at most BLOCK_GRAMS n-grams, so what is broadcast has a fixed bound and no
 document is ever shuffled.
@@ -14,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +77,8 @@ class Block:
     grams: np.ndarray
     owners: list[list[tuple[int, int]]]
     size: int
+    #: Items too short for an n-gram, by length and words.
+    short: dict[int, dict[tuple[int, ...], list[int]]] = field(default_factory=dict)
 
     def positions(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where ``ids`` (0: not a word of any item) has an n-gram of the block, and which."""
@@ -101,7 +106,7 @@ def pack(ids: np.ndarray, at: np.ndarray, size: int, vocab: int) -> np.ndarray:
 
 
 def make_block(items: list[tuple[int, str]], size: int = N) -> Block:
-    """Items of fewer than ``size`` words have no n-gram and can't be found."""
+    """Items of two words up to ``size`` - 1 have no n-gram and are kept whole."""
     vocab: dict[str, int] = {}
     split = {}
     for i, text in items:
@@ -114,7 +119,11 @@ def make_block(items: list[tuple[int, str]], size: int = N) -> Block:
         for at, code in enumerate(pack(w, np.arange(max(0, len(w) - size + 1)), size, len(vocab)).tolist()):
             owner.setdefault(code, []).append((i, at))
     grams = np.array(sorted(owner), np.int64)
-    return Block(vocab, split, grams, [owner[g] for g in grams.tolist()], size)
+    short: dict[int, dict[tuple[int, ...], list[int]]] = {}
+    for i, w in split.items():
+        if 2 <= len(w) < size:
+            short.setdefault(len(w), {}).setdefault(tuple(w.tolist()), []).append(i)
+    return Block(vocab, split, grams, [owner[g] for g in grams.tolist()], size, short)
 
 
 def numbers(block: Block, text: str) -> np.ndarray:
@@ -151,20 +160,28 @@ def find(block: Block, seeds: dict[int, list[tuple[int, int]]], text: str, least
                 best = (score, lo + a, lo + b)
         if best[0] >= least * MATCH * m:
             out.append((item, best[0] / (MATCH * m), best[1], best[2]))
+    for m, table in block.short.items():
+        seen = set()
+        for p in np.flatnonzero(ids[: max(0, len(ids) - m + 1)] > 0).tolist():
+            for item in table.get(tuple(ids[p : p + m].tolist()), ()):
+                if item not in seen:
+                    seen.add(item)
+                    out.append((item, 1.0, p, p + m))
     return out
 
 
-def blocks_of(benchmark: DataFrame, most: int = BLOCK_GRAMS) -> Iterator[list[tuple[int, str]]]:
+def blocks_of(benchmark: DataFrame, most: int = BLOCK_GRAMS) -> Iterator[list[tuple[int | None, str]]]:
     """Items in blocks of about ``most`` words, read one block at a time.
 
-    Null ids and null texts are left out; an id with several texts keeps the
-    smallest text, so results don't depend on the order of rows.
+    An item is a distinct pair of id, which may be null, and text; null texts
+    are left out.
     """
-    items = benchmark.where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
+    items = benchmark.select("item_id", "text").where("text is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0)).alias("w")).first()["w"]
     parts = max(1, -(-int(size) // most))
     for k in range(parts):
-        yield sorted((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect())
+        block = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()]
+        yield sorted(block, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.35, seed_share: float = 0.8, most: int = BLOCK_GRAMS) -> DataFrame:
@@ -172,14 +189,16 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.35, seed_sha
 
     ``seed_share`` is the part of an item's n-grams that occur at all, the
     rarest ones, that seed an alignment; at least eight do.  Null texts hold nothing; repeated rows
-    repeat their hits; an empty benchmark gives no rows.
+    repeat their hits; an id with several texts has a row for each that is held;
+    an empty benchmark gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select("doc_id", "text").where("text is not null")
     out = None
     for items in blocks_of(benchmark, most):
-        block = make_block(items)
+        block = make_block([(k, text) for k, (_, text) in enumerate(items)])
+        names = spark.sparkContext.broadcast([i for i, _ in items])
         frozen = spark.sparkContext.broadcast(block)  # at most ``most`` n-grams
 
         def count(batches: Iterator[pa.RecordBatch], frozen=frozen) -> Iterator[pa.RecordBatch]:
@@ -205,10 +224,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.35, seed_sha
                 seeds.setdefault(g, []).append((item, offset))
         chosen = spark.sparkContext.broadcast(seeds)
 
-        def search(batches: Iterator[pa.RecordBatch], frozen=frozen, chosen=chosen) -> Iterator[pa.RecordBatch]:
-            b, s = frozen.value, chosen.value
+        def search(batches: Iterator[pa.RecordBatch], frozen=frozen, chosen=chosen, names=names) -> Iterator[pa.RecordBatch]:
+            b, s, item_ids = frozen.value, chosen.value, names.value
             for batch in batches:
-                got = [(i, *h) for i, t in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True) for h in find(b, s, t, least)]
+                got = [(i, item_ids[h[0]], *h[1:]) for i, t in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True) for h in find(b, s, t, least)]
                 cols = list(zip(*got, strict=True)) if got else [()] * 5
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "score", "word_start", "word_end"])
@@ -219,6 +238,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.35, seed_sha
 
 
 def keep(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.35) -> DataFrame:
-    """Rows of ``docs``, all columns, without those that hold a test item."""
+    """Rows of ``docs``, all columns, without those that hold a test item.
+
+    Rows go by their id; a row without one stays.
+    """
     bad = hits(docs, benchmark, least=least).select("doc_id").where("doc_id is not null").distinct()
     return docs.join(bad, "doc_id", "left_anti")

@@ -192,3 +192,12 @@ def test_decontamination_edge_cases(spark):
     assert D.hits(docs, bench.where("1 = 0")).collect() == []
     assert sorted((r.doc_id or 0) for r in D.keep(docs, bench).collect()) == [0, 1, 2]
     assert D.hits(docs.where("1 = 0"), bench).collect() == []
+
+
+def test_every_test_text_is_searched(spark):
+    """Texts without an id, several texts of one id, and texts of two words."""
+    docs = spark.createDataFrame([(1, "x alpha beta gamma delta epsilon y"), (2, "one two three four five"), (3, "six seven eight nine ten"), (4, "in New York, now"), (5, "new in york")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "alpha beta gamma delta epsilon"), (7, "one two three four five"), (7, "six seven eight nine ten"), (7, "six seven eight nine ten"), (8, "New York"), (9, "now")], "item_id long, text string")
+    for most in (D.BLOCK_GRAMS, 4):
+        assert sorted((r.doc_id, r.item_id or 0) for r in D.hits(docs, bench, most=most).collect()) == [(1, 0), (2, 7), (3, 7), (4, 8)]
+    assert [r.doc_id for r in D.keep(docs, bench).collect()] == [5]
