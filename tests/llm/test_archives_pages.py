@@ -103,6 +103,16 @@ def test_small_pages(model, page, text):
     assert model.extract(page) == text
 
 
+@pytest.mark.parametrize("tag", ["button", "option", "select", "object", "canvas", "audio", "video", "map", "svg", "math"])
+def test_unclosed_elements_hide_nothing(model, tag):
+    article = "<article><h1>T</h1><p>Some text here, quite long.</p></article>"
+    want = "T\nSome text here, quite long."
+    assert model.extract(f"<{tag}>{article}") == want
+    assert model.extract(f"<{tag} class='a'>{article}<{tag}>x</{tag}>") == want
+    assert model.extract(f"<{tag}>x</{tag}>{article}<{tag}>") == want
+    assert len(html_model.parse(f"<{tag}><p>" * 20_000)) == 20_001
+
+
 def test_marginals_are_exact(model):
     """Sum-product against the sum over all labelings of a small tree."""
     import itertools
