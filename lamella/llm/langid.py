@@ -158,17 +158,21 @@ def fit(docs: DataFrame, *, modulus: int = 4, remainder: int = 2, chars: int = 6
     """Learn from rows outside the held-out fold whose lang isn't null.
 
     For each language about ``chars`` code points of whole texts at most,
-    sampled by id hash.  Without such rows the model answers ``und`` always.
+    sampled by id hash, but always the text of the smallest hash that isn't
+    empty, so no language is missing.  Without such rows the model answers ``und`` always.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(id_remainder(F.col("doc_id"), modulus) != remainder, F.lit(False)))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
+    place = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))
+    least = F.min(F.when(F.length("text") > 0, place)).alias("least")
+    sizes = {r["lang"]: (r["n"], r["least"]) for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n"), least).collect()}
     if not sizes:
         return build({})
     share = F.lit(0)
-    for lang, n in sorted(sizes.items()):
-        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, chars / max(n, 1)) * (1 << 30)))).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < share).select("lang", "text")
+    for lang, (n, first) in sorted(sizes.items()):
+        below = max(int(min(1.0, chars / max(n, 1)) * (1 << 30)), -1 if first is None else first + 1)
+        share = F.when(F.col("lang") == lang, F.lit(below)).otherwise(share)
+    sample = rows.where(place < share).select("lang", "text")
     small_batches(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +182,7 @@ def fit(docs: DataFrame, *, modulus: int = 4, remainder: int = 2, chars: int = 6
                 by.setdefault(lang, []).append(grams(padded(text.encode())))
             for lang, parts in by.items():
                 g, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "g", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "g", "n"])
 
     got = sample.mapInArrow(count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")).toArrow()
     names = np.array(got.column("lang").to_pylist(), object)

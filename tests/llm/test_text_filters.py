@@ -174,3 +174,11 @@ def test_language(spark, tables):
     assert all(0 <= x[2] <= 1 for x in out)
     none = langid.fit(docs.selectExpr("doc_id", "text", "cast(null as string) lang"))
     assert {r.lang_pred for r in langid.apply(docs.limit(3), none).collect()} == {"und"}
+
+
+def test_no_language_is_missing(spark):
+    """A sample smaller than any text still has one text of each language."""
+    rows = [(i, x, t) for i, (x, t) in enumerate([("aa", "abab cdcd " * 50), ("bb", "xyxy zwzw " * 50), ("cc", "mnmn opop " * 50)] * 8)] + [(100 + i, "aa", "") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.fit(docs, chars=1)
+    assert {(r.lang, r.lang_pred) for r in langid.apply(docs, model).join(docs.where("text <> ''"), "doc_id").select("lang", "lang_pred").collect()} == {("aa", "aa"), ("bb", "bb"), ("cc", "cc")}
