@@ -1,12 +1,15 @@
 """Removal of multi-line passages that repeat anywhere in the corpus.
 
-A text is cut into lines, and a line of more than LONG_LINE words further after
-.!?,; marks.  A passage is LEAST_LINES lines or more with LEAST_WORDS words or
-more.  Every smallest window that is one is hashed, both the one that starts
-and the one that ends at each line, so any passage that two texts share is a
-union of windows they share, whatever surrounds it.  Windows that occur before
-are joined to runs along the same first text and compared with it byte for
-byte.  All occurrences but the first are removed.
+A text is cut into lines, and a line of LONG_LINE spaces or more further after
+.!?,; marks, for a passage may start and end inside a paragraph.  A chunk is
+the shortest run of lines from a boundary on that has LEAST_LINES lines and
+LEAST_WORDS words, or the shortest that ends at one; a rolling hash over line
+hashes names it.  Every line edge is a boundary: boundaries that a hash thins
+out lose most repeated passages of a few lines.  So any passage that two texts
+share is a union of chunks they share, whatever surrounds it.
+
+Chunks that occur before are joined to runs along the same first text and
+compared with it byte for byte.  All occurrences but the first are removed.
 """
 
 from __future__ import annotations
@@ -16,23 +19,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from .common import ROWS_PER_BATCH, map_arrow, small_batches, stored, text_bytes
 
 LONG_LINE = 20
 LEAST_LINES = 2
-#: Windows of fewer words are too common to be a passage.
+#: Runs of fewer words are too common to be a passage.
 LEAST_WORDS = 8
-#: Base of the window hash, and its inverse modulo 2**64.
+#: Base of the rolling hash, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of runs that a worker holds before it passes them on.
 BODY_BYTES = 1 << 20
+#: Rows, and spans in them, that are broadcast at most (some 40 MB); larger tables are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_SPANS = 400_000, 1_000_000
 LINE = re.compile(rb"[^\n]*\n|[^\n]+")
 CLAUSE = re.compile(rb"[^.!?,;]*[.!?,;]+[ \t\r]*\n?|[^.!?,;]+")
+#: What may follow a line without being part of it.
+END = b" \t\r\n"
 
 
 def lines_of(text: bytes) -> list[bytes]:
@@ -46,51 +53,79 @@ def lines_of(text: bytes) -> list[bytes]:
     return out
 
 
-def windows(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, first lines, numbers of lines) of the smallest passages that start or end at each line."""
-    import xxhash
-
-    n = len(lines)
-    bare = [x.strip() for x in lines]
-    words = np.zeros(n + 1, np.int64)
-    np.cumsum([x.count(b" ") + 1 if x else 0 for x in bare], out=words[1:])
-    if n < LEAST_LINES or words[n] < LEAST_WORDS:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    start = np.arange(n)
-    end = np.maximum(np.searchsorted(words, words[:n] + LEAST_WORDS), start + LEAST_LINES)
-    start, end = start[end <= n], end[end <= n]
-    # an end that no start leads to has a window of its own
-    alone = np.ones(n + 1, bool)
-    alone[: end[0]] = False
-    alone[end] = False
-    last = np.flatnonzero(alone)
-    first = np.minimum(np.searchsorted(words, words[last] - LEAST_WORDS, "right") - 1, last - LEAST_LINES)
-    start, end = np.concatenate([start, first]), np.concatenate([end, last])
-    with np.errstate(over="ignore"):
-        power, back = np.full(n, BASE, np.uint64), np.full(n, INVERSE, np.uint64)
-        power[0] = back[0] = 1
-        power, back = np.multiply.accumulate(power), np.multiply.accumulate(back)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(np.fromiter(map(xxhash.xxh3_64_intdigest, bare), np.uint64, n) * power, out=sums[1:])
-        return (sums[end] - sums[start]) * back[start], start, end - start
+class Chunker:
+    """Chunks of whole batches of texts; keeps the powers of BASE between batches."""
+
+    def __init__(self) -> None:
+        import xxhash
+
+        self.hash = xxhash.xxh3_64_intdigest
+        self.power = np.ones(0, np.uint64)
+        self.back = self.power
+
+    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.power) < n:
+            size = max(n, 1 << 16)
+            power, back = np.full(size, BASE, np.uint64), np.full(size, INVERSE, np.uint64)
+            power[0] = back[0] = 1
+            self.power, self.back = np.multiply.accumulate(power), np.multiply.accumulate(back)
+        return self.power[:n], self.back[:n]
+
+    def __call__(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text number, hash, first line, lines) of every chunk of the texts, given as lines."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        bare = [x.rstrip(END) for lines in texts for x in lines]
+        n = len(bare)
+        if not n:
+            none = np.zeros(0, np.int64)
+            return none, none.view(np.uint64), none, none
+        words = np.zeros(n + 1, np.int64)
+        np.cumsum(np.fromiter((x.lstrip().count(b" ") + 1 if x else 0 for x in bare), np.int64, n), out=words[1:])
+        bound = np.concatenate([[0], np.cumsum(sizes)])
+        text = np.repeat(np.arange(len(texts)), sizes)
+        start = np.arange(n)
+        end = np.maximum(np.searchsorted(words, words[:n] + LEAST_WORDS), start + LEAST_LINES)
+        ok = end <= bound[text + 1]
+        start, end = start[ok], end[ok]
+        # an end that no start leads to has a chunk of its own
+        alone = np.ones(n + 1, bool)
+        alone[0] = False
+        alone[end] = False
+        last = np.flatnonzero(alone)
+        first = np.minimum(np.searchsorted(words, words[last] - LEAST_WORDS, "right") - 1, last - LEAST_LINES)
+        ok = first >= bound[text[last - 1]]
+        start, end = np.concatenate([start, first[ok]]), np.concatenate([end, last[ok]])
+        power, back = self.powers(n)
+        with np.errstate(over="ignore"):
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(np.fromiter(map(self.hash, bare), np.uint64, n) * power, out=sums[1:])
+            hashes = (sums[end] - sums[start]) * back[start]
+        own = text[start]
+        return own, hashes, start - bound[own], end - start
 
 
 def chunks(lines: list[bytes]) -> Iterator[tuple[int, int, int]]:
-    """(hash, first line, lines) of every window."""
-    return zip(*(x.tolist() for x in windows(lines)), strict=True)
+    """(hash, first line, lines) of every chunk of one text."""
+    return zip(*(x.tolist() for x in Chunker()([lines])[1:]), strict=True)
 
 
-def _key() -> F.Column:
-    return F.xxhash64("doc_id", "text")
+#: A row's name: its id, and a hash of its text that also tells a null id from the one that stands for it.
+KEY = ("k0", "k1")
+
+
+def _key() -> list[Column]:
+    null = F.col("doc_id").isNull()
+    return [F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k0"), F.xxhash64("text", null).alias("k1")]
 
 
 def _packed(docs: DataFrame, *keep: str) -> DataFrame:
-    """``lamella_key``, the text compressed as ``lamella_text``, and the ``keep`` columns.
+    """``lamella_k0``, ``lamella_k1``, the text compressed as ``lamella_text``, and the ``keep`` columns.
 
-    Texts cross the network twice; packed they take about half of what Spark's
-    own shuffle compression leaves.
+    What crosses the network is packed: it takes about half of what Spark's own
+    shuffle compression leaves.
     """
     kept = [f for f in docs.schema.fields if f.name in keep]
+    names = ["lamella_k0", "lamella_k1", "lamella_text", *(f.name for f in kept)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -98,10 +133,11 @@ def _packed(docs: DataFrame, *keep: str) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             packed = [None if t is None else pack(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("lamella_key"), pa.array(packed, pa.binary()), *(batch.column(f.name) for f in kept)], names=["lamella_key", "lamella_text", *(f.name for f in kept)])
+            yield pa.RecordBatch.from_arrays([batch.column("lamella_k0"), batch.column("lamella_k1"), pa.array(packed, pa.binary()), *(batch.column(f.name) for f in kept)], names=names)
 
-    schema = StructType([StructField("lamella_key", LongType()), StructField("lamella_text", BinaryType()), *kept])
-    return docs.withColumn("lamella_key", _key()).select("lamella_key", "text", *(f.name for f in kept)).mapInArrow(run, schema)
+    schema = StructType([*StructType.fromDDL("lamella_k0 long, lamella_k1 long"), StructField("lamella_text", BinaryType()), *kept])
+    k0, k1 = _key()
+    return docs.select(k0.alias("lamella_k0"), k1.alias("lamella_k1"), "text", *(f.name for f in kept)).mapInArrow(run, schema)
 
 
 def _unpack(packed: list) -> list[bytes]:
@@ -111,53 +147,63 @@ def _unpack(packed: list) -> list[bytes]:
     return [b"" if z is None else unpack(z) for z in packed]
 
 
-#: A window's place is its first line times this plus its number of lines.
+#: A chunk's place is its first line times this plus its number of lines.
 PLACE = 1 << 24
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """(doc_key, spans): the line ranges [first, end) to remove from each text.
+def removals(docs: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(k0, k1, spans): the line ranges [a, b) to remove from each row with any.
 
-    A row is named by a hash of its id and text, so rows that are the same
-    throughout lose the same lines, and equal ids with different texts are
-    different rows.  Of several occurrences the one with the smallest such hash
-    stays, and within a text the first.
+    Rows that are the same in id and text lose the same lines; equal ids with
+    different texts are different rows.  Of several occurrences the one with the
+    smallest id stays (null first), and within a text the first.  A passage that
+    overlaps its own first occurrence leaves the lines they share.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select("doc_id", "text").where("text is not null")
-
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = [windows(lines_of(t)) for t in text_bytes(batch.column("text"))]
-        keys = np.repeat(batch.column("doc_key").to_numpy(), [len(h) for h, _, _ in got])
-        hashes, first, n = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in range(3))
-        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(keys), pa.array(first * PLACE + n)], names=["hash", "doc_key", "place"])
+    rows = docs.select("doc_id", "text").where("text is not null").select(*_key(), "text")
 
-    found = map_arrow(rows.select(_key().alias("doc_key"), "text"), cut, "hash long, doc_key long, place long")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunker = Chunker()
+        for batch in batches:
+            text, hashes, first, n = chunker([lines_of(t) for t in text_bytes(batch.column("text"))])
+            keys = [pa.array(batch.column(k).to_numpy()[text]) for k in KEY]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), *keys, pa.array(first * PLACE + n)], names=["hash", *KEY, "place"])
+
+    # written once: the count below reads its first column alone
+    found = stored(rows.mapInArrow(cut, "hash long, k0 long, k1 long, place long"), "chunks")
+    often = stored(found.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash"), "often")
+    again = found.join(F.broadcast(often) if often.count() <= broadcast_rows else often, "hash", "left_semi")
+    # the first of each is a partial minimum, and a hot chunk's rows meet it in a join that can be split
+    heads = again.groupBy("hash").agg(F.min(F.struct(*KEY, "place")).alias("h")).selectExpr("hash", "h.k0 as f0", "h.k1 as f1", "h.place as first_place")
     # an occurrence that repeats with its whole row is not a later one
-    by_hash = Window.partitionBy("hash").orderBy("doc_key", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    again = found.select("doc_key", "place", F.first("doc_key").over(by_hash).alias("first_key"), F.first("place").over(by_hash).alias("first_place")).where("doc_key <> first_key or place <> first_place")
+    again = again.join(heads, "hash").where("k0 <> f0 or k1 <> f1 or place <> first_place")
 
-    # windows with the same first text at the same distance, end to end, are one run
-    again = again.selectExpr("doc_key", "first_key", f"cast(place div {PLACE} as int) as pos", f"cast(place % {PLACE} as int) as n", f"cast(place div {PLACE} - first_place div {PLACE} as int) as shift", "place")
+    # chunks with the same first text at the same distance, end to end, are one run
+    again = again.selectExpr(*KEY, "f0", "f1", f"cast(place div {PLACE} as int) as pos", f"cast(place % {PLACE} as int) as n", f"cast(place div {PLACE} - first_place div {PLACE} as int) as shift")
     # one that overlaps its own first occurrence stands alone and leaves the lines they share
-    over = (F.col("doc_key") == F.col("first_key")) & (F.col("shift") < F.col("n"))
-    again = again.select("doc_key", "first_key", "shift", F.when(over, F.col("place")).otherwise(F.lit(-1)).alias("alone"), "pos", (F.col("pos") + F.col("n")).alias("end"))
-    group = ("doc_key", "first_key", "shift", "alone")
+    over = F.expr("k0 = f0 and k1 = f1 and shift < n")
+    again = again.select(*KEY, "f0", "f1", "shift", F.when(over, F.col("pos") * F.lit(PLACE).cast("long") + F.col("n")).otherwise(F.lit(-1)).alias("alone"), "pos", (F.col("pos") + F.col("n")).alias("end"))
+    group = (*KEY, "f0", "f1", "shift", "alone")
     line = Window.partitionBy(*group).orderBy("pos", "end")
     reached = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
     opens = again.withColumn("opens", F.when(F.col("pos") <= reached, 0).otherwise(1))
     numbered = opens.withColumn("run", F.sum("opens").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     runs = numbered.groupBy(*group, "run").agg(F.min("pos").alias("pos"), F.max("end").alias("end"))
     n = F.col("end") - F.col("pos")
-    skip = F.when(F.col("alone") >= 0, n - F.col("shift")).otherwise(F.lit(0))
-    runs = stored(runs.select("doc_key", "pos", n.alias("n"), "first_key", (F.col("pos") - F.col("shift")).alias("first_pos"), skip.alias("skip")), "runs")
+    runs = runs.select(*KEY, "f0", "f1", (F.col("pos") - F.col("shift")).alias("first_pos"), n.alias("n"), "pos", F.when(F.col("alone") >= 0, n - F.col("shift")).otherwise(F.lit(0)).alias("skip"))
+    # a passage that a text repeats many times is one row, with the places of all
+    at = F.sort_array(F.collect_list(F.struct("pos", "skip"))).alias("at")
+    runs = stored(runs.groupBy(*KEY, "f0", "f1", "first_pos", "n").agg(at), "runs")
 
     # the texts of runs and of their first occurrences
-    firsts = runs.select(F.col("first_key").alias("doc_key"), F.col("first_pos").alias("pos"), "n", "first_key", "first_pos", F.lit(-1).alias("skip")).distinct()
-    wanted = runs.unionByName(firsts).groupBy(F.col("doc_key").alias("lamella_key")).agg(F.collect_list(F.struct("pos", "n", "first_key", "first_pos", "skip")).alias("at"))
-    texts = _packed(rows).dropDuplicates(["lamella_key"]).join(wanted, "lamella_key")
-    kinds = {"doc_key": pa.int64(), "pos": pa.int32(), "n": pa.int32(), "first_key": pa.int64(), "first_pos": pa.int32(), "skip": pa.int32(), "body": pa.binary()}
+    none = F.lit(None).cast("array<struct<pos:int,skip:int>>")
+    firsts = runs.select(F.col("f0").alias("k0"), F.col("f1").alias("k1"), "f0", "f1", "first_pos", "n").distinct().withColumn("at", none)
+    wanted = stored(runs.unionByName(firsts).groupBy(*KEY).agg(F.collect_list(F.struct("f0", "f1", "first_pos", "n", "at")).alias("runs")), "wanted")
+    only = wanted.select(*KEY)
+    rows = rows.join(F.broadcast(only) if only.count() <= broadcast_rows else only, [*KEY], "left_semi")
+    texts = _packed_rows(rows).dropDuplicates([*KEY]).join(wanted, [*KEY])
+    kinds = {"k0": pa.int64(), "k1": pa.int64(), "f0": pa.int64(), "f1": pa.int64(), "first_pos": pa.int32(), "n": pa.int32(), "at": pa.list_(pa.struct([("pos", pa.int32()), ("skip", pa.int32())])), "body": pa.binary()}
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: list[tuple] = []
@@ -168,45 +214,74 @@ def removals(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True)], names=list(kinds))
 
         for batch in batches:
-            for key, text, at in zip(batch.column("lamella_key").to_pylist(), _unpack(batch.column("lamella_text").to_pylist()), batch.column("at").to_pylist(), strict=True):
-                lines = [x.strip() for x in lines_of(text)]
-                for c in at:
-                    body = b"\n".join(lines[c["pos"] : c["pos"] + c["n"]])
-                    got.append((key, c["pos"], c["n"], c["first_key"], c["first_pos"], c["skip"], body))
-                    size += len(body)
+            for k0, k1, text, found in zip(*(batch.column(k).to_pylist() for k in KEY), _unpack(batch.column("packed").to_pylist()), batch.column("runs").to_pylist(), strict=True):
+                lines = [x.rstrip(END) for x in lines_of(text)]
+                for r in found:
+                    # places whose bytes are the same go together
+                    by: dict[bytes, list] = {}
+                    for p in r["at"] or [None]:
+                        a = r["first_pos"] if p is None else p["pos"]
+                        by.setdefault(b"\n".join(lines[a : a + r["n"]]), []).append(p)
+                    for body, places in by.items():
+                        got.append((k0, k1, r["f0"], r["f1"], r["first_pos"], r["n"], None if r["at"] is None else places, body))
+                        size += len(body)
                     if size > BODY_BYTES or len(got) >= ROWS_PER_BATCH:
                         yield flush()
                         got, size = [], 0
         yield flush()
 
-    schema = "doc_key long, pos int, n int, first_key long, first_pos int, skip int, body binary"
-    shown = stored(texts.select("lamella_key", "lamella_text", "at").mapInArrow(show, schema), "shown")
-    heads = shown.where("skip < 0").select("first_key", "first_pos", "n", F.col("body").alias("body1"))
-    same = shown.where("skip >= 0").join(heads, ["first_key", "first_pos", "n"]).where("body = body1")
-    return same.select("doc_key", F.struct((F.col("pos") + F.col("skip")).alias("a"), (F.col("pos") + F.col("n")).alias("b")).alias("s")).groupBy("doc_key").agg(F.collect_set("s").alias("spans"))
+    shown = stored(texts.select(*KEY, "packed", "runs").mapInArrow(show, "k0 long, k1 long, f0 long, f1 long, first_pos int, n int, at array<struct<pos:int,skip:int>>, body binary"), "shown")
+    first = ["f0", "f1", "first_pos", "n"]
+    heads = shown.where("at is null").select(*first, F.col("body").alias("head"))
+    same = shown.where("at is not null").join(heads, first).where("body = head")
+    spans = same.select(*KEY, F.expr("transform(at, p -> struct(p.pos + p.skip as a, p.pos + n as b))").alias("s"))
+    return spans.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("spans"))
+
+
+def _packed_rows(rows: DataFrame) -> DataFrame:
+    """KEY and ``packed``, the text compressed."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEY), pa.array([pack(t) for t in text_bytes(batch.column("text"))], pa.binary())], names=[*KEY, "packed"])
+
+    return map_arrow(rows.select(*KEY, "text"), run, "k0 long, k1 long, packed binary")
 
 
-def clean(docs: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS, broadcast_spans: int = BROADCAST_SPANS) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``, and
     ``lamella_lines``, ``lamella_removed`` (int): lines before, lines removed.
 
-    A null text stays null with 0 lines.  Texts of one line are never changed.
+    A null text stays null with 0 lines; a text of one line (LONG_LINE spaces
+    or more make it several) is never changed.  Ranges of lines reach the texts
+    by a broadcast up to the bounds given; beyond, packed texts are shuffled.
     """
-    spans = removals(docs).withColumnRenamed("doc_key", "lamella_key").withColumnRenamed("spans", "lamella_spans")
+    spans = stored(removals(docs, broadcast_rows=broadcast_rows), "spans")
+    size = spans.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("spans")).first()
+    spans = spans.select(F.col("k0").alias("lamella_k0"), F.col("k1").alias("lamella_k1"), F.col("spans").alias("lamella_spans"))
     columns = docs.columns
-    others = [c for c in columns if c != "text"]
-    rows = _packed(docs, *others).join(spans, "lamella_key", "left").select("lamella_text", "lamella_spans", *others)
+    keys = ["lamella_k0", "lamella_k1"]
+    packed = size["rows"] > broadcast_rows or size["spans"] > broadcast_spans
+    if packed:
+        others = [c for c in columns if c != "text"]
+        rows = _packed(docs, *others).join(spans, keys, "left").select("lamella_text", "lamella_spans", *others)
+    else:
+        k0, k1 = _key()
+        rows = docs.select("*", k0.alias("lamella_k0"), k1.alias("lamella_k1")).join(F.broadcast(spans), keys, "left").select("lamella_spans", *columns)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out, total, gone = [], [], []
-        packed = batch.column("lamella_text").to_pylist()
-        for z, text, spans in zip(packed, _unpack(packed), batch.column("lamella_spans").to_pylist(), strict=True):
+        raw = batch.column("lamella_text").to_pylist() if packed else batch.column("text").cast(pa.binary()).to_pylist()
+        found = _unpack(raw) if packed else [t or b"" for t in raw]
+        for z, text, spans in zip(raw, found, batch.column("lamella_spans").to_pylist(), strict=True):
             lines = lines_of(text)
             drop = {k for s in spans or () for k in range(s["a"], s["b"])}
-            out.append(None if z is None else b"".join(x for k, x in enumerate(lines) if k not in drop).decode() if drop else text.decode())
+            out.append(None if z is None else b"".join(x for k, x in enumerate(lines) if k not in drop) if drop else text)
             total.append(len(lines))
             gone.append(len(drop))
-        arrays = [pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in columns]
+        arrays = [pa.array(out, pa.binary()).cast(pa.string()) if c == "text" else batch.column(c) for c in columns]
         return pa.RecordBatch.from_arrays([*arrays, pa.array(total, pa.int32()), pa.array(gone, pa.int32())], names=[*columns, "lamella_lines", "lamella_removed"])
 
     schema = StructType([*docs.schema.fields, StructField("lamella_lines", IntegerType()), StructField("lamella_removed", IntegerType())])
