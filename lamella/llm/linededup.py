@@ -71,14 +71,17 @@ class Chunker:
             self.power, self.back = np.multiply.accumulate(power), np.multiply.accumulate(back)
         return self.power[:n], self.back[:n]
 
-    def __call__(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text number, hash, first line, lines) of every chunk of the texts, given as lines."""
+    def __call__(self, texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+        """Of the texts, given as lines: (text number, hash, first line, lines) of every
+        chunk where its text has it first, and (text number, first line, lines) of the
+        ranges that repeat lines of the same text.
+        """
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         bare = [x.rstrip(END) for lines in texts for x in lines]
         n = len(bare)
         if not n:
             none = np.zeros(0, np.int64)
-            return none, none.view(np.uint64), none, none
+            return none, none.view(np.uint64), none, none, none, none, none
         words = np.zeros(n + 1, np.int64)
         np.cumsum(np.fromiter((x.lstrip().count(b" ") + 1 if x else 0 for x in bare), np.int64, n), out=words[1:])
         bound = np.concatenate([[0], np.cumsum(sizes)])
@@ -101,12 +104,33 @@ class Chunker:
             np.cumsum(np.fromiter(map(self.hash, bare), np.uint64, n) * power, out=sums[1:])
             hashes = (sums[end] - sums[start]) * back[start]
         own = text[start]
-        return own, hashes, start - bound[own], end - start
+
+        order = np.lexsort((start, hashes, own))
+        own, hashes, start, end = own[order], hashes[order], start[order], end[order]
+        fresh = np.ones(len(own), bool)
+        fresh[1:] = (own[1:] != own[:-1]) | (hashes[1:] != hashes[:-1])
+        head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        edge = np.zeros(n + 1, np.int32)
+        for k in np.flatnonzero(~fresh).tolist():
+            a, b, e, size = start[head[k]], start[k], end[k], end[head[k]] - start[head[k]]
+            if size == e - b and bare[a : a + size] == bare[b:e]:
+                edge[max(b, a + size)] += 1  # the lines that both share stay
+                edge[e] -= 1
+        gone = np.concatenate([[0], np.cumsum(edge[:n]) > 0, [0]]).astype(np.int8)
+        # ranges end with their text
+        cut = np.diff(gone)
+        inner = bound[1:-1][(bound[1:-1] > 0) & (bound[1:-1] < n)]
+        through = np.unique(inner[(gone[inner] & gone[inner + 1]) > 0])
+        opens = np.sort(np.concatenate([np.flatnonzero(cut[:n] > 0), through]))
+        closes = np.sort(np.concatenate([np.flatnonzero(cut < 0), through]))
+        whose = text[opens]
+        own, hashes, start, end = own[fresh], hashes[fresh], start[fresh], end[fresh]
+        return own, hashes, start - bound[own], end - start, whose, opens - bound[whose], closes - opens
 
 
 def chunks(lines: list[bytes]) -> Iterator[tuple[int, int, int]]:
-    """(hash, first line, lines) of every chunk of one text."""
-    return zip(*(x.tolist() for x in Chunker()([lines])[1:]), strict=True)
+    """(hash, first line, lines) of every different chunk of one text."""
+    return zip(*(x.tolist() for x in Chunker()([lines])[1:4]), strict=True)
 
 
 #: A row's name: its id, and a hash of its text that also tells a null id from the one that stands for it.
@@ -166,44 +190,38 @@ def removals(docs: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS) -> DataFr
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunker = Chunker()
         for batch in batches:
-            text, hashes, first, n = chunker([lines_of(t) for t in text_bytes(batch.column("text"))])
-            keys = [pa.array(batch.column(k).to_numpy()[text]) for k in KEY]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), *keys, pa.array(first * PLACE + n)], names=["hash", *KEY, "place"])
+            text, hashes, first, n, own, a, size = chunker([lines_of(t) for t in text_bytes(batch.column("text"))])
+            whose = np.concatenate([text, own])
+            keys = [pa.array(batch.column(k).to_numpy()[whose]) for k in KEY]
+            names = pa.concat_arrays([pa.array(hashes.view(np.int64)), pa.nulls(len(own), pa.int64())])
+            yield pa.RecordBatch.from_arrays([names, *keys, pa.array(np.concatenate([first * PLACE + n, a * PLACE + size]))], names=["hash", *KEY, "place"])
 
-    # written once: the count below reads its first column alone
+    # written once: the count below reads its first column alone; ranges that repeat lines of their own text have no hash
     found = stored(rows.mapInArrow(cut, "hash long, k0 long, k1 long, place long"), "chunks")
-    often = stored(found.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash"), "often")
-    again = found.join(F.broadcast(often) if often.count() <= broadcast_rows else often, "hash", "left_semi")
+    pos, size = F.expr(f"cast(place div {PLACE} as int)"), F.expr(f"cast(place % {PLACE} as int)")
+    often = found.where("hash is not null").groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash")
+    again = stored(found.where("hash is not null").join(often, "hash", "left_semi"), "again")
     # the first of each is a partial minimum, and a hot chunk's rows meet it in a join that can be split
     heads = again.groupBy("hash").agg(F.min(F.struct(*KEY, "place")).alias("h")).selectExpr("hash", "h.k0 as f0", "h.k1 as f1", "h.place as first_place")
-    # an occurrence that repeats with its whole row is not a later one
-    again = again.join(heads, "hash").where("k0 <> f0 or k1 <> f1 or place <> first_place")
+    again = again.join(heads, "hash").where("k0 <> f0 or k1 <> f1")
 
     # chunks with the same first text at the same distance, end to end, are one run
-    again = again.selectExpr(*KEY, "f0", "f1", f"cast(place div {PLACE} as int) as pos", f"cast(place % {PLACE} as int) as n", f"cast(place div {PLACE} - first_place div {PLACE} as int) as shift")
-    # one that overlaps its own first occurrence stands alone and leaves the lines they share
-    over = F.expr("k0 = f0 and k1 = f1 and shift < n")
-    again = again.select(*KEY, "f0", "f1", "shift", F.when(over, F.col("pos") * F.lit(PLACE).cast("long") + F.col("n")).otherwise(F.lit(-1)).alias("alone"), "pos", (F.col("pos") + F.col("n")).alias("end"))
-    group = (*KEY, "f0", "f1", "shift", "alone")
+    again = again.select(*KEY, "f0", "f1", (pos - F.expr(f"cast(first_place div {PLACE} as int)")).alias("shift"), pos.alias("pos"), (pos + size).alias("end"))
+    group = (*KEY, "f0", "f1", "shift")
     line = Window.partitionBy(*group).orderBy("pos", "end")
     reached = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
     opens = again.withColumn("opens", F.when(F.col("pos") <= reached, 0).otherwise(1))
     numbered = opens.withColumn("run", F.sum("opens").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     runs = numbered.groupBy(*group, "run").agg(F.min("pos").alias("pos"), F.max("end").alias("end"))
-    n = F.col("end") - F.col("pos")
-    runs = runs.select(*KEY, "f0", "f1", (F.col("pos") - F.col("shift")).alias("first_pos"), n.alias("n"), "pos", F.when(F.col("alone") >= 0, n - F.col("shift")).otherwise(F.lit(0)).alias("skip"))
-    # a passage that a text repeats many times is one row, with the places of all
-    at = F.sort_array(F.collect_list(F.struct("pos", "skip"))).alias("at")
-    runs = stored(runs.groupBy(*KEY, "f0", "f1", "first_pos", "n").agg(at), "runs")
+    runs = stored(runs.select(*KEY, "f0", "f1", (F.col("pos") - F.col("shift")).alias("first_pos"), (F.col("end") - F.col("pos")).alias("n"), "pos"), "runs")
 
     # the texts of runs and of their first occurrences
-    none = F.lit(None).cast("array<struct<pos:int,skip:int>>")
-    firsts = runs.select(F.col("f0").alias("k0"), F.col("f1").alias("k1"), "f0", "f1", "first_pos", "n").distinct().withColumn("at", none)
-    wanted = stored(runs.unionByName(firsts).groupBy(*KEY).agg(F.collect_list(F.struct("f0", "f1", "first_pos", "n", "at")).alias("runs")), "wanted")
+    firsts = runs.select(F.col("f0").alias("k0"), F.col("f1").alias("k1"), "f0", "f1", "first_pos", "n").distinct().withColumn("pos", F.lit(None).cast("int"))
+    wanted = stored(runs.unionByName(firsts).groupBy(*KEY).agg(F.collect_list(F.struct("f0", "f1", "first_pos", "n", "pos")).alias("runs")), "wanted")
     only = wanted.select(*KEY)
     rows = rows.join(F.broadcast(only) if only.count() <= broadcast_rows else only, [*KEY], "left_semi")
     texts = _packed_rows(rows).dropDuplicates([*KEY]).join(wanted, [*KEY])
-    kinds = {"k0": pa.int64(), "k1": pa.int64(), "f0": pa.int64(), "f1": pa.int64(), "first_pos": pa.int32(), "n": pa.int32(), "at": pa.list_(pa.struct([("pos", pa.int32()), ("skip", pa.int32())])), "body": pa.binary()}
+    kinds = {"k0": pa.int64(), "k1": pa.int64(), "f0": pa.int64(), "f1": pa.int64(), "first_pos": pa.int32(), "n": pa.int32(), "pos": pa.int32(), "body": pa.binary()}
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: list[tuple] = []
@@ -217,25 +235,21 @@ def removals(docs: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS) -> DataFr
             for k0, k1, text, found in zip(*(batch.column(k).to_pylist() for k in KEY), _unpack(batch.column("packed").to_pylist()), batch.column("runs").to_pylist(), strict=True):
                 lines = [x.rstrip(END) for x in lines_of(text)]
                 for r in found:
-                    # places whose bytes are the same go together
-                    by: dict[bytes, list] = {}
-                    for p in r["at"] or [None]:
-                        a = r["first_pos"] if p is None else p["pos"]
-                        by.setdefault(b"\n".join(lines[a : a + r["n"]]), []).append(p)
-                    for body, places in by.items():
-                        got.append((k0, k1, r["f0"], r["f1"], r["first_pos"], r["n"], None if r["at"] is None else places, body))
-                        size += len(body)
+                    a = r["first_pos"] if r["pos"] is None else r["pos"]
+                    body = b"\n".join(lines[a : a + r["n"]])
+                    got.append((k0, k1, r["f0"], r["f1"], r["first_pos"], r["n"], r["pos"], body))
+                    size += len(body)
                     if size > BODY_BYTES or len(got) >= ROWS_PER_BATCH:
                         yield flush()
                         got, size = [], 0
         yield flush()
 
-    shown = stored(texts.select(*KEY, "packed", "runs").mapInArrow(show, "k0 long, k1 long, f0 long, f1 long, first_pos int, n int, at array<struct<pos:int,skip:int>>, body binary"), "shown")
+    shown = stored(texts.select(*KEY, "packed", "runs").mapInArrow(show, "k0 long, k1 long, f0 long, f1 long, first_pos int, n int, pos int, body binary"), "shown")
     first = ["f0", "f1", "first_pos", "n"]
-    heads = shown.where("at is null").select(*first, F.col("body").alias("head"))
-    same = shown.where("at is not null").join(heads, first).where("body = head")
-    spans = same.select(*KEY, F.expr("transform(at, p -> struct(p.pos + p.skip as a, p.pos + n as b))").alias("s"))
-    return spans.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("spans"))
+    heads = shown.where("pos is null").select(*first, F.col("body").alias("head"))
+    same = shown.where("pos is not null").join(heads, first).where("body = head").select(*KEY, "pos", "n")
+    spans = same.unionByName(found.where("hash is null").select(*KEY, pos.alias("pos"), size.alias("n")).distinct())
+    return spans.groupBy(*KEY).agg(F.collect_list(F.struct(F.col("pos").alias("a"), (F.col("pos") + F.col("n")).alias("b"))).alias("spans"))
 
 
 def _packed_rows(rows: DataFrame) -> DataFrame:
@@ -293,3 +307,32 @@ def keep(docs: DataFrame) -> DataFrame:
     done = clean(docs)
     empty = (F.col("lamella_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return done.where(~empty).select(*docs.columns)
+
+
+def _sql(table: str = "documents") -> str:
+    words = "length(ltrim(b, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')) - length(replace(ltrim(b, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), ' ', '')) + 1"
+    return rf"""
+WITH l AS (SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS ls FROM {table}),
+u AS (SELECT doc_id, text, flatten(list_transform(ls, lambda x: CASE WHEN length(x) - length(replace(x, ' ', '')) >= {LONG_LINE} THEN regexp_extract_all(x, '[^.!?,;]*[.!?,;]+[ \t\r]*\n?|[^.!?,;]+') ELSE [x] END)) AS us FROM l),
+e AS (SELECT doc_id, unnest(us) AS x, generate_subscripts(us, 1) - 1 AS k FROM u),
+b AS (SELECT doc_id, k, x, rtrim(x, chr(9) || chr(10) || chr(13) || ' ') AS b FROM e),
+c AS (SELECT *, CASE WHEN b = '' THEN 0 ELSE {words} END AS w FROM b),
+p AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY k) AS upto, sum(w) OVER (PARTITION BY doc_id ORDER BY k) - w AS before, count(*) OVER (PARTITION BY doc_id) AS n FROM c),
+-- the shortest chunk from each line on, then the shortest up to each line that none of these reaches
+ends AS (SELECT doc_id, upto, min(k) + 1 AS e FROM p GROUP BY ALL),
+starts AS (SELECT doc_id, before, max(k) AS s FROM p GROUP BY ALL),
+f AS (SELECT p.doc_id, k AS s, greatest(e, k + {LEAST_LINES}) AS e, n FROM p ASOF JOIN ends ON p.doc_id = ends.doc_id AND p.before + {LEAST_WORDS} <= ends.upto),
+f1 AS (SELECT doc_id, s, e FROM f WHERE e <= n),
+g AS (SELECT p.doc_id, least(s, k + 1 - {LEAST_LINES}) AS s, k + 1 AS e FROM p ASOF JOIN starts ON p.doc_id = starts.doc_id AND p.upto - {LEAST_WORDS} >= starts.before),
+ch AS (SELECT * FROM f1 UNION ALL SELECT * FROM g WHERE s >= 0 AND (doc_id, e) NOT IN (SELECT (doc_id, e) FROM f1)),
+t AS (SELECT ch.doc_id, s, e, string_agg(b, chr(10) ORDER BY k) AS body FROM ch JOIN p ON p.doc_id = ch.doc_id AND k >= s AND k < e GROUP BY ALL),
+h AS (SELECT doc_id, s, e, first_value(doc_id) OVER o AS d1, first_value(s) OVER o AS s1 FROM t WINDOW o AS (PARTITION BY body, e - s ORDER BY doc_id, s)),
+r AS (SELECT doc_id, CASE WHEN doc_id = d1 THEN greatest(s, s1 + e - s) ELSE s END AS s, e FROM h WHERE doc_id <> d1 OR s <> s1),
+gone AS (SELECT DISTINCT p.doc_id, k FROM p JOIN r ON r.doc_id = p.doc_id AND k >= s AND k < e),
+kept AS (SELECT p.doc_id, count(gone.k)::INT AS n_removed, coalesce(string_agg(x, '' ORDER BY p.k) FILTER (gone.k IS NULL), '') AS left_ FROM p LEFT JOIN gone ON gone.doc_id = p.doc_id AND gone.k = p.k GROUP BY p.doc_id)
+SELECT u.doc_id, coalesce(len(us), 0)::INT AS n_lines, coalesce(n_removed, 0)::INT AS n_removed, length(coalesce(left_, text))::INT AS n_chars, md5(coalesce(left_, text)) AS text_md5
+FROM u LEFT JOIN kept USING (doc_id)"""
+
+
+#: Chunks as texts instead of hashes, every pair of equal ones; for small tables of distinct ids.
+ORACLE = _sql()

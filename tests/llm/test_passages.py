@@ -124,6 +124,55 @@ def test_line_edge_cases(spark):
     assert L.clean(df.where("1 = 0")).collect() == []
 
 
+def brute_clean(rows):
+    """(lines, removed lines, text) of rows with distinct ids, by comparing every chunk with all before it."""
+    seen, gone = {}, {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+        lines = [x.rstrip(b" \t\r\n") for x in L.lines_of((t or "").encode())]
+        words = [len(x.lstrip().split(b" ")) if x else 0 for x in lines]
+        found = set()
+        for a in range(len(lines)):
+            e = next((e for e in range(a + L.LEAST_LINES, len(lines) + 1) if sum(words[a:e]) >= L.LEAST_WORDS), None)
+            found |= {(a, e)} if e else set()
+        for e in set(range(len(lines) + 1)) - {e for _, e in found}:
+            a = next((a for a in range(e - L.LEAST_LINES, -1, -1) if sum(words[a:e]) >= L.LEAST_WORDS), None)
+            found |= {(a, e)} if a is not None else set()
+        for a, e in sorted(found):
+            d, s = seen.setdefault(tuple(lines[a:e]), (i, a))
+            if (d, s) != (i, a):
+                gone.setdefault(i, set()).update(range(max(a, s + e - a) if d == i else a, e))
+    out = {}
+    for i, t in rows:
+        lines = L.lines_of((t or "").encode())
+        drop = gone.get(i, set())
+        out[i] = (len(lines), len(drop), None if t is None else b"".join(x for k, x in enumerate(lines) if k not in drop).decode())
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_against_every_pair(spark, seed):
+    """Short, blank, indented, repeated and clause-cut lines; both ways to reach the texts."""
+    rng = random.Random(100 + seed)
+    pool = [sentence(rng, rng.choice([1, 1, 2, 4, 9])) for _ in range(25)] + ["", "", " ", "a", "\tb", "  indented here", "indented here"]
+    pool += [" ".join(sentence(rng, 6) for _ in range(5))]
+    rows = [(None, "\n".join(rng.choice(pool) for _ in range(12)))] + [(k, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 14))) + rng.choice(["", "\n", "\r\n"])) for k in range(60)]
+    rows += [(60, None), (61, rows[3][1]), (62, "same two\n" * 30), (63, "é" * 5 + " word" * 3000 + "\nx y z")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_clean(rows)
+    for bounds in ({}, {"broadcast_rows": 0}, {"broadcast_spans": 0}):
+        got = {r.doc_id: (r.lamella_lines, r.lamella_removed, r.text) for r in L.clean(df, **bounds).collect()}
+        assert got == want
+
+
+def test_line_query_against_sql(spark, duck, data):
+    from lamella.llm import queries
+
+    got = queries.op2_line_dedup(spark, data).toPandas().sort_values("doc_id").reset_index(drop=True)
+    want = duck.sql(queries.ORACLES["op2_line_dedup"]).df().sort_values("doc_id").reset_index(drop=True)
+    assert got[want.columns].astype(str).equals(want.astype(str)) and got.n_removed.sum() > 0
+
+
 def brute_align(a, b):
     best, h = 0, np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(1, len(a) + 1):
