@@ -29,6 +29,8 @@ from .common import small_batches, texts
 N = 3
 #: n-grams of test items that go through the corpus at once.
 BLOCK_GRAMS = 1_000_000
+#: Seeds of an item: its rarest n-grams that occur.
+SEEDS = 32
 MATCH, MISMATCH, GAP = 2, -1, -1
 WORD = re.compile(r"\w+")
 HITS = "doc_id long, item_id long, score double, word_start int, word_end int"
@@ -177,29 +179,24 @@ def blocks_of(benchmark: DataFrame, most: int = BLOCK_GRAMS) -> Iterator[list[tu
     are left out.
     """
     items = benchmark.select("item_id", "text").where("text is not null").distinct()
-    size = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0)).alias("w")).first()["w"]
+    size = items.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"(?U)\w+"))), F.lit(0)).alias("w")).first()["w"]
     parts = max(1, -(-int(size) // most))
     for k in range(parts):
         block = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()]
         yield sorted(block, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.35, seed_share: float = 0.8, most: int = BLOCK_GRAMS) -> DataFrame:
-    """doc_id, item_id, score, word_start, word_end: every item that a text holds.
+def _seeded(rows: DataFrame, benchmark: DataFrame, seeds: int, seed_share: float, most: int) -> Iterator[tuple]:
+    """For each block of items: the broadcast block, its seeds, and the items' ids.
 
-    ``seed_share`` is the part of an item's n-grams that occur at all, the
-    rarest ones, that seed an alignment; at least eight do.  Null texts hold nothing; repeated rows
-    repeat their hits; an id with several texts has a row for each that is held;
-    an empty benchmark gives no rows.
+    The n-grams of a block are counted over all texts of ``rows``, one scan.
     """
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     small_batches(spark)
-    rows = docs.select("doc_id", "text").where("text is not null")
-    out = None
     for items in blocks_of(benchmark, most):
         block = make_block([(k, text) for k, (_, text) in enumerate(items)])
         names = spark.sparkContext.broadcast([i for i, _ in items])
-        frozen = spark.sparkContext.broadcast(block)  # at most ``most`` n-grams
+        frozen = spark.sparkContext.broadcast(block)  # about ``most`` n-grams
 
         def count(batches: Iterator[pa.RecordBatch], frozen=frozen) -> Iterator[pa.RecordBatch]:
             b = frozen.value
@@ -210,7 +207,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.35, seed_sha
             seen = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["g", "n"])
 
-        seen = rows.select("text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()
+        seen = rows.select("text").where("text is not null").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()
         frequency = np.zeros(len(block.grams), np.int64)
         for r in seen:
             frequency[r["g"]] = r["n"]
@@ -218,11 +215,24 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.35, seed_sha
         for g, owners in enumerate(block.owners):
             for item, offset in owners if frequency[g] else ():
                 by_item.setdefault(item, []).append((int(frequency[g]), offset, g))
-        seeds: dict[int, list[tuple[int, int]]] = {}
+        chosen: dict[int, list[tuple[int, int]]] = {}
         for item, found in by_item.items():
-            for _, offset, g in sorted(found)[: max(8, round(seed_share * len(found)))]:
-                seeds.setdefault(g, []).append((item, offset))
-        chosen = spark.sparkContext.broadcast(seeds)
+            for _, offset, g in sorted(found)[: max(8, min(seeds, round(seed_share * len(found))))]:
+                chosen.setdefault(g, []).append((item, offset))
+        yield frozen, spark.sparkContext.broadcast(chosen), names
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.35, seeds: int = SEEDS, seed_share: float = 0.8, most: int = BLOCK_GRAMS) -> DataFrame:
+    """doc_id, item_id, score, word_start, word_end: every item that a text holds.
+
+    Of an item's n-grams that occur at all the rarest seed an alignment: the
+    part ``seed_share``, ``seeds`` at most and eight at least.  Null texts hold
+    nothing; repeated rows repeat their hits; an id with several texts has a row
+    for each that is held; an empty benchmark gives no rows.
+    """
+    rows = docs.select("doc_id", "text").where("text is not null")
+    out = None
+    for frozen, chosen, names in _seeded(rows, benchmark, seeds, seed_share, most):
 
         def search(batches: Iterator[pa.RecordBatch], frozen=frozen, chosen=chosen, names=names) -> Iterator[pa.RecordBatch]:
             b, s, item_ids = frozen.value, chosen.value, names.value
@@ -237,10 +247,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.35, seed_sha
     return out
 
 
-def keep(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.35) -> DataFrame:
-    """Rows of ``docs``, all columns, without those that hold a test item.
+def keep(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.35, seeds: int = SEEDS, seed_share: float = 0.8, most: int = BLOCK_GRAMS) -> DataFrame:
+    """Rows of ``docs``, all columns, without those whose text holds a test item.
 
-    Rows go by their id; a row without one stays.
+    Each row goes by its own text, whatever its id: one pass for each block of
+    items, nothing is joined or shuffled.
     """
-    bad = hits(docs, benchmark, least=least).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    out = docs
+    for frozen, chosen, _ in _seeded(docs.select("text"), benchmark, seeds, seed_share, most):
+
+        def clean(batches: Iterator[pa.RecordBatch], frozen=frozen, chosen=chosen) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not find(frozen.value, chosen.value, t, least) for t in texts(batch.column("text"))], pa.bool_()))
+
+        out = out.mapInArrow(clean, docs.schema)
+    return out

@@ -239,7 +239,11 @@ def test_decontamination_edge_cases(spark):
     bench = spark.createDataFrame([(9, "A b, c d e f g!"), (8, None), (None, "x"), (7, "a"), (9, "z")], "item_id long, text string")
     assert sorted((r.doc_id or 0, r.item_id) for r in D.hits(docs, bench).collect()) == [(0, 9), (3, 9), (3, 9)]
     assert D.hits(docs, bench.where("1 = 0")).collect() == []
-    assert sorted((r.doc_id or 0) for r in D.keep(docs, bench).collect()) == [0, 1, 2]
+    # a row goes by its own text: one without an id goes too, an innocent one of the same id stays
+    more = docs.unionByName(spark.createDataFrame([(3, "nothing of the kind"), (None, "nor here")], "doc_id long, text string").selectExpr("*", "1 as score"))
+    kept = D.keep(more, bench)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.text) for r in kept.where("text is not null").collect()) == [(0, "nor here"), (2, ""), (3, "nothing of the kind")]
+    assert kept.where("text is null").count() == 1 and D.keep(docs, bench.where("1 = 0")).count() == docs.count()
     assert D.hits(docs.where("1 = 0"), bench).collect() == []
 
 
@@ -250,3 +254,28 @@ def test_every_test_text_is_searched(spark):
     for most in (D.BLOCK_GRAMS, 4):
         assert sorted((r.doc_id, r.item_id or 0) for r in D.hits(docs, bench, most=most).collect()) == [(1, 0), (2, 7), (3, 7), (4, 8)]
     assert [r.doc_id for r in D.keep(docs, bench).collect()] == [5]
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.15])
+def test_bounded_seeds_in_long_texts(spark, rate):
+    """Items of hundreds of words inside texts of tens of thousands: 32 seeds an item find them."""
+    rng = random.Random(8)
+    items = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randint(100, 400)))) for i in range(6)]
+    rows = []
+    for k in range(24):
+        w = [x if rng.random() > rate else rng.choice(WORDS) for x in items[k % 6][1].split()]
+        around = [rng.choice(WORDS) for _ in range(20_000)]
+        rows.append((k, " ".join(around[:9000] + w + around[9000:])))
+    rows += [(100 + k, " ".join(rng.choice(WORDS) for _ in range(20_000))) for k in range(6)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.word_start, r.word_end) for r in D.hits(docs, bench).collect()}
+    assert set(got) == {(k, k % 6) for k in range(24)}
+    assert all(abs(a - 9000) < 5 and abs(b - 9000 - len(items[k[1]][1].split())) < 5 for k, (a, b) in got.items())
+    assert sorted(r.doc_id for r in D.keep(docs, bench).collect()) == [100 + k for k in range(6)]
+
+
+def test_blocks_count_what_they_store(spark):
+    """Items whose words aren't parted by blanks fill blocks like any others."""
+    bench = spark.createDataFrame([(i, ".".join(f"x{i}y{j}" for j in range(50))) for i in range(20)], "item_id long, text string")
+    sizes = [len(D.make_block([(k, t) for k, (_, t) in enumerate(b)]).grams) for b in D.blocks_of(bench, 200)]
+    assert len(sizes) == 5 and max(sizes) < 700
