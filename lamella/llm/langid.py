@@ -6,6 +6,8 @@ being the context's bytes and q its distinct ones; else the escape
 -log2(q / (n + q)) is paid and the next shorter context asked, down to 8 bits
 for any byte.  Escapes don't exclude bytes of the longer context, so each cost
 depends on (context, byte) alone and whole texts are scored by table look-up.
+Only (context, byte) pairs that some language has seen are stored, with their
+costs in all languages.
 """
 
 from __future__ import annotations
@@ -41,37 +43,92 @@ def grams(text: np.ndarray) -> np.ndarray:
     return out
 
 
-@dataclass
-class Model:
-    """Frozen costs: ``cost[node * symbols + symbol]`` holds bits by language.
+def has_letter(text: str) -> bool:
+    """Numerals such as one half or a circled one are no letters, though they are word characters."""
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
+class Index:
+    """Places of 32-bit keys: a hash table with linear probing, a quarter full at most."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = np.asarray(keys, np.uint32)
+        self.shift = np.uint32(32 - max(2, (4 * len(self.keys)).bit_length()))
+        self.slots = np.full(1 << (32 - int(self.shift)), -1, np.int32)
+        self.mask = len(self.slots) - 1
+        left = np.arange(len(self.keys))
+        at = self.start(self.keys)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            lost = self.slots[at] != left
+            left, at = left[lost], (at[lost] + 1) & self.mask
+
+    def start(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint32(2654435761)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 if it has none."""
+        out = np.full(len(keys), -1, np.int32)
+        if not len(self.keys):
+            return out
+        open_, at, wanted = None, self.start(keys), keys
+        while True:
+            found = self.slots[at]
+            hit = (found >= 0) & (self.keys[found] == wanted)
+            if open_ is None:
+                out[hit] = found[hit]
+                open_ = np.flatnonzero((found >= 0) & ~hit)
+                at, wanted = (at[open_] + 1) & self.mask, keys[open_]
+            else:
+                out[open_[hit]] = found[hit]
+                more = (found >= 0) & ~hit
+                open_, at = open_[more], (at[more] + 1) & self.mask
+                wanted = keys[open_]
+            if not len(open_):
+                return out
 
-    ``symbol`` maps bytes to 0..; bytes that training never saw share the last
-    one.  ``node`` gives the context node for each triple of symbols.
-    """
 
-    langs: list[str]
-    symbol: np.ndarray
-    node: np.ndarray
+@dataclass
+class Level:
+    """Pairs of one order: bits of each pair, and of the escape from each context, by language."""
+
+    pairs: Index
     cost: np.ndarray
+    contexts: Index
+    escape: np.ndarray
 
-    @property
-    def n_symbols(self) -> int:
-        return int(self.symbol.max()) + 1
+
+@dataclass
+class Model:
+    """Frozen costs, ``levels`` by order from 0 up."""
+
+    langs: list[str]
+    levels: list[Level]
 
     def bits(self, text: bytes) -> np.ndarray:
         """Code length of ``text`` under each language."""
         total = np.zeros(len(self.langs))
-        whole, a = padded(text), self.n_symbols
-        for at in range(0, len(whole) - ORDER, PIECE):
-            s = self.symbol[whole[at : at + PIECE + ORDER]]
-            context = s[:-ORDER].astype(np.int32)
-            for k in range(1, ORDER):
-                context = context * a + s[k : len(s) - ORDER + k]
-            total += self.cost[self.node[context] * a + s[ORDER:]].sum(0, dtype=np.float64)
+        whole = padded(text)
+        piece = max(1 << 12, PIECE // max(1, len(self.langs)))
+        for at in range(0, len(whole) - ORDER, piece):
+            g = grams(whole[at : at + piece + ORDER])
+            for order in range(ORDER, -1, -1):
+                level = self.levels[order]
+                g = g & np.uint32((1 << 8 * (order + 1)) - 1)
+                place = level.pairs.find(g)
+                seen = place >= 0
+                total += level.cost[place[seen]].sum(0, dtype=np.float64)
+                g = g[~seen]
+                if not len(g):
+                    break
+                context = level.contexts.find(g >> np.uint32(8))
+                total += level.escape[context[context >= 0]].sum(0, dtype=np.float64)
+            total += 8.0 * len(g)
         return total
 
     def document(self, text: str) -> tuple[str, float]:
-        if not self.langs or not LETTER.search(text):
+        if not self.langs or not has_letter(text):
             return UNKNOWN, 0.0
         bits = self.bits(text.encode("utf-8", "surrogatepass"))
         best = int(bits.argmin())
@@ -82,76 +139,45 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], *, most_nodes: int =
     """The model of ``counts``: by language, grams and how often each occurred.
 
     ``most_nodes`` bounds the tree's longest contexts, the most frequent first;
-    bytes after a pruned context are scored by its shorter suffix.
+    bytes after a pruned context are scored by its shorter suffix.  Memory grows
+    with the pairs seen times the languages, whatever the alphabet.
     """
     langs = sorted(counts)
-    seen = np.zeros(256, bool)
-    for g, _ in counts.values():
-        for k in range(ORDER + 1):
-            seen[np.unique((g >> np.uint32(8 * k)) & np.uint32(255))] = True
-    known = np.flatnonzero(seen)
-    symbol = np.full(256, len(known), np.int32)
-    symbol[known] = np.arange(len(known))
-    a = len(known) + 1
-    digits = {x: [symbol[(g >> np.uint32(8 * (ORDER - k))) & np.uint32(255)].astype(np.int64) for k in range(ORDER + 1)] for x, (g, _) in counts.items()}
-
-    def table(lang: str, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Contexts of ``order`` symbols, symbols and counts, merged."""
-        d, n = digits[lang][ORDER - order :], counts[lang][1]
-        key = np.zeros(len(n), np.int64)
-        for x in d:
-            key = key * a + x
-        keys, inverse = np.unique(key, return_inverse=True)
-        return keys // a, keys % a, np.bincount(inverse, n, len(keys))
-
-    # node numbers: the root first, then contexts of growing length
-    tables = {(x, o): table(x, o) for x in langs for o in range(ORDER + 1)}
-    ids: list[dict[int, int] | np.ndarray] = []
-    parents, total = [], 0
-    index = []
-    for o in range(ORDER + 1):
-        contexts, weight = np.zeros(0, np.int64), np.zeros(0)
-        if langs:
-            every = np.concatenate([tables[x, o][0] for x in langs])
-            contexts, inverse = np.unique(every, return_inverse=True)
-            weight = np.bincount(inverse, np.concatenate([tables[x, o][2] for x in langs]), len(contexts))
-        if o == ORDER and len(contexts) > most_nodes:
-            contexts = np.sort(contexts[np.argsort(-weight, kind="stable")[:most_nodes]])
-        lookup = np.full(a**o, -1, np.int32)
-        lookup[contexts] = total + np.arange(len(contexts))
-        parents.append(np.zeros(len(contexts), np.int32) if o == 0 else index[o - 1][contexts % a ** (o - 1)])
-        if o:
-            short = index[o - 1]
-            missing = lookup < 0
-            lookup[missing] = np.resize(short, a**o)[missing] if len(short) == 1 else short[np.flatnonzero(missing) % a ** (o - 1)]
-        else:
-            lookup[:] = 0
-        index.append(lookup)
-        ids.append(contexts)
-        total += len(contexts)
-    total = max(total, 1)
-    cost = np.full((total, a, max(len(langs), 1)), 8.0, np.float32)
-    first = 0
-    for o in range(ORDER + 1):
-        contexts = ids[o]
-        rows = first + np.arange(len(contexts))
-        if o:
-            cost[rows] = cost[parents[o]]
-        for j, x in enumerate(langs):
-            c, s, n = tables[x, o]
-            at = np.searchsorted(contexts, c)
-            ok = at < len(contexts)
-            ok[ok] = contexts[at[ok]] == c[ok]
-            at, s, n = at[ok], s[ok], n[ok]
-            size = np.bincount(at, n, len(contexts))
-            kinds = np.bincount(at, minlength=len(contexts))
+    levels: list[Level] = []
+    for order in range(ORDER + 1):
+        seen = []
+        for x in langs:
+            g, n = counts[x]
+            keys, inverse = np.unique(g & np.uint32((1 << 8 * (order + 1)) - 1), return_inverse=True)
+            seen.append((keys, np.bincount(inverse, n, len(keys))))
+        pairs = np.unique(np.concatenate([k for k, _ in seen])) if seen else np.zeros(0, np.uint32)
+        contexts, at = np.unique(pairs >> np.uint32(8), return_inverse=True)
+        if order == ORDER and len(contexts) > most_nodes:
+            weight = np.zeros(len(contexts))
+            for k, n in seen:
+                np.add.at(weight, np.searchsorted(contexts, k >> np.uint32(8)), n)
+            kept = np.zeros(len(contexts), bool)
+            kept[np.argsort(-weight, kind="stable")[:most_nodes]] = True
+            pairs = pairs[kept[at]]
+            contexts, at = np.unique(pairs >> np.uint32(8), return_inverse=True)
+        escape = np.zeros((len(contexts), len(langs)), np.float32)
+        own = np.full((len(pairs), len(langs)), np.nan, np.float32)
+        for j, (k, n) in enumerate(seen):
+            place = np.searchsorted(pairs, k)
+            ok = place < len(pairs)
+            ok[ok] = pairs[place[ok]] == k[ok]
+            place, n = place[ok], n[ok]
+            size, kinds = np.bincount(at[place], n, len(contexts)), np.bincount(at[place], minlength=len(contexts))
             has = size > 0
-            escape = np.zeros(len(contexts))
-            escape[has] = -np.log2(kinds[has] / (size[has] + kinds[has]))
-            cost[rows, :, j] += escape[:, None].astype(np.float32)
-            cost[rows[at], s, j] = -np.log2(n / (size[at] + kinds[at]))
-        first += len(contexts)
-    return Model(langs, symbol, index[ORDER], cost.reshape(total * a, -1))
+            escape[has, j] = -np.log2(kinds[has] / (size[has] + kinds[has]))
+            own[place, j] = -np.log2(n / (size + kinds)[at[place]])
+        if order:
+            shorter = levels[-1]
+            rest = shorter.cost[shorter.pairs.find(pairs & np.uint32((1 << 8 * order) - 1))]
+        else:
+            rest = np.float32(8.0)
+        levels.append(Level(Index(pairs), np.where(np.isnan(own), escape[at] + rest, own) if len(pairs) else own, Index(contexts), escape))
+    return Model(langs, levels)
 
 
 def fit(docs: DataFrame, *, modulus: int = 4, remainder: int = 2, chars: int = 600_000, most_nodes: int = 60_000, seed: int = 5) -> Model:
@@ -168,11 +194,10 @@ def fit(docs: DataFrame, *, modulus: int = 4, remainder: int = 2, chars: int = 6
     sizes = {r["lang"]: (r["n"], r["least"]) for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n"), least).collect()}
     if not sizes:
         return build({})
-    share = F.lit(0)
-    for lang, (n, first) in sorted(sizes.items()):
-        below = max(int(min(1.0, chars / max(n, 1)) * (1 << 30)), -1 if first is None else first + 1)
-        share = F.when(F.col("lang") == lang, F.lit(below)).otherwise(share)
-    sample = rows.where(place < share).select("lang", "text")
+    below = [(lang, max(int(min(1.0, chars / max(n, 1)) * (1 << 30)), -1 if first is None else first + 1)) for lang, (n, first) in sorted(sizes.items())]
+    # a row for each language
+    share = F.broadcast(spark.createDataFrame(below, "lang string, below long"))
+    sample = rows.join(share, "lang").where(place < F.col("below")).select("lang", "text")
     small_batches(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -127,12 +127,12 @@ def test_toxicity_offsets_survive_lower_casing():
     assert t[a:b] == " İ such scum"
 
 
-def brute_bits(counts, text):
-    """Code length by walking contexts for one language's gram counts."""
+def brute_bits(counts, text, kept):
+    """Code length by walking contexts for one language's gram counts; of the longest ones only those ``kept``."""
     tables = [{} for _ in range(langid.ORDER + 1)]
     for g, n in counts.items():
         bs = g.to_bytes(4, "big")
-        for o in range(langid.ORDER + 1):
+        for o in range(langid.ORDER + (g >> 8 in kept)):
             c = tables[o].setdefault(bs[langid.ORDER - o : langid.ORDER], {})
             c[bs[-1]] = c.get(bs[-1], 0) + n
     whole, total = b"\n" * langid.ORDER + text, 0.0
@@ -151,7 +151,16 @@ def brute_bits(counts, text):
     return total
 
 
-@pytest.mark.parametrize("most", [60_000])
+def pruned(counts, most):
+    """Of all languages' grams those whose three-byte context is among the ``most`` most frequent."""
+    weight = {}
+    for c in counts.values():
+        for g, n in c.items():
+            weight[g >> 8] = weight.get(g >> 8, 0) + n
+    return set(sorted(weight, key=lambda c: (-weight[c], c))[:most])
+
+
+@pytest.mark.parametrize("most", [60_000, 20, 1])
 def test_code_lengths_are_exact(most):
     train = {"aa": b"the cat sat on the mat, the end" * 3, "bb": "der Hund läuft über die Straße".encode() * 2}
     counts = {}
@@ -159,8 +168,10 @@ def test_code_lengths_are_exact(most):
         g, n = np.unique(langid.grams(langid.padded(t)), return_counts=True)
         counts[k] = (g, n.astype(float))
     model = langid.build(counts, most_nodes=most)
-    for text in (b"the dog", "über the ende".encode(), b"\xff\xfe zz", b""):
-        want = [brute_bits(dict(zip(counts[k][0].tolist(), counts[k][1].tolist(), strict=True)), text) for k in model.langs]
+    plain = {k: dict(zip(g.tolist(), n.tolist(), strict=True)) for k, (g, n) in counts.items()}
+    kept = pruned(plain, most)
+    for text in (b"the dog", "über the ende".encode(), b"\xff\xfe zz", b"", b"the cat " * 4000):
+        want = [brute_bits(plain[k], text, kept) for k in model.langs]
         assert np.allclose(model.bits(text), want, rtol=1e-5, atol=1e-4)
 
 
@@ -176,6 +187,34 @@ def test_language(spark, tables):
     assert {r.lang_pred for r in langid.apply(docs.limit(3), none).collect()} == {"und"}
 
 
+def test_numerals_are_no_letters():
+    model = langid.build({"aa": (np.array([0x61626364], np.uint32), np.ones(1))})
+    assert [model.document(t)[0] for t in ("½ ² 123", "①②③", "_ - ٣", "x", "①é")] == ["und"] * 3 + ["aa"] * 2
+
+
+def test_many_languages_stay_small():
+    """A hundred languages over all bytes: memory follows the pairs seen."""
+    rng = np.random.default_rng(1)
+    counts = {}
+    for k in range(100):
+        g, n = np.unique(langid.grams(rng.integers(0, 256, 3000).astype(np.uint8)), return_counts=True)
+        counts[f"x{k:02}"] = (g, n.astype(float))
+    model = langid.build(counts, most_nodes=20_000)
+    assert sum(x.cost.nbytes + x.escape.nbytes for x in model.levels) < 200e6
+    text = bytes(rng.integers(0, 256, 500).astype(np.uint8))
+    plain = {k: dict(zip(g.tolist(), n.tolist(), strict=True)) for k, (g, n) in counts.items()}
+    kept = pruned(plain, 20_000)
+    assert np.allclose(model.bits(text)[:5], [brute_bits(plain[f"x{k:02}"], text, kept) for k in range(5)], rtol=1e-5)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(0, 2**32 - 1), max_size=300, unique=True), st.lists(st.integers(0, 2**32 - 1), max_size=30))
+def test_index(keys, others):
+    index = langid.Index(np.array(keys, np.uint32))
+    wanted = np.array(keys + others, np.uint32)
+    assert index.find(wanted).tolist() == [keys.index(k) if k in keys else -1 for k in wanted.tolist()]
+
+
 def test_no_language_is_missing(spark):
     """A sample smaller than any text still has one text of each language."""
     rows = [(i, x, t) for i, (x, t) in enumerate([("aa", "abab cdcd " * 50), ("bb", "xyxy zwzw " * 50), ("cc", "mnmn opop " * 50)] * 8)] + [(100 + i, "aa", "") for i in range(40)]
