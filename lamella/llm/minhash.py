@@ -120,11 +120,15 @@ class Hasher:
         return keys.view(np.int64), (nibbles[::2] | nibbles[1::2] << 4).view(np.int64)
 
 
-SIGNED = "doc_id long, n_shingles long, set_hash binary, bands array<long>, " + ", ".join(f"s{i} long" for i in range(LONGS))
+#: Nodes of classes whose smallest id stands for another class already lie above all ids.
+EXTRA = 1 << 62
+SIGNED = "doc_id long, t long, n_shingles long, set_hash binary, bands array<long>, " + ", ".join(f"s{i} long" for i in range(LONGS))
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash (equal sets, equal hash), band keys and sketch."""
+    """doc_id, t (a hash of the text, which tells rows of one id apart), n_shingles,
+    set_hash (equal sets, equal hash), band keys and sketch.
+    """
     import xxhash
 
     small_batches(docs.sparkSession)
@@ -144,11 +148,11 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 sketches.append(sketch)
             cut = np.array(sketches, np.int64).reshape(-1, LONGS)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), *(pa.array(cut[:, i]) for i in range(LONGS))],
+                [batch.column("doc_id"), batch.column("t"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), *(pa.array(cut[:, i]) for i in range(LONGS))],
                 names=[c.split()[0] for c in SIGNED.split(", ")],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, SIGNED)
 
 
 def _differing(a: str, b: str) -> Column:
@@ -186,12 +190,12 @@ def plausible(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Rows (a, b) of ``pairs`` whose full sets are similar enough.
 
-    The texts (doc_id, text) reach their pairs by equi-joins; a hub's text is
+    The texts (node, text) reach their pairs by equi-joins; a hub's text is
     one row of its side, and where a hub is hot adaptive execution splits the
     other side.
     """
-    left = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    left = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    right = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     both = pairs.select("a", "b").join(left, "b").join(right, "a")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -282,15 +286,36 @@ def classes(docs: DataFrame, *, size: int = 2, percent: int = 80) -> DataFrame:
 
     Documents without words have n_shingles 0, are linked with nothing and are
     their own component; a null doc_id passes through with a null component and
-    is kept.  Repeated rows of one doc_id repeat in the result.
+    is kept.  Repeated rows repeat in the result.  Rows of one id with different
+    texts are different documents: each has the component of its own text.
+    """
+    return _classes(docs, size, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _nodes(usable: DataFrame, tables: _Tables) -> tuple[DataFrame, bool]:
+    """(set_hash, rep, t, node): of each class the smallest document, the hash of its
+    text, and a number: the document's id, or one above all ids where two
+    classes have the same smallest id; and whether there are such.
     """
+    first = usable.groupBy("set_hash").agg(F.min(F.struct("doc_id", "t")).alias("r"))
+    reps, _ = tables.put("reps", first.select("set_hash", F.col("r.doc_id").alias("rep"), F.col("r.t").alias("t")))
+    twice, n = tables.put("twice", reps.groupBy("rep").agg(F.count("*").alias("n"), F.min("set_hash").alias("own")).where("n > 1").select("rep", "own"))
+    if not n:
+        return reps.withColumn("node", F.col("rep")), False
+    other = F.lit(EXTRA).bitwiseOR(F.xxhash64("set_hash").bitwiseAND(F.lit(EXTRA - 1)))
+    node = F.when(F.col("own").isNotNull() & (F.col("own") != F.col("set_hash")), other).otherwise(F.col("rep"))
+    return tables.put("nodes", reps.join(twice, "rep", "left").select("set_hash", "rep", "t", node.alias("node")))[0], True
+
+
+def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The result of :func:`classes` with ``t``, and ``label``, the number of a row's component (null without words or id)."""
     tables = _Tables(docs.sparkSession)
     signed, n_docs = tables.put("signed", signatures(docs, size))
     usable = signed.where("set_hash is not null and doc_id is not null")
-    reps, _ = tables.put("reps", usable.groupBy("set_hash").agg(F.min("doc_id").alias("rep")))
+    reps, clash = _nodes(usable.select("set_hash", "doc_id", "t"), tables)
     # one row for each class: that of its smallest document
-    first = usable.withColumnRenamed("doc_id", "rep").join(reps, ["set_hash", "rep"], "left_semi").dropDuplicates(["set_hash"])
-    heads, _ = tables.put("heads", first.select("rep", F.col("n_shingles").alias("n"), "bands", *(f"s{i}" for i in range(LONGS))))
+    first = usable.join(reps.select("set_hash", F.col("rep").alias("doc_id"), "t", "node"), ["set_hash", "doc_id", "t"]).dropDuplicates(["set_hash"])
+    heads, _ = tables.put("heads", first.select(F.col("node").alias("rep"), F.col("n_shingles").alias("n"), "bands", *(f"s{i}" for i in range(LONGS))))
     keyed = heads.select("rep", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     met, _ = tables.put("met", keyed.join(shared, "key"))
@@ -299,7 +324,7 @@ def classes(docs: DataFrame, *, size: int = 2, percent: int = 80) -> DataFrame:
     buckets, left = tables.put("ranked", met.join(central, "rep").select("key", "rep", "meets"))
     buckets = _with_hub(buckets)
 
-    texts = docs.select("doc_id", "text").where("doc_id is not null")
+    texts = _Texts(docs, reps, clash)
     links = labels = tried = None
     n_links, across = 0, False
     for turn in range(HUB_TURNS + 1):
@@ -316,8 +341,8 @@ def classes(docs: DataFrame, *, size: int = 2, percent: int = 80) -> DataFrame:
         more = 0
         tried = pairs if tried is None else tried.unionByName(pairs)
         if n:
-            need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-            held, _ = tables.put("texts", _texts_of(texts, *tables.put("need", need)))
+            need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+            held, _ = tables.put("texts", texts.of(*tables.put("need", need)))
             found, more = tables.put(f"links{turn}", confirmed(pairs, held, size, percent))
             if more:
                 links, n_links = (found if links is None else links.unionByName(found)), n_links + more
@@ -338,19 +363,32 @@ def classes(docs: DataFrame, *, size: int = 2, percent: int = 80) -> DataFrame:
         if not across:
             buckets = _with_hub(buckets)
 
-    out = signed.select("doc_id", "n_shingles", "set_hash").join(reps, "set_hash", "left")
+    out = signed.select("doc_id", "t", "n_shingles", "set_hash").join(reps.select("set_hash", "node", "rep"), "set_hash", "left")
     if labels is not None:
-        out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        component = F.coalesce("label", "rep", "doc_id")
+        out = out.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     else:
-        component = F.coalesce("rep", "doc_id")
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        out = out.withColumn("label", F.col("node"))
+    component = F.coalesce("label", "doc_id")
+    if clash:  # a label may be a number above all ids: the smallest id of its component counts
+        named = reps if labels is None else reps.join(labels, "node", "left").withColumn("node", F.coalesce("label", "node"))
+        out = out.join(named.groupBy(F.col("node").alias("label")).agg(F.min("rep").alias("least")), "label", "left")
+        component = F.coalesce("least", "doc_id")
+    known = F.col("doc_id").isNotNull()
+    out = out.select("doc_id", "t", "n_shingles", F.when(known, F.col("label")).alias("label"), F.when(known, component).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+class _Texts:
+    """The texts of nodes."""
 
+    def __init__(self, docs: DataFrame, reps: DataFrame, clash: bool) -> None:
+        self.rows = docs.select("doc_id", F.xxhash64("text").alias("t"), "text").where("doc_id is not null")
+        self.reps, self.clash = reps.select("node", F.col("rep").alias("doc_id"), "t"), clash
 
-def _texts_of(texts: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """One text for each of ``n`` ids: they are broadcast up to BROADCAST_IDS, else all texts are shuffled."""
-    return texts.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    def of(self, nodes: DataFrame, n: int) -> DataFrame:
+        """(node, text) for each of ``n`` nodes: they are broadcast up to BROADCAST_IDS, else all texts are shuffled."""
+        wanted = nodes.join(self.reps, "node")
+        return self.rows.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, ["doc_id", "t"]).dropDuplicates(["node"]).select("node", "text")
 
 
 def _with_hub(buckets: DataFrame) -> DataFrame:
@@ -360,7 +398,7 @@ def _with_hub(buckets: DataFrame) -> DataFrame:
     return buckets.join(top.select("key", (-F.col("h.minus")).alias("hub"), *(F.col("h.label").alias("hub_label") for _ in labelled)), "key")
 
 
-def _across(buckets: DataFrame, heads: DataFrame, texts: DataFrame, tables: _Tables, size: int, percent: int) -> DataFrame:
+def _across(buckets: DataFrame, heads: DataFrame, texts: _Texts, tables: _Tables, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that may link, from buckets that hold several.
 
     First the classes that have any likely partner in a bucket, by semi-joins,
@@ -390,9 +428,9 @@ def _across(buckets: DataFrame, heads: DataFrame, texts: DataFrame, tables: _Tab
         hasher = Hasher(size)
         for batch in batches:
             sets = [hasher.sets(t, {}).view(np.int64) for t in text_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "h"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "h"])
 
-    held = _texts_of(texts, chosen.withColumnRenamed("rep", "doc_id"), n)
+    held = texts.of(chosen.withColumnRenamed("rep", "node"), n)
     grams, _ = tables.put("grams", held.mapInArrow(run, "rep long, h array<long>").select("rep", F.size("h").alias("n"), F.explode("h").alias("h")))
     often = grams.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     # a shingle that one class alone has comes first in its order and meets nothing: only its place counts
@@ -408,13 +446,17 @@ def _across(buckets: DataFrame, heads: DataFrame, texts: DataFrame, tables: _Tab
 
 
 def keep(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs``, all columns: of each component the smallest doc_id stays.
+    """Rows of ``docs``, all columns: of each component the row with the smallest doc_id stays.
 
-    Of repeated rows with that id one stays; rows with a null id stay.
+    Of several such rows the one whose text has the smallest hash stays, and of
+    repeated rows one; rows without words keep a row for each id and text; rows
+    with a null id stay.
     """
-    found = classes(docs, size=size, percent=percent)
-    kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    found = _classes(docs, size, percent).where("kept and doc_id is not null")
+    one = found.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "t")).alias("r")).select("r.doc_id", F.col("r.t").alias("lamella_t"))
+    blank = found.where("label is null").select("doc_id", F.col("t").alias("lamella_t")).distinct()
+    rows = docs.withColumn("lamella_t", F.xxhash64("text")).join(one.unionByName(blank), ["doc_id", "lamella_t"], "left_semi").dropDuplicates(["doc_id", "lamella_t"])
+    return rows.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 #: All pairs that share a shingle, and a recursive closure: for small tables.

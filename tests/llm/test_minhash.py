@@ -90,6 +90,44 @@ def test_hub_misses_are_found(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in brute(rows, 2, 80).items()}
 
 
+@pytest.mark.parametrize("switch", [{"LOCAL_LINKS": 0}, {"BROADCAST_IDS": 0}, {"HUB_WORTH": 0}, {"HUB_TURNS": 0}, {"HUB_WORTH": 10**9, "LOCAL_LINKS": 0, "BROADCAST_IDS": 0}])
+def test_every_way_gives_the_same(spark, monkeypatch, switch):
+    for k, v in switch.items():
+        monkeypatch.setattr(minhash, k, v)
+    rows = corpus(11)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.classes(df).collect()}
+    assert got == brute(rows, 2, 80)
+
+
+def test_ids_with_several_texts(spark):
+    """Each row goes by its own text, whichever classes share their smallest id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = b.replace("b7 ", "zz ")
+    rows = [(5, a), (5, b), (9, b), (7, near), (6, c), (6, a), (5, ""), (5, a), (8, a + " more"), (4, c), (4, "other words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as t", "1 as label")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.classes(df).collect())
+    want = brute(list(enumerate(t for _, t in rows)), 2, 80)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[want[k][1]] = min(i, least.get(want[k][1], i))
+    assert got == sorted((i, want[k][0], least[want[k][1]] if want[k][0] else i) for k, (i, _) in enumerate(rows))
+    kept = minhash.keep(df, size=2)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(5, a), (5, b), (5, ""), (4, c), (4, "other words")])
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(2)
+    long = [rng.choice(VOCAB) + str(rng.randrange(50)) for _ in range(60_000)]
+    other = list(long)
+    for k in range(0, 60_000, 30):
+        other[k] = "edit"
+    rows = [(1, " ".join(long)), (2, " ".join(other)), (3, " ".join(long[:40_000])), (4, "x" * 500_000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 2, 80)
+
+
 def test_values_agree_as_often_as_sets(spark):
     """Both minima and maxima estimate the similarity without bias."""
     rng = np.random.default_rng(0)
