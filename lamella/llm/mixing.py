@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Tree levels from the top; "domain" is the last character of source.
+#: Tree levels from the top; "domain" is a parameter, the last character of source if not given.
 LEVELS = ("domain", "lang", "source")
 #: Integer weights by level and value; others weigh 1.
 WEIGHTS = {"lang": {"en": 4, "de": 2, "fr": 2, "es": 1}}
@@ -26,10 +26,10 @@ SLICE_ROWS = 500
 BROADCAST_LEAVES = 50_000
 
 
-def tree_columns() -> dict[str, Column]:
-    """A null language or source counts as the value ``unknown``."""
+def tree_columns(domain: Column | None = None) -> dict[str, Column]:
+    """A null domain, language or source counts as the value ``unknown``."""
     source = F.coalesce("source", F.lit("unknown"))
-    return {"domain": F.right(source, F.lit(1)), "lang": F.coalesce("lang", F.lit("unknown")), "source": source}
+    return {"domain": F.right(source, F.lit(1)) if domain is None else F.coalesce(domain.cast("string"), F.lit("unknown")), "lang": F.coalesce("lang", F.lit("unknown")), "source": source}
 
 
 def n_tokens() -> Column:
@@ -61,9 +61,13 @@ def share_out(children: DataFrame, parent: list[str]) -> DataFrame:
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     rows = children.withColumns({"used": F.coalesce(F.sum("capacity").over(before), F.lit(0)).cast("double"), "gone": F.coalesce(F.sum("w").over(before), F.lit(0.0)), "all_w": F.sum("w").over(by)})
     level = (F.col("parent_budget") - F.col("used")) / (F.col("all_w") - F.col("gone"))
-    rows = rows.withColumn("level", level).withColumn("full", F.col("capacity") <= F.col("w") * F.col("level"))
-    rest = F.min(F.when(~F.col("full"), F.struct("gone", "level"))).over(by)["level"]
-    return rows.withColumn("budget", F.when(F.col("full"), F.col("capacity")).otherwise(F.floor(F.col("w") * rest)).cast("long")).drop("used", "gone", "all_w", "level", "full")
+    rows = rows.withColumn("full", F.col("capacity") <= F.col("w") * level)
+    # what the full ones leave goes to the others by weight; floors of running shares lose no token
+    rest = F.min(F.when(~F.col("full"), F.struct("gone", "used"))).over(by)
+    rows = rows.withColumn("left", F.col("parent_budget") - rest["used"]).withColumn("of", F.col("all_w") - rest["gone"]).withColumn("low", F.col("gone") - rest["gone"])
+    upto = lambda c: F.when(c >= F.col("of"), F.col("left")).otherwise(F.floor(F.col("left") * c / F.col("of")))
+    share = upto(F.col("low") + F.col("w")) - upto(F.col("low"))
+    return rows.withColumn("budget", F.when(F.col("full"), F.col("capacity")).otherwise(share).cast("long")).drop("used", "gone", "all_w", "full", "left", "of", "low")
 
 
 def budgets(leaves: DataFrame, total: int, max_epochs: int, weights: dict[str, dict[str, int]]) -> DataFrame:
@@ -80,16 +84,17 @@ def budgets(leaves: DataFrame, total: int, max_epochs: int, weights: dict[str, d
     return leaves.join(above.select(*LEVELS, F.col("parent_budget").cast("long").alias("budget")), list(LEVELS))
 
 
-def select(docs: DataFrame, *, budget_share: float = 0.5, max_epochs: int = 2, weights: dict[str, dict[str, int]] | None = None, seed: int = 13, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def select(docs: DataFrame, *, budget_share: float = 0.5, max_epochs: int = 2, weights: dict[str, dict[str, int]] | None = None, seed: int = 13, slice_rows: int = SLICE_ROWS, domain: Column | None = None) -> DataFrame:
     """doc_id, mix_key, LEVELS, epoch, n_tokens and tokens_taken, a row for each document and epoch.
 
     The budget is ``budget_share`` of all tokens.  The last document of a leaf
     may be taken in part: tokens_taken is the prefix that counts.  Documents
     without words are never taken; repeated rows are separate documents.
-    ``mix_key`` hashes id and text and finds the row again.
+    ``mix_key`` hashes the text and, with the id, finds the row again.  Leaf
+    budgets add up to the whole, or to all that the epochs allow.
     """
     weights = WEIGHTS if weights is None else weights
-    rows = stored(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("mix_key"), *(c.alias(k) for k, c in tree_columns().items()), n_tokens().alias("n_tokens")).where("n_tokens > 0"), "mix")
+    rows = stored(docs.select("doc_id", F.xxhash64("text").alias("mix_key"), *(c.alias(k) for k, c in tree_columns(domain).items()), n_tokens().alias("n_tokens")).where("n_tokens > 0"), "mix")
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     leaves = stored(leaves, "leaves")
     totals = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"), F.count("*").alias("n"), F.coalesce(F.max("docs"), F.lit(0)).alias("m")).first()
@@ -125,11 +130,14 @@ def select(docs: DataFrame, *, budget_share: float = 0.5, max_epochs: int = 2, w
 def mixed(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     """Columns of ``docs`` with ``epoch`` and ``tokens_taken``, for each document and epoch taken.
 
-    Of rows with equal id and text the extra columns of one stand for all.
+    Columns of these names that ``docs`` has are replaced.  Of rows with equal
+    id and text the other columns of one stand for all.
     """
-    taken = select(docs, **options).select("mix_key", "epoch", "tokens_taken")
-    rows = docs.withColumn("mix_key", F.xxhash64("doc_id", "text")).dropDuplicates(["mix_key"])
-    return rows.join(taken, "mix_key").select(*docs.columns, "epoch", "tokens_taken")
+    new = ("epoch", "tokens_taken")
+    taken = select(docs, **options).select(F.col("doc_id").alias("lamella_mix_id"), F.col("mix_key").alias("lamella_mix_key"), *(F.col(c).alias(f"lamella_{c}") for c in new))
+    rows = docs.drop(*new).withColumns({"lamella_id": F.col("doc_id"), "lamella_key": F.xxhash64("text")}).dropDuplicates(["lamella_id", "lamella_key"])
+    same = F.col("lamella_id").eqNullSafe(F.col("lamella_mix_id")) & (F.col("lamella_key") == F.col("lamella_mix_key"))
+    return rows.join(taken, same).select(*(c for c in docs.columns if c not in new), *(F.col(f"lamella_{c}").alias(c) for c in new))
 
 
 def _weight_sql(level: str) -> str:
@@ -146,8 +154,11 @@ def _level_sql(depth: int, total: str) -> str:
 n{depth} AS (SELECT {', '.join(path)}, sum(tokens) * 2 AS capacity, {_weight_sql(path[-1])} AS w FROM leaves GROUP BY {', '.join(path)}),
 u{depth} AS (SELECT *, coalesce(sum(capacity) OVER ({ordered} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS used,
   coalesce(sum(w) OVER ({ordered} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone, sum(w) OVER ({by}) AS all_w FROM n{depth} {above}),
-f{depth} AS (SELECT *, (parent_budget - used) / (all_w - gone) AS lev FROM u{depth}),
-b{depth} AS (SELECT {', '.join(path)}, CASE WHEN capacity <= w * lev THEN capacity ELSE floor(w * first_value(CASE WHEN capacity > w * lev THEN lev END IGNORE NULLS) OVER ({by} ORDER BY gone ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) END::DOUBLE AS parent_budget FROM f{depth})"""
+f{depth} AS (SELECT *, capacity <= w * ((parent_budget - used) / (all_w - gone)) AS isfull FROM u{depth}),
+r{depth} AS (SELECT *, first_value(CASE WHEN NOT isfull THEN gone END IGNORE NULLS) OVER x AS g0, first_value(CASE WHEN NOT isfull THEN used END IGNORE NULLS) OVER x AS u0 FROM f{depth} WINDOW x AS ({by} ORDER BY gone ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+b{depth} AS (SELECT {', '.join(path)}, (CASE WHEN isfull THEN capacity ELSE
+  (CASE WHEN gone + w - g0 >= all_w - g0 THEN parent_budget - u0 ELSE floor((parent_budget - u0) * (gone + w - g0) / (all_w - g0)) END)
+  - (CASE WHEN gone - g0 >= all_w - g0 THEN parent_budget - u0 ELSE floor((parent_budget - u0) * (gone - g0) / (all_w - g0)) END) END)::DOUBLE AS parent_budget FROM r{depth})"""
 
 
 ORACLE = f"""

@@ -1,6 +1,7 @@
 import collections
 
 import pytest
+from pyspark.sql import functions as F
 
 from lamella.llm import mixing, queries
 
@@ -58,7 +59,9 @@ def test_budgets_and_prefixes(spark, share, epochs):
         assert 0 < r.tokens_taken <= r.n_tokens and 0 <= r.epoch < epochs
     assert len({(r.doc_id, r.epoch) for r in got}) == len(got)
     for leaf, budget in want.items():
-        assert abs(taken[leaf] - budget) <= 3  # floors at each level
+        assert abs(taken[leaf] - budget) <= 3  # the brute force floors at each level
+    # not a token of the budget is lost
+    assert sum(taken.values()) == min(int(total * share), total * epochs)
     # of each leaf at most one document is taken in part
     assert max(collections.Counter((r.domain, r.lang, r.source) for r in got if r.tokens_taken < r.n_tokens).values(), default=0) <= 1
 
@@ -68,7 +71,9 @@ def test_shortage_stays_among_siblings(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = {r.source: r.tokens_taken for r in mixing.select(df, budget_share=0.1, max_epochs=1, weights={"lang": {"en": 3, "de": 1}}).collect()}
     # domain 1 holds 150 of 301: English can use only 10 of its share, its sibling takes the rest
-    assert got == {"a1": 10, "b1": 140, "a2": 112, "b2": 37}
+    assert got == {"a1": 10, "b1": 140, "a2": 113, "b2": 38}
+    by_parity = {r.domain: 0 for r in mixing.select(df, domain=F.col("doc_id") % 2).collect()}
+    assert sorted(by_parity) == ["0", "1"]
 
 
 def test_edge_cases(spark):
@@ -80,6 +85,11 @@ def test_edge_cases(spark):
     out = mixing.mixed(df, budget_share=1.0, max_epochs=1)
     assert out.columns == [*df.columns, "epoch", "tokens_taken"] and out.count() == 3
     assert mixing.select(df.where("1 = 0")).collect() == []
+    assert sorted((r.doc_id or 0, r.text, r.epoch_) for r in out.collect()) == [(0, "c d e", 1), (1, "a b", 0), (1, "a b", 0)]
+    clash = df.withColumnRenamed("epoch_", "epoch").selectExpr("*", "1 as tokens_taken", "2 as mix_key", "3 as domain")
+    assert mixing.mixed(clash, budget_share=1.0, max_epochs=1).count() == 3
+    two = spark.createDataFrame([(1, "a b", "en", "s1"), (1, "c d", "en", "s1")], "doc_id long, text string, lang string, source string")
+    assert sorted(r.text for r in mixing.mixed(two, budget_share=1.0, max_epochs=1).collect()) == ["a b", "c d"]
 
 
 def test_query_against_sql(spark, duck, data):
