@@ -62,4 +62,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_decontamination, op2_line_dedup, op3_quality_classifier, op4_warc, op5_quality_rules, op6_toxicity, op7_language_id, op8_html_extraction, op9_minhash_dedup, op10_mixing)
 }
 
-ORACLES: dict[str, str] = {"op2_line_dedup": linededup.ORACLE, "op9_minhash_dedup": minhash.ORACLE, "op10_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op2_line_dedup": linededup.ORACLE, "op4_warc": warc.ORACLE, "op9_minhash_dedup": minhash.ORACLE, "op10_mixing": mixing.ORACLE}

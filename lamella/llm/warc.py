@@ -3,8 +3,9 @@
 ``parse_arc`` reads ARC files of versions 1 and 2: the version block names the
 fields of every later header line, and each line declares its record's length.
 ``convert`` gives each record the identifiers, timestamp, type and digests that
-a WARC record has, and ``write`` / ``read_back`` put WARC archives into any
-store that Spark reaches.
+a WARC record has; ``read_arc`` does so for stored files.  ``write`` and
+``read_back`` put WARC archives into any store that Spark reaches: a gzip member
+for each record, files bounded in bytes.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import base64
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,8 +31,8 @@ FIELDS = {
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122, for URLs
-#: Records in one archive file at most; keeps a file small enough to parse as a whole.
-RECORDS_PER_FILE = 2000
+#: Compressed bytes after which an archive file ends; a task holds one file.
+FILE_BYTES = 32 << 20
 
 CONVERTED = "record_id string, url string, warc_date string, content_type string, http string, payload binary, payload_bytes long, payload_digest string, block_digest string, page_id long"
 
@@ -145,6 +147,56 @@ def convert(record: ArcRecord) -> tuple:
     return (f"<urn:uuid:{ident}>", url, date, mime, http.decode("latin-1"), payload, len(payload), base32_sha1(payload), block, int(page) if page and re.fullmatch(r"-?\d+", page) else None)
 
 
+def members(data: bytes) -> Iterator[bytes]:
+    """Contents of the gzip members of ``data``, one at a time; data that isn't gzip as it is."""
+    if data[:2] != b"\x1f\x8b":
+        if data:
+            yield data
+        return
+    while data:
+        d = zlib.decompressobj(31)
+        out = d.decompress(data)
+        if not d.eof:
+            raise ArchiveError("a gzip member is cut off")
+        yield out
+        data = d.unused_data.lstrip(b"\0")
+
+
+CONVERTED_TYPES = [pa.string()] * 5 + [pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+
+
+def read_arc(spark: SparkSession, path: str) -> DataFrame:
+    """(path, CONVERTED..., error) of the ARC files that ``path`` names, plain or gzip.
+
+    Whatever breaks a file gives a row with ``error`` and nothing else, after
+    the records before it; other files go on.  A file is read as a whole (2 GB
+    at most).
+    """
+    names = ["path", *(c.split()[0] for c in CONVERTED.split(", ")), "error"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.string(), *CONVERTED_TYPES, pa.string()], strict=True)], names=names)
+
+        for b in batches:
+            for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                rows, size = [], 0
+                try:
+                    for record in parse_arc(b"".join(members(content))):
+                        rows.append((name, *convert(record), None))
+                        size += len(record.content)
+                        if size > FILE_BYTES:
+                            yield batch(rows)
+                            rows, size = [], 0
+                except (ArchiveError, zlib.error, KeyError) as e:
+                    rows.append((name, *[None] * len(CONVERTED_TYPES), f"{type(e).__name__}: {e}"))
+                yield batch(rows)
+
+    small_batches(spark)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, f"path string, {CONVERTED}, error string")
+
+
 def pages_to_arc(ids: list, urls: list, htmls: list[bytes], version: int) -> bytes:
     """One archive of HTTP responses, a record for each page."""
     name, date = f"pages-v{version}.arc", "20000101000000"
@@ -170,9 +222,8 @@ def convert_pages(pages: DataFrame) -> DataFrame:
         for version, part in ((1, slice(0, half)), (2, slice(half, None))):
             rows += map(convert, parse_arc(pages_to_arc(ids[part], urls[part], htmls[part], version)))
         cols = list(zip(*rows, strict=True)) if rows else [()] * 10
-        kinds = [pa.string()] * 5 + [pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         names = [c.split()[0] for c in CONVERTED.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, CONVERTED_TYPES, strict=True)], names=names)
 
     return map_arrow(pages.select("page_id", "url", "html"), run, CONVERTED)
 
@@ -189,6 +240,20 @@ def warc_record(kind: str, row: dict, refers_to: dict | None) -> bytes:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def info_record(name: str) -> bytes:
+    """The ``warcinfo`` record that opens a file; its identifier follows from ``name``."""
+    block = b"software: lamella\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(NAMESPACE, name)}>", "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Block-Digest: sha1:{base32_sha1(block)}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def gzip_member(data: bytes) -> bytes:
+    """``data`` as a gzip member whose last byte is 0: beyond 16 MB an empty member follows."""
+    c = zlib.compressobj(6, zlib.DEFLATED, 31)
+    out = c.compress(data) + c.flush()
+    return out if out[-1] == 0 else out + gzip_member(b"")
+
+
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields, block) of each record, cut by declared lengths."""
     at = 0
@@ -206,7 +271,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = stop + 4
 
 
-def write(converted: DataFrame, path: str, *, least_bytes: int = 0) -> None:
+def write(converted: DataFrame, path: str, *, least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
     """WARC archives below ``path``.
 
     Among records of equal payload (by digest and length) of ``least_bytes``
@@ -214,8 +279,9 @@ def write(converted: DataFrame, path: str, *, least_bytes: int = 0) -> None:
     it.  Shorter payloads and records without a page_id are responses.
     The first of each payload is a partial-then-final minimum, and the join to
     it is an equi-join that adaptive execution splits where a payload is hot.
-    Spark's text writer commits the files, so a lost executor leaves none half
-    written; a string cast from bytes keeps them as they are.
+    Spark's writer commits the files, so a lost executor leaves none half
+    written: a row is a file, a string cast from bytes keeps them as they are,
+    and the line end is the 0 byte that ends its last gzip member.
     """
     key = ["payload_digest", "payload_bytes"]
     firsts = (
@@ -228,51 +294,100 @@ def write(converted: DataFrame, path: str, *, least_bytes: int = 0) -> None:
     rows = converted.join(firsts, key, "left")
     wanted = converted.columns
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        first = batch.column("first").to_pylist()
-        for row, ref in zip(batch.select(wanted).to_pylist(), first, strict=True):
-            again = ref is not None and row["page_id"] is not None and ref["page_id"] != row["page_id"]
-            out.append(warc_record("revisit" if again else "response", row, ref if again else None)[:-1])
-        return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
-
-    records = map_arrow(rows.select(*wanted, "first"), run, "value binary")
-    records.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
-
-
-RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, url string"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[bytes] = []
+        size = 0
+
+        def file() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(parts)[:-1]], pa.binary())], names=["value"])
+
+        for batch in batches:
+            first = batch.column("first").to_pylist()
+            for row, ref in zip(batch.select(wanted).to_pylist(), first, strict=True):
+                again = ref is not None and row["page_id"] is not None and ref["page_id"] != row["page_id"]
+                if not parts:
+                    parts.append(gzip_member(info_record(row["record_id"])))
+                parts.append(gzip_member(warc_record("revisit" if again else "response", row, ref if again else None)))
+                size += len(parts[-1])
+                if size >= file_bytes:
+                    yield file()
+                    parts, size = [], 0
+        if parts:
+            yield file()
+
+    small_batches(converted.sparkSession)
+    files = rows.select(*wanted, "first").mapInArrow(run, "value binary")
+    files.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).option("compression", "none").text(path)
+    _rename(converted.sparkSession, path, ".txt", ".warc.gz")
+
+
+def _rename(spark: SparkSession, path: str, old: str, new: str) -> None:
+    """Give the files below ``path`` another ending: one step in the store's directory each."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    folder = hadoop(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if name.endswith(old):
+            fs.rename(status.getPath(), hadoop(folder, name.removesuffix(old) + new))
+
+
+RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, url string, error string"
+RECORD_ROWS = 1000
+
+
+def read_record(head: dict[str, str], block: bytes) -> tuple:
+    """The values of RECORDS: of a response, length and digest are computed anew from the payload."""
+    http, payload = split_http(block)
+    kind, digest, error = head["WARC-Type"], head.get("WARC-Payload-Digest", "").removeprefix("sha1:"), None
+    size = int(http_field(http, "Content-Length") or len(payload))
+    if kind == "response":
+        size, own = len(payload), base32_sha1(payload)
+        if digest and own != digest:
+            error = f"the payload's digest is {own}, not {digest}"
+        digest = own
+    page, ref = http_field(http, "X-Page-Id"), head.get("WARC-Refers-To-Page")
+    return (int(page) if page else None, size, digest, kind, int(ref) if ref else None, head["WARC-Record-ID"], head.get("WARC-Target-URI"), error)
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archives below ``path`` (RECORDS).
+    """Every record of the archives below ``path`` (RECORDS), ``warcinfo`` left out.
 
-    Of a response, length and digest are computed anew from the payload, and a
-    digest that differs from the header raises; of a revisit they are the header's.
+    A record that can't be read gives a row with ``error``, and so does a
+    response whose payload differs from its digest; what follows in the file
+    goes on with its next gzip member.
     """
-    import zlib
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for content in batch.column("content").to_pylist():
-            data = zlib.decompress(content, 47) if content[:2] == b"\x1f\x8b" else content
-            for head, block in parse_warc(data):
-                http, payload = split_http(block)
-                digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                size = int(http_field(http, "Content-Length") or len(payload))
-                if head["WARC-Type"] == "response":
-                    size = len(payload)
-                    if base32_sha1(payload) != digest:
-                        raise ArchiveError(f"payload of {head['WARC-Record-ID']} doesn't match its digest")
-                page, ref = http_field(http, "X-Page-Id"), head.get("WARC-Refers-To-Page")
-                rows.append((int(page) if page else None, size, digest, head["WARC-Type"], int(ref) if ref else None, head["WARC-Record-ID"], head["WARC-Target-URI"]))
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 7
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in RECORDS.split(", ")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 8
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in RECORDS.split(", ")])
+            rows.clear()
+            return out
+
+        def failed(e: Exception) -> tuple:
+            return (*[None] * 7, f"{type(e).__name__}: {e}")
+
+        for batch in batches:
+            for content in batch.column("content").to_pylist():
+                try:
+                    for member in members(content):
+                        try:
+                            rows.extend(read_record(h, b) for h, b in parse_warc(member) if h.get("WARC-Type") != "warcinfo")
+                        except (ArchiveError, KeyError, ValueError) as e:
+                            rows.append(failed(e))
+                        if len(rows) >= RECORD_ROWS:
+                            yield flush()
+                except (ArchiveError, zlib.error) as e:
+                    rows.append(failed(e))
+        yield flush()
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    small_batches(spark)  # the byte limit ends a batch after a few archives
-    out = files.mapInArrow(lambda batches: (run(b) for b in batches), RECORDS)
-    return out
+    small_batches(spark)  # the byte limit ends a batch after a file
+    return files.mapInArrow(run, RECORDS)
 
 
 def archive(pages: DataFrame, path: str, *, least_bytes: int = 0) -> DataFrame:
@@ -283,3 +398,13 @@ def archive(pages: DataFrame, path: str, *, least_bytes: int = 0) -> DataFrame:
     """
     write(convert_pages(pages), path, least_bytes=least_bytes)
     return read_back(pages.sparkSession, path)
+
+
+#: Four letters from each five hexadecimal digits of the SHA-1.
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS s FROM p),
+b AS (SELECT page_id, n, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(s, 5 * (i // 4)::INT + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31), 1)), '') AS g FROM d),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY g, n) AS first FROM b)
+SELECT page_id, n::BIGINT AS payload_bytes, g AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+"""

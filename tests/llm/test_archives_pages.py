@@ -51,14 +51,77 @@ def test_round_trip(spark):
 
 def test_files_are_valid(spark, data, tmp_path):
     path = str(tmp_path / "warc")
-    warc.write(warc.convert_pages(read(spark, data, "pages")), path)
-    n = 0
-    for f in (tmp_path / "warc").glob("part-*"):
-        for head, block in warc.parse_warc(gzip.decompress(f.read_bytes())):
-            n += 1
+    pages = read(spark, data, "pages")
+    warc.write(warc.convert_pages(pages), path, file_bytes=6000)
+    n, files = 0, sorted((tmp_path / "warc").glob("part-*"))
+    assert len(files) > 5 and all(f.name.endswith(".warc.gz") for f in files)
+    for f in files:
+        found = [list(warc.parse_warc(m)) for m in warc.members(f.read_bytes())]
+        assert all(len(m) == 1 for m in found) and found[0][0][0]["WARC-Type"] == "warcinfo"
+        assert gzip.decompress(f.read_bytes()) == b"".join(warc.members(f.read_bytes()))
+        for head, block in (m[0] for m in found):
+            n += head["WARC-Type"] != "warcinfo"
             assert head["WARC-Block-Digest"] == "sha1:" + digest(block)
             assert re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", head["WARC-Record-ID"]) and head["WARC-Date"].endswith("Z")
-    assert n == read(spark, data, "pages").count()
+    assert n == pages.count() == warc.read_back(spark, path).where("error is null").count()
+
+
+def test_large_records_end_in_a_zero():
+    for size in (0, 5, (1 << 24) - 1, 1 << 24, (1 << 24) + 9):
+        packed = warc.gzip_member(b"x" * size)
+        assert packed[-1] == 0 and gzip.decompress(packed) == b"x" * size and b"".join(warc.members(packed)) == b"x" * size
+
+
+def test_arc_files(spark, tmp_path):
+    """Stored files, plain and gzip; a broken one gives its records up to the break and a row that says so."""
+    ok = warc.pages_to_arc([1, 2], ["u", "v"], [b"one", "zwei é".encode()], 1)
+    two = warc.pages_to_arc([3], ["w"], [b"x\n\n"], 2)
+    (tmp_path / "a.arc").write_bytes(ok)
+    (tmp_path / "b.arc.gz").write_bytes(gzip.compress(two[:20]) + gzip.compress(two[20:]))
+    (tmp_path / "c.arc").write_bytes(ok[:-5])
+    (tmp_path / "d.arc").write_bytes(b"")
+    (tmp_path / "e.arc.gz").write_bytes(gzip.compress(ok)[:-9])
+    rows = warc.read_arc(spark, str(tmp_path / "*.arc*")).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.path[-8:].lstrip("/").split("/")[-1], []).append(r)
+    assert [(r.page_id, bytes(r.payload)) for r in by["a.arc"]] == [(1, b"one"), (2, "zwei é".encode())]
+    assert [(r.page_id, bytes(r.payload), r.payload_digest) for r in by["b.arc.gz"]] == [(3, b"x\n\n", digest(b"x\n\n"))]
+    assert [(r.page_id, r.error is None) for r in by["c.arc"]] == [(1, True), (None, False)]
+    assert "d.arc" not in by and [r.error is None for r in by["e.arc.gz"]] == [False]
+    path = str(tmp_path / "out")
+    warc.write(warc.read_arc(spark, str(tmp_path / "*.arc*")).where("error is null").drop("path", "error"), path)
+    assert warc.read_back(spark, path).count() == 4
+
+
+def test_malformed_warc(spark, tmp_path):
+    row = {"record_id": "<urn:uuid:1>", "url": "u", "warc_date": "2000-01-01T00:00:00Z", "content_type": "text/html", "http": "HTTP/1.1 200 OK\r\nX-Page-Id: 4\r\n\r\n", "payload": b"abc", "payload_digest": digest(b"abc"), "block_digest": "x", "page_id": 4}
+    good = warc.warc_record("response", row, None)
+    bad = warc.warc_record("response", row | {"payload_digest": digest(b"abd")}, None)
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(map(warc.gzip_member, [good, good[:-9], bad, b"junk", good])) + b"\x1f\x8bcut")
+    got = warc.read_back(spark, str(tmp_path)).collect()
+    assert [(r.page_id, r.error is None) for r in got] == [(4, True), (None, False), (4, False), (None, False), (4, True), (None, False)]
+
+
+def test_repeated_page_ids(spark):
+    rows = [(1, "u", "same"), (1, "u", "same"), (2, "v", "same"), (2, "v", "other"), (2, "v", "other")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive(df, scratch_path(spark, "w")).collect())
+    assert got == [(1, 4, "response", None), (1, 4, "response", None), (2, 4, "revisit", 1), (2, 5, "response", None), (2, 5, "response", None)]
+
+
+def test_warc_query_against_sql(spark):
+    """On a table with repeated payloads."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW pages AS SELECT * FROM read_parquet('/root/testdata/sf0.01/pages.parquet') UNION ALL SELECT page_id + 10000, url, html FROM read_parquet('/root/testdata/sf0.01/pages.parquet') WHERE page_id % 7 = 0 UNION ALL SELECT 20000 + page_id, url, NULL FROM read_parquet('/root/testdata/sf0.01/pages.parquet') WHERE page_id < 3")
+    df = read(spark, "/root/testdata/sf0.01", "pages")
+    df = df.unionByName(df.where("page_id % 7 = 0").withColumn("page_id", df.page_id + 10000)).unionByName(df.where("page_id < 3").selectExpr("page_id + 20000 as page_id", "url", "cast(null as string) as html"))
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    got = sorted(tuple(r) for r in warc.archive(df, scratch_path(spark, "w")).select(*columns).collect())
+    want = sorted(con.sql(f"SELECT {', '.join(columns)} FROM ({queries.ORACLES['op4_warc']})").fetchall())
+    assert got == want and any(r[4] is not None for r in got)
 
 
 def test_warc_query(spark, data):
