@@ -1,8 +1,9 @@
 """Quality rules: a learned, ordered decision list over document statistics.
 
-Sequential covering grows one conjunction of thresholds at a time on labelled
-statistics, prunes it on rows it was not grown on, removes what it covers and
-goes on.  The finished list becomes one ordered ``CASE WHEN`` expression, so
+Sequential covering grows one conjunction of thresholds for each class at a
+time on labelled statistics, prunes both on rows they were not grown on, takes
+the better one, removes what it covers and goes on.  The first rule that holds
+decides.  The finished list becomes one ordered ``CASE WHEN`` expression, so
 applying it is a plain Spark projection.
 """
 
@@ -123,9 +124,10 @@ class Condition:
 
 @dataclass(frozen=True)
 class Rule:
-    """Rows that meet all conditions are rejected."""
+    """Rows that meet all conditions are rejected, or kept; without conditions, all rows."""
 
     conditions: tuple[Condition, ...]
+    kept: bool = False
 
     def holds(self, table: dict[str, np.ndarray]) -> np.ndarray:
         hit = np.ones(len(next(iter(table.values()))), bool)
@@ -140,7 +142,7 @@ class Rule:
         return out
 
     def __str__(self) -> str:
-        return "reject if " + " and ".join(map(str, self.conditions))
+        return ("keep" if self.kept else "reject") + " if " + (" and ".join(map(str, self.conditions)) or "true")
 
 
 def _gain(pos: np.ndarray, neg: np.ndarray, pos0: float, neg0: float) -> np.ndarray:
@@ -183,35 +185,62 @@ def _worth(conditions: list[Condition], table: dict[str, np.ndarray], bad: np.nd
     return (p - n) / (p + n) if p + n else -1.0
 
 
+#: Splits of the rows that are tried before the list ends.
+TRIES = 3
+
+
 def learn(table: dict[str, np.ndarray], bad: np.ndarray, *, most_rules: int = 12, most_conditions: int = 4, least_precision: float = 0.8, least_cover: int = 5, seed: int = 7) -> list[Rule]:
     """Sequential covering: grow on two thirds, prune on one third, until no rule is worth it.
 
-    No rows, or rows of one class only, give an empty list.
+    A rule has to be right ``least_precision`` of the time and to halve the error
+    of its class's share in the rows left.  Of a rule for each class the purer one
+    on the rows it was pruned on goes first, a rejection if both are alike.  What no
+    rule decides is kept, or rejected by a last rule without conditions where
+    nearly all that is left is bad.  No rows, or rows of one class only, give
+    an empty list.
     """
     rules: list[Rule] = []
     left = np.ones(len(bad), bool)
     rng = np.random.default_rng(seed)
-    while len(rules) < most_rules:
+    tries = 0
+    if bad.all():
+        return rules
+    while len(rules) < most_rules and tries < TRIES and bad[left].any() and not bad[left].all():
         grow = rng.random(len(bad)) < 2 / 3
         g, p = left & grow, left & ~grow
-        if not bad[g].any():
-            break
         part = {k: v[g] for k, v in table.items()}
         rest = {k: v[p] for k, v in table.items()}
-        conditions = _grow(part, bad[g], most_conditions)
-        if not conditions:
-            break
-        while len(conditions) > 1 and _worth(conditions[:-1], rest, bad[p]) >= _worth(conditions, rest, bad[p]):
-            conditions.pop()
-        rule = Rule(tuple(conditions))
-        hit = rule.holds(table) & left
-        if hit.sum() < least_cover or bad[hit].mean() < least_precision:
-            break
-        rules.append(rule)
-        left &= ~hit
+        best: tuple[float, Rule | None] = (-1.0, None)
+        for kept, target in ((False, bad), (True, ~bad)):
+            conditions = _grow(part, target[g], most_conditions) if target[g].any() else []
+            while len(conditions) > 1 and _worth(conditions[:-1], rest, target[p]) >= _worth(conditions, rest, target[p]):
+                conditions.pop()
+            rule = Rule(tuple(conditions), kept)
+            hit = rule.holds(table) & left
+            enough = max(least_precision, 1 - (1 - target[left].mean()) / 2)
+            if conditions and hit.sum() >= least_cover and target[hit].mean() >= enough and (worth := _worth(conditions, rest, target[p])) > best[0]:
+                best = (worth, rule)
+        if best[1] is None:
+            tries += 1
+            continue
+        tries = 0
+        rules.append(best[1])
+        left &= ~best[1].holds(table)
+    if left.sum() >= least_cover and bad[left].mean() >= least_precision:
+        rules.append(Rule(()))
     return rules
 
 
+def decide(rules: list[Rule], table: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(kept, number of the rule that decides, 0 if none) for rows of statistics."""
+    n = len(next(iter(table.values())))
+    kept, which = np.ones(n, bool), np.zeros(n, int)
+    for i, rule in enumerate(rules, 1):
+        hit = rule.holds(table) & (which == 0)
+        kept[hit], which[hit] = rule.kept, i
+    return kept, which
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, modulus: int = 3, remainder: int = 1, bound: int = 20_000) -> list[Rule]:
     """A list learned from about ``bound`` labelled rows at most (sampled by id hash).
 
@@ -225,11 +254,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, modulus: int = 3, remainder: int
 
 
 def verdict(rules: list[Rule]) -> tuple[Column, Column]:
-    """(kept, number of the rule that rejects, from 1; 0 if none) as ordered conditions."""
-    which = F.lit(0)
+    """(kept, number of the rule that decides, from 1; 0 if none) as ordered conditions."""
+    which, kept = F.lit(0), F.lit(True)
     for i in range(len(rules), 0, -1):
         which = F.when(rules[i - 1].column(), F.lit(i)).otherwise(which)
-    return which == 0, which
+        kept = F.when(rules[i - 1].column(), F.lit(rules[i - 1].kept)).otherwise(kept)
+    return kept, which
 
 
 def apply(docs: DataFrame, rules: list[Rule]) -> DataFrame:
