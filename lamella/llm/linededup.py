@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField, StructType
 
 from .common import ROWS_PER_BATCH, map_arrow, small_batches, stored, text_bytes
 
@@ -266,7 +266,8 @@ def _packed_rows(rows: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS, broadcast_spans: int = BROADCAST_SPANS) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``, and
-    ``lamella_lines``, ``lamella_removed`` (int): lines before, lines removed.
+    ``lamella_lines``, ``lamella_removed`` (int): lines before, lines removed,
+    and ``lamella_left`` (double): the share of words left, 1 without words.
 
     A null text stays null with 0 lines; a text of one line (LONG_LINE spaces
     or more make it several) is never changed.  Ranges of lines reach the texts
@@ -286,27 +287,31 @@ def clean(docs: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS, broadcast_sp
         rows = docs.select("*", k0.alias("lamella_k0"), k1.alias("lamella_k1")).join(F.broadcast(spans), keys, "left").select("lamella_spans", *columns)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out, total, gone = [], [], []
+        out, total, gone, left = [], [], [], []
         raw = batch.column("lamella_text").to_pylist() if packed else batch.column("text").cast(pa.binary()).to_pylist()
         found = _unpack(raw) if packed else [t or b"" for t in raw]
         for z, text, spans in zip(raw, found, batch.column("lamella_spans").to_pylist(), strict=True):
             lines = lines_of(text)
             drop = {k for s in spans or () for k in range(s["a"], s["b"])}
-            out.append(None if z is None else b"".join(x for k, x in enumerate(lines) if k not in drop) if drop else text)
+            new = b"".join(x for k, x in enumerate(lines) if k not in drop) if drop else text
+            out.append(None if z is None else new)
             total.append(len(lines))
             gone.append(len(drop))
+            left.append(len(new.split()) / max(1, len(text.split())) if drop else 1.0)
         arrays = [pa.array(out, pa.binary()).cast(pa.string()) if c == "text" else batch.column(c) for c in columns]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array(total, pa.int32()), pa.array(gone, pa.int32())], names=[*columns, "lamella_lines", "lamella_removed"])
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(total, pa.int32()), pa.array(gone, pa.int32()), pa.array(left, pa.float64())], names=[*columns, "lamella_lines", "lamella_removed", "lamella_left"])
 
-    schema = StructType([*docs.schema.fields, StructField("lamella_lines", IntegerType()), StructField("lamella_removed", IntegerType())])
+    schema = StructType([*docs.schema.fields, StructField("lamella_lines", IntegerType()), StructField("lamella_removed", IntegerType()), StructField("lamella_left", DoubleType())])
     return map_arrow(rows, run, schema)
 
 
-def keep(docs: DataFrame) -> DataFrame:
-    """Columns of ``docs`` with cleaned texts; a text of which no word is left goes."""
-    done = clean(docs)
-    empty = (F.col("lamella_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return done.where(~empty).select(*docs.columns)
+def keep(docs: DataFrame, *, least_left: float = 0.5) -> DataFrame:
+    """Columns of ``docs`` with cleaned texts.
+
+    A text that loses more than ``1 - least_left`` of its words is a copy of
+    what stands elsewhere and goes as a whole: its scraps are no document.
+    """
+    return clean(docs).where((F.col("lamella_removed") == 0) | (F.col("lamella_left") >= least_left)).select(*docs.columns)
 
 
 def _sql(table: str = "documents") -> str:

@@ -124,6 +124,19 @@ def test_line_edge_cases(spark):
     assert L.clean(df.where("1 = 0")).collect() == []
 
 
+def test_scraps_go(spark):
+    """A near copy of which a few words are left is no document; one that keeps most of its words is."""
+    rng = random.Random(30)
+    base = [sentence(rng, 9) for _ in range(20)]
+    edited = [x if k % 7 else sentence(rng, 9) for k, x in enumerate(base)]
+    own = [sentence(rng, 9) for _ in range(20)] + base[3:8]
+    rows = [(1, "\n".join(base)), (2, "\n".join(edited)), (3, "\n".join(own)), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in L.keep(df).collect() if r.doc_id < 4) == [(1, "\n".join(base)), (3, "\n".join(own[:20]) + "\n")]
+    assert sorted(r.doc_id for r in L.keep(df).collect()) == [1, 3, 4, 5]
+    assert sorted(r.doc_id for r in L.keep(df, least_left=0.0).collect()) == [1, 2, 3, 4, 5]
+
+
 def brute_clean(rows):
     """(lines, removed lines, text) of rows with distinct ids, by comparing every chunk with all before it."""
     seen, gone = {}, {}
