@@ -37,6 +37,15 @@ def n_tokens() -> Column:
     return F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _id() -> Column:
+    """The id, or a number for a null one; :func:`_key` tells it from an id of that number."""
+    return F.coalesce("doc_id", F.lit(-(1 << 63)))
+
+
+def _key() -> Column:
+    return F.xxhash64("text", F.col("doc_id").isNull())
+
+
 def order(seed: int, epoch: Column) -> Column:
     """The place of a row in its leaf's order of one epoch: 60 bits of a digest."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(str(seed)), epoch.cast("string"))), 1, 15), 16, 10).cast("long")
@@ -94,7 +103,7 @@ def select(docs: DataFrame, *, budget_share: float = 0.5, max_epochs: int = 2, w
     budgets add up to the whole, or to all that the epochs allow.
     """
     weights = WEIGHTS if weights is None else weights
-    rows = stored(docs.select("doc_id", F.xxhash64("text").alias("mix_key"), *(c.alias(k) for k, c in tree_columns(domain).items()), n_tokens().alias("n_tokens")).where("n_tokens > 0"), "mix")
+    rows = stored(docs.select("doc_id", _key().alias("mix_key"), *(c.alias(k) for k, c in tree_columns(domain).items()), n_tokens().alias("n_tokens")).where("n_tokens > 0"), "mix")
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     leaves = stored(leaves, "leaves")
     totals = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"), F.count("*").alias("n"), F.coalesce(F.max("docs"), F.lit(0)).alias("m")).first()
@@ -134,10 +143,10 @@ def mixed(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     id and text the other columns of one stand for all.
     """
     new = ("epoch", "tokens_taken")
-    taken = select(docs, **options).select(F.col("doc_id").alias("lamella_mix_id"), F.col("mix_key").alias("lamella_mix_key"), *(F.col(c).alias(f"lamella_{c}") for c in new))
-    rows = docs.drop(*new).withColumns({"lamella_id": F.col("doc_id"), "lamella_key": F.xxhash64("text")}).dropDuplicates(["lamella_id", "lamella_key"])
-    same = F.col("lamella_id").eqNullSafe(F.col("lamella_mix_id")) & (F.col("lamella_key") == F.col("lamella_mix_key"))
-    return rows.join(taken, same).select(*(c for c in docs.columns if c not in new), *(F.col(f"lamella_{c}").alias(c) for c in new))
+    keys = ["lamella_id", "lamella_key"]
+    taken = select(docs, **options).select(_id().alias(keys[0]), F.col("mix_key").alias(keys[1]), *(F.col(c).alias(f"lamella_{c}") for c in new))
+    rows = docs.drop(*new).withColumns({keys[0]: _id(), keys[1]: _key()}).dropDuplicates(keys)
+    return rows.join(taken, keys).select(*(c for c in docs.columns if c not in new), *(F.col(f"lamella_{c}").alias(c) for c in new))
 
 
 def _weight_sql(level: str) -> str:
