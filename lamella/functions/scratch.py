@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where none is set."""
+    """``spark.checkpoint.dir``; where none is set, a folder in the warehouse, which
+    executors share, or a temporary one if all of Spark runs on this machine.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        path = getattr(spark, "_lamella_scratch", None) or tempfile.mkdtemp(prefix="lamella-")
+        path = getattr(spark, "_lamella_scratch", None)
+        if not path and spark.sparkContext.master.startswith("local"):
+            path = tempfile.mkdtemp(prefix="lamella-")
+        path = path or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lamella-scratch"
         spark._lamella_scratch = path
     return path.rstrip("/")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -12,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dtypes import TYPES, itemsize
+from . import store
 from .sections import SECTION
 
 # Tags that have a meaning of their own, tags that only describe, and spellings that exclude each other.
@@ -206,14 +206,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                folder = os.path.dirname(re.sub(r"^file:/+", "/", row["path"]))
+                folder = row["path"].rpartition("/")[0]
 
                 def fetch(name: str, folder: str = folder) -> bytes:
-                    with open(os.path.join(folder, name), "rb") as f:
-                        return f.read()
+                    return store.read(name if name.startswith("/") else store.join(folder, name))
 
                 _, layout, parts = decode(row["content"], fetch)
-                yield pa.RecordBatch.from_arrays([pa.array([row["path"]] * len(parts)), pa.array(range(len(parts)), pa.int32()), pa.array([layout.ny] * len(parts), pa.int32()), pa.array([layout.nx] * len(parts), pa.int32()), pa.array([layout.type.name] * len(parts)), pa.array(parts, pa.binary())], names=["path", "z", "ny", "nx", "dtype", "pixels"])
+                for z, part in enumerate(parts):  # a batch holds one section
+                    yield pa.RecordBatch.from_arrays([pa.array([row["path"]]), pa.array([z], pa.int32()), pa.array([layout.ny], pa.int32()), pa.array([layout.nx], pa.int32()), pa.array([layout.type.name]), pa.array([part], pa.binary())], names=["path", "z", "ny", "nx", "dtype", "pixels"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, " + SECTION)
 
@@ -231,19 +231,13 @@ def read_tags(spark: SparkSession, path: str) -> DataFrame:
 
 def write(sections: DataFrame, folder: str, name: str = "%04d.mha", *, compressed: bool = False, tags: dict[str, object] | None = None) -> int:
     """One file for each section, in a folder that executors share; the number written."""
-    folder = folder.removeprefix("file://")
-    os.makedirs(folder, exist_ok=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
         for batch in batches:
             for r in batch.to_pylist():
                 head, body = encode(r["pixels"], r["ny"], r["nx"], r["dtype"], compressed=compressed, tags=tags)
-                target = os.path.join(folder, name % r["z"])
-                temporary = f"{target}.{os.getpid()}.tmp"
-                with open(temporary, "wb") as f:
-                    f.write(head + body)
-                os.replace(temporary, target)  # a task that runs twice writes the same file
+                store.write(store.join(folder, name % r["z"]), head + body)
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 

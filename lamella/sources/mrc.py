@@ -1,23 +1,27 @@
 """MRC stacks as a Spark data source (``format("mrc")``), read and write.
 
 A reader partition is a range of sections and opens the file at its own
-offset.  Filters on ``z`` reach the reader, which then skips sections.  Tasks
-write their sections to part files and the commit joins them under one header.
+offset.  Filters on ``z`` reach the reader, which then skips sections.  In a
+local or mounted folder tasks write their sections to their final places and the
+commit adds the header; in other stores, which can't write into the middle of a
+file, tasks write parts and the commit streams them into one.
 """
 
 from __future__ import annotations
 
 import os
-import shutil
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from ..functions.dtypes import TYPES, itemsize
+from . import store
 
 # Fixed values of the MRC header: struct formats, field names and marks.
 NEW_FORMAT = "10i6f3i3fiih30xhh20xii6h6f3f2ifi"
@@ -70,20 +74,35 @@ class Header:
         return self.fields["nx"] * self.fields["ny"] * itemsize(TYPES[self.dtype])
 
 
+#: Largest plausible dimension and mode: their bytes in the wrong order make far larger numbers.
+MOST_SIDE, MOST_MODE = 1 << 24, 127
+LITTLE_MARKS, BIG_MARKS = frozenset(b"\x44\x41"), frozenset(b"\x11\x17")
+
+
+def byte_order(data: bytes, new: bool) -> str:
+    """``<`` or ``>``: the one that makes dimensions and mode plausible, else what the stamp says.
+
+    The stamp's marks may stand at either end of its four bytes.
+    """
+    marks = {*data[212:216]} - {0}
+    if new and not (marks and (marks <= LITTLE_MARKS or marks <= BIG_MARKS)):
+        raise MrcError(f"unknown byte-order stamp {data[212:216].hex()}")
+    likely = []
+    for e in "<>":
+        *sides, mode = struct.unpack_from(e + "4i", data)
+        if all(0 < x <= MOST_SIDE for x in sides) and 0 <= mode <= MOST_MODE:
+            likely.append(e)
+    if len(likely) == 1:
+        return likely[0]
+    return ">" if new and marks <= BIG_MARKS else "<"
+
+
 def parse_header(data: bytes) -> Header:
     """The header in the first 1024 bytes (and the extra part after them, if given)."""
     if len(data) < HEADER_BYTES:
         raise MrcError("shorter than a header")
     new = any(struct.unpack_from(e + "i", data, 208)[0] == MAP_MARK for e in "<>")
-    endian = "<"
-    if new:
-        little, big = (struct.unpack_from(e + "I", data, 212)[0] for e in "<>")
-        if little == BIG_STAMP or little & 0xFF == 0x17 and little >> 16 == 0 or data[212:214] == b"\x11\x11":
-            endian = ">"
-        elif little != LITTLE_STAMP and (little & 0xFF != 0x44 or little >> 16):
-            raise MrcError(f"unknown byte-order stamp {little:#x} / {big:#x}")
-    elif not 0 <= struct.unpack_from("<i", data, 12)[0] < 1 << 16:
-        endian = ">"
+    endian = byte_order(data, new)
     values = struct.unpack_from(endian + (NEW_FORMAT if new else OLD_FORMAT), data)
     f = dict(zip(COMMON + (NEW_TAIL if new else OLD_TAIL), values, strict=True))
     if min(f["nx"], f["ny"], f["nz"]) <= 0:
@@ -102,16 +121,16 @@ def parse_header(data: bytes) -> Header:
     return head
 
 
-def new_header(nx: int, ny: int, nz: int, dtype: str, stats: tuple[float, float, float] = (0.0, 0.0, 0.0), label: str = "Made by lamella") -> Header:
+def new_header(nx: int, ny: int, nz: int, dtype: str, stats: tuple[float, float, float] = (0.0, 0.0, 0.0), label: str = "Made by lamella", endian: str = "<") -> Header:
     t = TYPES[dtype]
     if t.mrc is None:
         raise MrcError(f"MRC can't hold {dtype}")
     f = dict.fromkeys(COMMON + NEW_TAIL, 0)
-    f |= {"nx": nx, "ny": ny, "nz": nz, "mode": t.mrc, "mx": nx, "my": ny, "mz": nz, "xlen": float(nx), "ylen": float(ny), "zlen": float(nz), "alpha": 90.0, "beta": 90.0, "gamma": 90.0, "mapc": 1, "mapr": 2, "maps": 3, "cmap": MAP_MARK, "stamp": LITTLE_STAMP, "nlabl": 1}
+    f |= {"nx": nx, "ny": ny, "nz": nz, "mode": t.mrc, "mx": nx, "my": ny, "mz": nz, "xlen": float(nx), "ylen": float(ny), "zlen": float(nz), "alpha": 90.0, "beta": 90.0, "gamma": 90.0, "mapc": 1, "mapr": 2, "maps": 3, "cmap": MAP_MARK, "stamp": LITTLE_STAMP if endian == "<" else BIG_STAMP, "nlabl": 1}
     f |= dict(zip(("amin", "amax", "amean"), map(float, stats), strict=True))
     if dtype == "sbyte":
         f |= {"imod_stamp": IMOD_STAMP, "imod_flags": SIGNED_FLAG}
-    return Header(f, [label.ljust(LABEL_BYTES)], b"", "<", True)
+    return Header(f, [label.ljust(LABEL_BYTES)], b"", endian, True)
 
 
 def pack_header(h: Header) -> bytes:
@@ -121,16 +140,11 @@ def pack_header(h: Header) -> bytes:
     return data + labels.ljust(LABELS * LABEL_BYTES) + h.extra
 
 
-def local(path: str) -> str:
-    return path.removeprefix("file://")
-
-
 def read_header(path: str) -> Header:
-    with open(local(path), "rb") as f:
-        data = f.read(HEADER_BYTES)
-        head = parse_header(data)
-        head.extra = f.read(head.fields["next"])
-        return head
+    data = store.read(path, 0, HEADER_BYTES)
+    head = parse_header(data)
+    head.extra = store.read(path, HEADER_BYTES, head.fields["next"]) if head.fields["next"] else b""
+    return head
 
 
 def header_row(h: Header) -> tuple:
@@ -145,7 +159,7 @@ class Sections(InputPartition):
 
 class MrcReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.path = local(options["path"])
+        self.path = options["path"]
         self.low, self.high, self.only = 0, None, None
         self.per = int(options.get("sectionsperpartition", SECTIONS_PER_PARTITION))
 
@@ -178,7 +192,8 @@ class MrcReader(DataSourceReader):
     def read(self, partition: Sections) -> Iterator[tuple]:
         h = read_header(self.path)
         size, kind = h.section_bytes, np.dtype(h.endian + TYPES[h.dtype].numpy)
-        with open(self.path, "rb") as f:
+        files, at = store.locate(self.path)
+        with files.open_input_file(at) as f:
             for z in range(partition.first, partition.last + 1):
                 if self.only is not None and z not in self.only:
                     continue
@@ -196,27 +211,53 @@ class Part(WriterCommitMessage):
     rows: list[tuple]
 
 
+ORDERS = {"little": "<", "big": ">"}
+
+
 class MrcWriter(DataSourceWriter):
-    """Sections must have one shape and type and z from 0 without gaps."""
+    """Sections must have one shape and type and z from 0 without gaps; option ``endian``: little or big."""
 
     def __init__(self, options: dict, overwrite: bool) -> None:
-        self.path = local(options["path"])
-        self.parts = self.path + ".parts"
-        if os.path.exists(self.path) and not overwrite:
+        self.path = options["path"]
+        self.endian = ORDERS[options.get("endian", "little")]
+        files, self.at = store.locate(self.path)
+        self.in_place = isinstance(files, fs.LocalFileSystem)
+        if store.exists(self.path) and not overwrite:
             raise FileExistsError(self.path)
-        os.makedirs(self.parts, exist_ok=True)
+        self.draft = self.at + ".draft" if self.in_place else self.path + ".parts"
+        if self.in_place:
+            os.makedirs(os.path.dirname(os.path.abspath(self.at)), exist_ok=True)
 
     def write(self, rows: Iterator) -> Part:
         from pyspark import TaskContext
 
         name = f"part-{TaskContext.get().taskAttemptId()}"
         found, at = [], 0
-        with open(os.path.join(self.parts, name), "wb") as f:
+        if self.in_place:
+            out = os.open(self.draft, os.O_WRONLY | os.O_CREAT, 0o644)
+        else:
+            files, folder = store.locate(self.draft)
+            files.create_dir(folder)
+            out = files.open_output_stream(f"{folder}/{name}", compression=None)
+        try:
             for r in rows:
-                v = np.frombuffer(r["pixels"], "<" + TYPES[r["dtype"]].numpy).astype(np.float64)
-                f.write(r["pixels"])
-                found.append((r["z"], r["ny"], r["nx"], r["dtype"], at, len(r["pixels"]), float(v.min()), float(v.max()), float(v.mean())))
-                at += len(r["pixels"])
+                kind = TYPES[r["dtype"]].numpy
+                v = np.frombuffer(r["pixels"], "<" + kind)
+                data = v.astype(self.endian + kind).tobytes()
+                if r["z"] < 0:
+                    raise MrcError("sections must be numbered from 0 without gaps")
+                if self.in_place:  # the same bytes at the same place, however often a task runs
+                    left, to = memoryview(data), HEADER_BYTES + r["z"] * len(data)
+                    while left:
+                        n = os.pwrite(out, left, to)
+                        left, to = left[n:], to + n
+                else:
+                    out.write(data)
+                v = v.astype(np.float64)
+                found.append((r["z"], r["ny"], r["nx"], r["dtype"], at, len(data), float(v.min()), float(v.max()), float(v.mean())))
+                at += len(data)
+        finally:
+            os.close(out) if self.in_place else out.close()
         return Part(name, found)
 
     def commit(self, messages: list[Part | None]) -> None:
@@ -225,23 +266,30 @@ class MrcWriter(DataSourceWriter):
             raise MrcError("sections must be numbered from 0 without gaps")
         if len({r[1:4] for r, _ in rows}) != 1:
             raise MrcError("sections differ in shape or type")
-        _, ny, nx, dtype = rows[0][0][:4]
+        _, ny, nx, dtype, _, size = rows[0][0][:6]
         stats = (min(r[6] for r, _ in rows), max(r[7] for r, _ in rows), sum(r[8] for r, _ in rows) / len(rows))
-        with open(self.path + ".tmp", "wb") as out:
-            out.write(pack_header(new_header(nx, ny, len(rows), dtype, stats)))
+        head = pack_header(new_header(nx, ny, len(rows), dtype, stats, endian=self.endian))
+        if self.in_place:
+            with open(self.draft, "r+b") as f:
+                f.write(head)
+                f.truncate(HEADER_BYTES + len(rows) * size)
+            os.replace(self.draft, self.at)
+            return
+        files, folder = store.locate(self.draft)
+        with files.open_output_stream(self.at, compression=None) as out:
+            out.write(head)
             for r, name in rows:
-                with open(os.path.join(self.parts, name), "rb") as f:
+                with files.open_input_file(f"{folder}/{name}") as f:
                     f.seek(r[4])
                     left = r[5]
                     while left:
                         block = f.read(min(left, 10 << 20))
                         out.write(block)
                         left -= len(block)
-        os.replace(self.path + ".tmp", self.path)
-        shutil.rmtree(self.parts)
+        store.remove(self.draft)
 
     def abort(self, messages: list[Part | None]) -> None:
-        shutil.rmtree(self.parts, ignore_errors=True)
+        store.remove(self.draft)
 
 
 class MrcSource(DataSource):
@@ -266,6 +314,59 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(MrcSource)
 
 
-def headers(spark: SparkSession, paths: list[str]):  # noqa: ANN201
-    """One row of header fields for each file; pixels stay unread."""
-    return spark.createDataFrame([header_row(read_header(p)) for p in paths], HEADER_SCHEMA)
+def headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """One row of header fields for each file, read by the executors; pixels stay unread."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                h = read_header(path)
+                yield pa.RecordBatch.from_pylist([dict(zip(names, header_row(h), strict=True))], schema=kinds)
+
+    fields = [f.split() for f in HEADER_SCHEMA.split(", ")]
+    names = [n for n, _ in fields]
+    arrow = {"int": pa.int32(), "smallint": pa.int16(), "float": pa.float32(), "long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+    kinds = pa.schema([(n, arrow[k]) for n, k in fields])
+    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 1000)))
+    return files.mapInArrow(run, HEADER_SCHEMA)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Sections of one stack.
+
+    A store that only Spark reaches has no ranges: the file, 2 GB at most, then
+    comes as a whole and one task cuts it into sections.
+    """
+    register(spark)
+    try:
+        store.locate(path)
+    except (OSError, ValueError, pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        pass
+    else:
+        return spark.read.format("mrc").load(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("content").to_pylist():
+                yield from decode(data)
+
+    from .sections import SECTION
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, SECTION)
+
+
+def decode(data: bytes) -> Iterator[pa.RecordBatch]:
+    """Sections of a whole file, a batch each."""
+    h = parse_header(data)
+    size, kind = h.section_bytes, np.dtype(h.endian + TYPES[h.dtype].numpy)
+    for z in range(h.fields["nz"]):
+        part = data[h.data_offset + z * size : h.data_offset + (z + 1) * size]
+        if len(part) != size:
+            raise MrcError(f"section {z} is cut off")
+        pixels = np.frombuffer(part, kind).astype(kind.newbyteorder("<")).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([z], pa.int32()), pa.array([h.fields["ny"]], pa.int32()), pa.array([h.fields["nx"]], pa.int32()), pa.array([h.dtype]), pa.array([pixels], pa.binary())], names=["z", "ny", "nx", "dtype", "pixels"])
+
+
+def shape(h: Header) -> tuple[int, ...]:
+    """(sections, rows, columns), and 3 for colours."""
+    return (h.fields["nz"], h.fields["ny"], h.fields["nx"], *([3] if h.dtype == "rgb24" else []))
