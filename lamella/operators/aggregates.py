@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import numbering
 from .pixels import BY
 
 
@@ -104,26 +105,16 @@ def renumber(px: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 def first_seen_runs(points: DataFrame) -> DataFrame:
     """Contour numbers that grow by one at every change, across files.
 
-    ``points`` has file_ord, line_no, contour and more.  Two levels: changes
-    are counted within each file, and only each file's first and last contour
-    and count meet in one place.
+    ``points`` has file_ord, line_no, contour and more.  Files are cut into
+    ranges of lines, so neither a long file nor many files meet in one task.
     """
-    within = Window.partitionBy("file_ord").orderBy("line_no")
-    rows = points.withColumn("step", (~F.col("contour").eqNullSafe(F.lag("contour").over(within)) & F.lag("line_no").over(within).isNotNull()).cast("long"))
-    rows = rows.withColumn("local", F.sum("step").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    files = points.groupBy("file_ord").agg(F.min_by("contour", "line_no").alias("head"), F.max_by("contour", "line_no").alias("tail"))
-    files = files.join(rows.groupBy("file_ord").agg(F.max("local").alias("most")), "file_ord")
-    order = Window.partitionBy(F.lit(0)).orderBy("file_ord")
-    start = F.when(F.lag("file_ord").over(order).isNull(), F.lit(1)).otherwise((~F.col("head").eqNullSafe(F.lag("tail").over(order))).cast("long"))
-    files = files.withColumn("start", start).withColumn("offset", F.sum(F.col("start") + F.coalesce(F.lag("most").over(order), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.join(F.broadcast(files.select("file_ord", "offset")), "file_ord").withColumn("contour", F.col("local") + F.col("offset")).drop("step", "local", "offset")
+    return numbering.change_count(points, "contour", "file_ord", "line_no", name="lamella_run").withColumn("contour", F.col("lamella_run")).drop("lamella_run")
 
 
 def forward_fill(rects: DataFrame, order: str = "ord") -> DataFrame:
     """The last box given holds for the images after it (one row an image)."""
-    w = Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    box = F.last(F.when(F.col("t").isNotNull(), F.struct("t", "l", "b", "r")), True).over(w)
-    return rects.select(order, box.alias("box")).select(order, "box.t", "box.l", "box.b", "box.r")
+    box = F.when(F.col("t").isNotNull(), F.struct("t", "l", "b", "r"))
+    return numbering.filled(rects, box, order, name="box").select(order, "box.t", "box.l", "box.b", "box.r")
 
 
 def last_entry(log: DataFrame, key: str, order: str, *values: str) -> DataFrame:
@@ -134,4 +125,14 @@ def last_entry(log: DataFrame, key: str, order: str, *values: str) -> DataFrame:
 
 def balanced_split(items: DataFrame, groups: int, order: str) -> DataFrame:
     """Contiguous groups whose sizes differ by one at most, the larger ones first (0-based)."""
-    return items.withColumn("grp", F.ntile(groups).over(Window.partitionBy(F.lit(0)).orderBy(order)) - 1)
+    rows = numbering.numbered(items, order, name="lamella_at")
+    n = rows.agg(F.count("*").alias("n")).first()["n"]
+    size, more = divmod(n, groups)
+    at = F.col("lamella_at")
+    small = F.lit(more) + F.floor((at - more * (size + 1)) / max(size, 1))
+    return rows.withColumn("grp", F.when(at < more * (size + 1), F.floor(at / (size + 1))).otherwise(small).cast("int")).drop("lamella_at")
+
+
+def value_bounds(df: DataFrame, column: str = "z") -> DataFrame:
+    """(lowest, highest) of a column, for checks of a selection."""
+    return df.agg(F.min(column).alias("lowest"), F.max(column).alias("highest"))

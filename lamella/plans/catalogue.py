@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dtypes import narrowest_unsigned
 from ..functions.scratch import scratch_path
 from ..operators import aggregates as A
 from ..operators import neighborhood as N
+from ..operators import numbering as B
 from ..operators import pixels as P
 from ..sources import metaimage, mrc, sections
 from . import chain, dag
@@ -258,8 +259,7 @@ def balanced_split(spark, d):
 
 @query("SELECT p_partkey, row_number() OVER (ORDER BY p_name, p_partkey) - 1 AS z FROM part")
 def z_by_name(spark, d):
-    p = X.table(spark, d, "part")
-    return p.select("p_partkey", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("p_name", "p_partkey")) - 1).cast("long").alias("z"))
+    return B.numbered(X.table(spark, d, "part").select("p_name", "p_partkey"), "p_name", "p_partkey", name="z").select("p_partkey", "z")
 
 
 # Task graphs.

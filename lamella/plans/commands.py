@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, pixels
+from ..operators import aggregates, numbering, pixels
 from ..sources import metaimage, mrc, sections, text
 from . import chain
 
@@ -17,10 +17,8 @@ Options = Sequence[tuple[str, str | None]]
 
 def numbered(paths: DataFrame, column: str = "path") -> DataFrame:
     """``z`` by the order of paths: the number that path sorts at.  Paths are few beside their pixels."""
-    from pyspark.sql import Window
-
-    names = paths.select(column).distinct()
-    return paths.join(names.withColumn("z", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(column)) - 1).cast("int")), column)
+    names = numbering.numbered(paths.select(column).distinct(), column, name="z").withColumn("z", F.col("z").cast("int"))
+    return paths.drop("z").join(names, column)
 
 
 def stack_to_images(spark: SparkSession, stack: str, folder: str, *, select: str | None = None, x: tuple[int, int] | None = None, y: tuple[int, int] | None = None, filters: Options = (), dtype: str | None = None, name: str = "%04d.mha") -> int:

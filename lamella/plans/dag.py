@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scratch import stored
@@ -56,8 +56,10 @@ def closure(links: DataFrame) -> DataFrame:
 
     Every round joins the pairs that the last one found to all pairs so far, so
     distances double and rounds grow with the logarithm of the depth.  A round's
-    result is a stored table: plans don't grow.  A cycle shows as a pair with
-    src = dst.
+    result is a stored table, and what it found is stored with all before as one:
+    plans don't grow.  A cycle shows as a pair with src = dst.  The result holds
+    a row for each pair: use :func:`reachable`, :func:`descendant_counts` or
+    :func:`on_cycles` where they do.
     """
     links = stored(links.select("src", "dst").distinct(), "links")
     found = fresh = links
@@ -67,7 +69,7 @@ def closure(links: DataFrame) -> DataFrame:
         fresh = stored(more, "closure")
         if fresh.isEmpty():
             return found
-        found = found.unionByName(fresh)
+        found = stored(found.unionByName(fresh), "closure")
 
 
 def reachable(links: DataFrame, start: DataFrame) -> DataFrame:
@@ -81,11 +83,56 @@ def reachable(links: DataFrame, start: DataFrame) -> DataFrame:
         seen = seen.unionByName(fresh)
 
 
+def tree_counts(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(task, n_after) where no task has two predecessors: a row for each task, in all rounds.
+
+    A row counts the task and what lies less than 2^k steps behind it and names
+    the ancestor 2^k steps ahead; a round adds each row to its ancestor's and
+    doubles the distance.  On a cycle it raises GraphError.
+    """
+    up = nodes.select("task").distinct().join(links.select(F.col("dst").alias("task"), F.col("src").alias("up")), "task", "left")
+    state = stored(up.withColumn("n", F.lit(1).cast("long")), "counts")
+    n_tasks = state.count()
+    for _ in range(max(1, n_tasks).bit_length() + 1):
+        if state.where("up is not null").isEmpty():
+            return state.select("task", (F.col("n") - 1).alias("n_after"))
+        more = state.where("up is not null").groupBy(F.col("up").alias("task")).agg(F.sum("n").alias("more"))
+        ahead = state.select(F.col("task").alias("up"), F.col("up").alias("next"))
+        step = state.join(more, "task", "left").join(ahead, "up", "left")
+        state = stored(step.select("task", F.col("next").alias("up"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), "counts")
+    raise GraphError("the graph has a cycle")
+
+
 def descendant_counts(tasks: DataFrame, links: DataFrame) -> DataFrame:
-    counts = closure(links).groupBy(F.col("src").alias("task")).agg(F.count("*").alias("n_after"))
+    """``n_after``: how many tasks follow each, directly or not.
+
+    Where every task has at most one predecessor the counts are sums over
+    subtrees; else descendants that are reached over several ways have to be told
+    apart, and the closure holds a row for each pair.
+    """
+    links = stored(links.select("src", "dst").distinct(), "links")
+    if links.groupBy("dst").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        counts = tree_counts(tasks.select("task").unionByName(links.select(F.col("src").alias("task"))), links)
+    else:
+        counts = closure(links).groupBy(F.col("src").alias("task")).agg(F.count("*").alias("n_after"))
     return tasks.join(counts, "task", "left").withColumn("n_after", F.coalesce("n_after", F.lit(0)))
 
 
+def on_cycles(links: DataFrame) -> DataFrame:
+    """The links left when tasks without a predecessor, or without a successor, are taken away
+    again and again: none where there is no cycle.  Links only get fewer."""
+    left = stored(links.select("src", "dst").distinct(), "links")
+    n = left.count()
+    while n:
+        kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        kept = kept.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        left = stored(kept.select("src", "dst"), "links")
+        before, n = n, left.count()
+        if n == before:
+            break
+    return left
+
+
 def mark_done(tasks: DataFrame, links: DataFrame, done: DataFrame) -> DataFrame:
     """``done`` tasks and all before them become done."""
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -167,10 +214,36 @@ def check(task_in: DataFrame, task_out: DataFrame, task_setting: DataFrame | Non
         unknown = task_setting.select("setting").subtract(settings.select(F.col("k").alias("setting")))
         if not unknown.isEmpty():
             raise GraphError(f"unknown setting: {unknown.first()}")
-    cycle = closure(edges(task_in, task_out)).where("src = dst")
+    cycle = on_cycles(edges(task_in, task_out))
     if not cycle.isEmpty():
         raise GraphError(f"the graph has a cycle through {cycle.first()['src']}")
 
 
-def dense_order(df: DataFrame, *by: str) -> DataFrame:
-    return df.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*by)))
+def add_tasks(task_in: DataFrame, task_out: DataFrame, new_in: DataFrame, new_out: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(overall inputs, overall outputs) after tasks with these files joined the graph."""
+    ins, outs = task_in.select("file").unionByName(new_in.select("file")), task_out.select("file").unionByName(new_out.select("file"))
+    return ins.subtract(outs), outs.subtract(ins)
+
+
+def find(tasks: DataFrame, name) -> DataFrame:  # noqa: ANN001
+    """The task of this name, or no row."""
+    return tasks.where(F.col("task") == F.lit(name))
+
+
+def done_list(log: DataFrame) -> DataFrame:
+    """Log rows by time of completion, then by name."""
+    return log.orderBy("ts", "task")
+
+
+def listing(tasks: DataFrame, running: DataFrame) -> DataFrame:
+    """(task, state) of tasks that aren't done, running ones first, each kind by name."""
+    state = tasks.where(~F.col("done")).join(running.select("task", F.lit("running").alias("state")), "task", "left")
+    return state.select("task", F.coalesce("state", F.lit("waiting")).alias("state")).orderBy("state", "task")
+
+
+def usage_of_tree(processes: DataFrame, root) -> DataFrame:  # noqa: ANN001
+    """Memory and time of a process and all it started; ``processes`` has pid, ppid, rss and cpu."""
+    links = processes.select(F.col("ppid").alias("src"), F.col("pid").alias("dst"))
+    tree = reachable(links, processes.where(F.col("pid") == F.lit(root)).select(F.col("pid").alias("task")))
+    own = processes.join(tree.select(F.col("task").alias("pid")), "pid", "left_semi")
+    return own.agg(F.count("*").alias("processes"), F.coalesce(F.sum("rss"), F.lit(0)).alias("rss"), F.coalesce(F.sum("cpu"), F.lit(0)).alias("cpu"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lamella.functions.dtypes import narrowest_unsigned
 from lamella.operators import aggregates as A
 from lamella.operators import neighborhood as N
+from lamella.operators import numbering as B
 from lamella.operators import pixels as P
 from lamella.plans import chain
 
@@ -192,3 +193,28 @@ def test_chain(spark):
 def test_forward_fill_keeps_leading_nulls(spark):
     r = spark.createDataFrame([(0, None), (1, 4), (2, None)], "ord int, t int").select("ord", "t", *(F.col("t").alias(c) for c in "lbr"))
     assert [x.t for x in A.forward_fill(r).orderBy("ord").collect()] == [None, 4, 4]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_running_values_over_ranges(spark, parts):
+    """However rows are dealt, numbers, fills and runs are those of one sorted list."""
+    rng = np.random.default_rng(parts)
+    rows = [(int(k), int(rng.integers(0, 3)), None if rng.random() < 0.6 else int(rng.integers(0, 99))) for k in rng.permutation(200)]
+    df = spark.createDataFrame(rows, "k long, c int, v int")
+    ordered = sorted(rows)
+    got = sorted((r.k, r.position) for r in B.numbered(df, "k", parts=parts).collect())
+    assert got == [(r[0], i) for i, r in enumerate(ordered)]
+    last, fill, runs, n = None, [], [], 0
+    for i, (k, c, v) in enumerate(ordered):
+        last = v if v is not None else last
+        n += i == 0 or ordered[i - 1][1] != c
+        fill.append((k, last))
+        runs.append((k, n))
+    assert sorted((r.k, r.f) for r in B.filled(df, F.col("v"), "k", name="f", parts=parts).collect()) == fill
+    assert sorted((r.k, r.n) for r in B.change_count(df, "c", "k", name="n", parts=parts).collect()) == runs
+    assert B.numbered(df.where("1 = 0"), "k", parts=parts).collect() == []
+    for groups in (1, 7, 199, 300):
+        sizes = {r.grp: r["count"] for r in A.balanced_split(df.select("k"), groups, "k").groupBy("grp").count().collect()}
+        want = [200 // groups + (g < 200 % groups) for g in range(groups)]
+        assert [sizes.get(g, 0) for g in range(groups)] == want
+    assert tuple(A.value_bounds(df, "k").first()) == (0, 199)
