@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import numbering
-from .pixels import BY
+from .pixels import BY, size
 
 
 def bin_of(v: Column, low: float, high: float, bins: int) -> Column:
@@ -55,7 +55,7 @@ def merge_stats(stats: DataFrame, nz: int, more: DataFrame) -> DataFrame:
     return stats.crossJoin(F.broadcast(new)).select(F.least("vmin", "a").alias("vmin"), F.greatest("vmax", "b").alias("vmax"), ((F.col("vmean") * nz + F.col("c")) / (nz + 1)).alias("vmean"))
 
 
-def foreground_area(px: DataFrame, ny: int, nx: int, background: int | None = None, by: Sequence[str] = BY) -> DataFrame:
+def foreground_area(px: DataFrame, ny: int | Column, nx: int | Column, background: int | None = None, by: Sequence[str] = BY) -> DataFrame:
     """(by..., t, l, b, r): the box of pixels that differ from the background.
 
     The background is ``background``, else the first pixel's value if the top
@@ -78,7 +78,7 @@ def foreground_area(px: DataFrame, ny: int, nx: int, background: int | None = No
         px = px.withColumn("bg", F.lit(background))
     fg = F.col("bg").isNull() | (v != F.col("bg"))
     box = px.groupBy(*by).agg(*(f(F.when(fg, c)).alias(k) for k, f, c in (("t", F.min, y), ("l", F.min, x), ("b", F.max, y), ("r", F.max, x))))
-    return box.select(*by, *(F.coalesce(k, F.lit(d)).cast("int").alias(k) for k, d in (("t", ny - 1), ("l", nx - 1), ("b", ny - 1), ("r", nx - 1))))
+    return box.select(*by, *(F.coalesce(F.col(k), size(d)).cast("int").alias(k) for k, d in (("t", ny - 1), ("l", nx - 1), ("b", ny - 1), ("r", nx - 1))))
 
 
 def distinct_values(px: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -10,9 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dtypes import image_type
 from ..functions.scratch import stored
 from .aggregates import bin_of, cdf, histogram, zero_filled
-from .pixels import BY
+from .pixels import BY, size
 
 
 def kernel(sigma: float, truncate: float = 4.0) -> list[float]:
@@ -23,7 +24,7 @@ def kernel(sigma: float, truncate: float = 4.0) -> list[float]:
     return [x / total for x in w]
 
 
-def _pass(px: DataFrame, axis: str, n: int, weights: list[float], by: Sequence[str], integral: bool) -> DataFrame:
+def _pass(px: DataFrame, axis: str, n: int | Column, weights: list[float], by: Sequence[str], integral: bool) -> DataFrame:
     """One axis of a separable filter: each line becomes one array, filtered in place.
 
     A line is grouped once and its pixels come out of the same row again, so a
@@ -35,8 +36,8 @@ def _pass(px: DataFrame, axis: str, n: int, weights: list[float], by: Sequence[s
 
     def at(i: Column) -> Column:
         """Half-sample symmetric reflection; period 2 n, so any radius works."""
-        k = F.pmod(i, F.lit(2 * n))
-        return F.element_at("line", F.when(k < n, k).otherwise(F.lit(2 * n - 1) - k) + 1)
+        k = F.pmod(i, size(n) * 2)
+        return F.element_at("line", F.when(k < n, k).otherwise(size(n) * 2 - 1 - k) + 1)
 
     def value(i: Column) -> Column:
         total = None
@@ -45,11 +46,11 @@ def _pass(px: DataFrame, axis: str, n: int, weights: list[float], by: Sequence[s
             total = term if total is None else total + term
         return F.floor(total).cast("double") if integral else total
 
-    out = line.withColumn("o", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), value))
+    out = line.withColumn("o", F.transform(F.sequence(F.lit(0), size(n) - 1), value))
     return out.select(*by, other, F.posexplode("o").alias(axis, "v"))
 
 
-def gauss_blur(px: DataFrame, ny: int, nx: int, sigma: float = 1.0, *, integral: bool = False, by: Sequence[str] = BY) -> DataFrame:
+def gauss_blur(px: DataFrame, ny: int | Column, nx: int | Column, sigma: float = 1.0, *, integral: bool = False, by: Sequence[str] = BY) -> DataFrame:
     """Gaussian blur along y, then x; integer images cut fractions after each pass."""
     if not sigma >= 0:
         raise ValueError("sigma must be 0 or more")
@@ -142,18 +143,25 @@ def relabel(px: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     return _by_section(px, relabel_array, by)
 
 
-def label_large(px: DataFrame, nx: int, by: Sequence[str] = BY) -> DataFrame:
-    """:func:`label` for sections too large for a task: minimum labels spread by joins.
+def label_count(labels: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """(by..., n): the number of components of each labelled section."""
+    return labels.groupBy(*by).agg(F.max("v").cast("long").alias("n"))
+
 
-    Runs along x merge first in one window, so rounds are bounded by bends
-    between runs, not by pixels.
+def _components(px: DataFrame, nx: int, by: Sequence[str], values: bool) -> tuple[DataFrame, DataFrame]:
+    """(by..., y, x, run, k) of pixels that aren't 0, and (by..., run, l): the first pixel of each run's component.
+
+    ``values``: only pixels of equal value ``k`` connect.  Runs along x merge
+    first in one window, so rounds are bounded by bends between runs, not by pixels.
     """
-    on = px.where(F.col("v") != 0).select(*by, "y", "x", (F.col("y").cast("long") * nx + F.col("x")).alias("p"))
+    value = F.col("v").cast("long") if values else F.lit(1).cast("long")
+    on = px.where(F.col("v") != 0).select(*by, "y", "x", (F.col("y").cast("long") * nx + F.col("x")).alias("p"), value.alias("k"))
     row = Window.partitionBy(*by, "y").orderBy("x")
-    on = on.withColumn("g", F.sum(F.when(F.col("x") - F.lag("x").over(row) == 1, 0).otherwise(1)).over(row.rowsBetween(Window.unboundedPreceding, 0)))
-    on = stored(on.withColumn("run", F.min("p").over(Window.partitionBy(*by, "y", "g"))).drop("g"), "runs")
-    below = on.select(*by, (F.col("y") - 1).alias("y"), "x", F.col("run").alias("other"))
-    half = on.join(below, [*by, "y", "x"]).select(*by, F.col("run").alias("a"), F.col("other").alias("b")).distinct()
+    goes_on = (F.col("x") - F.lag("x").over(row) == 1) & (F.col("k") == F.lag("k").over(row))
+    on = on.withColumn("goes_on", goes_on).withColumn("g", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(row.rowsBetween(Window.unboundedPreceding, 0)))
+    on = stored(on.withColumn("run", F.min("p").over(Window.partitionBy(*by, "y", "g"))).drop("g", "goes_on", "p"), "runs")
+    below = on.select(*by, (F.col("y") - 1).alias("y"), "x", "k", F.col("run").alias("other"))
+    half = on.join(below, [*by, "y", "x", "k"]).select(*by, F.col("run").alias("a"), F.col("other").alias("b")).distinct()
     edges = stored(half.unionByName(half.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     state = stored(on.select(*by, F.col("run").alias("a"), F.col("run").alias("l")).distinct(), "labels")
     while True:
@@ -165,12 +173,38 @@ def label_large(px: DataFrame, nx: int, by: Sequence[str] = BY) -> DataFrame:
         done = new.where("new < l").isEmpty()
         state = new.select(*by, "a", F.col("new").alias("l"))
         if done:
-            break
-    roots = state.select(*by, "l").distinct().withColumn("id", F.dense_rank().over(Window.partitionBy(*by).orderBy("l")))
-    named = on.join(state.withColumnRenamed("a", "run"), [*by, "run"]).join(roots, [*by, "l"]).select(*by, "y", "x", F.col("id").cast("long").alias("v"))
+            return on, state.withColumnRenamed("a", "run")
+
+
+def _named(px: DataFrame, on: DataFrame, state: DataFrame, numbers: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Every pixel with the number ``id`` of its component (by..., l, id), 0 without one."""
+    named = on.join(state, [*by, "run"]).join(numbers, [*by, "l"]).select(*by, "y", "x", F.col("id").cast("long").alias("v"))
     return px.select(*by, "y", "x").join(named, [*by, "y", "x"], "left").withColumn("v", F.coalesce("v", F.lit(0).cast("long")))
 
 
+def label_large(px: DataFrame, nx: int, by: Sequence[str] = BY) -> DataFrame:
+    """:func:`label` for sections too large for a task: minimum labels spread by joins."""
+    on, state = _components(px, nx, by, False)
+    numbers = state.select(*by, "l").distinct().withColumn("id", F.dense_rank().over(Window.partitionBy(*by).orderBy("l")))
+    return _named(px, on, state, numbers, by)
+
+
+def relabel_large(px: DataFrame, nx: int, by: Sequence[str] = BY) -> DataFrame:
+    """:func:`relabel` for sections too large for a task; the windows hold components, never pixels."""
+    on, state = _components(px, nx, by, True)
+    parts = on.select(*by, "run", "k").distinct().join(state, [*by, "run"]).select(*by, "l", "k").distinct()
+    section = Window.partitionBy(*by)
+    parts = parts.withColumns({"rank": F.dense_rank().over(section.orderBy("k")), "nth": F.row_number().over(Window.partitionBy(*by, "k").orderBy("l"))})
+    more = F.sum(F.when(F.col("nth") > 1, 1).otherwise(0)).over(section.orderBy("k", "l").rowsBetween(Window.unboundedPreceding, 0))
+    numbers = parts.withColumns({"most": F.max("rank").over(section), "more": more})
+    numbers = numbers.select(*by, "l", F.when(F.col("nth") == 1, F.col("rank")).otherwise(F.col("most") + F.col("more")).alias("id"))
+    return _named(px, on, state, numbers, by)
+
+
+#: Bins of a target histogram, which is broadcast, at most: as many as 16-bit images have values.
+MOST_TARGET_BINS = 1 << 16
+
+
 def equalisation_table(px: DataFrame, bins: int | None = None, target: DataFrame | None = None, *, high: int = 255, by: Sequence[str] = BY) -> DataFrame:
     """(by..., bin, out): the grey value for each of the 256 source bins.
 
@@ -191,7 +225,8 @@ def equalisation_table(px: DataFrame, bins: int | None = None, target: DataFrame
         k = target.count()
         all_ = Window.partitionBy(F.lit(0))
         goal = target.select(F.col("bin").alias("j"), (F.sum("n").over(all_.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(all_)).alias("share"))
-    # the target has k rows by construction: a bounded broadcast
+    if k > MOST_TARGET_BINS:
+        raise ValueError(f"a target histogram may have {MOST_TARGET_BINS} bins, not {k}")
     pairs = source.crossJoin(F.broadcast(goal)).where(F.col("size") * F.col("share") - F.col("cum") + F.col("tol") >= -F.col("size") * F.lit(2.0**-26))
     return pairs.groupBy(*by, "bin").agg(F.min("j").alias("j")).select(*by, "bin", F.rint(F.col("j") * F.lit(float(high)) / (k - 1)).cast("int").alias("out"))
 
@@ -203,4 +238,16 @@ def equalise(px: DataFrame, bins: int | None = None, target: DataFrame | None =
     return px.withColumn("bin", index).join(table, [*by, "bin"]).withColumn("v", F.col("out")).drop("bin", "out").select(*px.columns)
 
 
-__all__ = ["bin_of", "equalisation_table", "equalise", "gauss_blur", "kernel", "label", "label_array", "label_large", "relabel", "relabel_array"]
+def equalise_type(px: DataFrame, dtype: str, bins: int | None = None, target: DataFrame | None = None, *, by: Sequence[str] = BY) -> DataFrame:
+    """:func:`equalise` for any integer type up to 16 bits; signed values count as the unsigned ones with their bits."""
+    t = image_type(dtype)
+    if not t.integral or t.high - t.low not in (255, 65535) or dtype == "rgb24":
+        raise ValueError(f"can't equalise {dtype} images")
+    high = t.high - t.low
+    if not t.low:
+        return equalise(px, bins, target, high=high, by=by)
+    bits = px.withColumn("v", F.pmod(F.col("v").cast("int"), F.lit(high + 1)))
+    return equalise(bits, bins, target, high=high, by=by).withColumn("v", F.when(F.col("v") > t.high, F.col("v") - (high + 1)).otherwise(F.col("v")))
+
+
+__all__ = ["bin_of", "equalisation_table", "equalise", "equalise_type", "gauss_blur", "kernel", "label", "label_array", "label_count", "label_large", "relabel", "relabel_array", "relabel_large"]

@@ -12,11 +12,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dtypes import image_type
+from ..functions.dtypes import UNSIGNED, image_type
 
 BY = ("z",)
 
 
+def size(n: int | Column) -> Column:
+    """A number of rows or columns: one for all sections, or a key column of each."""
+    return n if isinstance(n, Column) else F.lit(n)
+
+
 def threshold(px: DataFrame, t: int = 1) -> DataFrame:
     """True where v >= t; a negative or zero ``t`` selects v < -t instead."""
     return px.withColumn("v", F.col("v") >= t if t > 0 else F.col("v") < -t)
@@ -45,8 +50,17 @@ def to_float(px: DataFrame, dtype: str, to: tuple[float, float] = (0.0, 1.0), by
     return px.join(ends, list(by)).withColumn("v", (F.col("v").cast("double") - F.col("lo")) * k + F.lit(float(to[0]))).drop("lo", "hi")
 
 
-def flip_up_down(px: DataFrame, ny: int) -> DataFrame:
-    return px.withColumn("y", F.lit(ny - 1) - F.col("y"))
+def labels_to_float(px: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """Labels 0..n of each section by the range of the narrowest type that holds n."""
+    top = px.groupBy(*by).agg(F.max("v").alias("top"))
+    span = F.lit(None).cast("double")
+    for name in reversed(UNSIGNED):
+        span = F.when(F.col("top") <= F.lit(str(int(image_type(name).high))).cast("decimal(20,0)"), F.lit(float(image_type(name).high))).otherwise(span)
+    return px.join(top.select(*by, span.alias("span")), list(by)).withColumn("v", F.col("v").cast("double") / F.col("span")).drop("span")
+
+
+def flip_up_down(px: DataFrame, ny: int | Column) -> DataFrame:
+    return px.withColumn("y", size(ny) - 1 - F.col("y"))
 
 
 def _edge(rect: Sequence[int] | None) -> tuple[Column, Column, Column, Column]:
@@ -65,15 +79,15 @@ def crop(px: DataFrame, rect: Sequence[int] | None = None) -> DataFrame:
     return out if rect is not None else out.drop("t", "l", "b", "r")
 
 
-def pad(px: DataFrame, t: int, l: int, b: int, r: int, ny: int, nx: int) -> DataFrame:
+def pad(px: DataFrame, t: int, l: int, b: int, r: int, ny: int | Column, nx: int | Column) -> DataFrame:
     """Zeros around: only the frame is generated, pixels just move."""
     moved = px.withColumns({"y": F.col("y") + t, "x": F.col("x") + l})
     keys = [c for c in px.columns if c not in ("y", "x", "v")]
-    inside = F.col("y").between(t, t + ny - 1) & F.col("x").between(l, l + nx - 1)
+    inside = F.col("y").between(t, size(ny) + (t - 1)) & F.col("x").between(l, size(nx) + (l - 1))
     frame = (
         px.where("y = 0 and x = 0").select(*keys)
-        .withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(ny + t + b - 1))))
-        .withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(nx + l + r - 1))))
+        .withColumn("y", F.explode(F.sequence(F.lit(0), size(ny) + (t + b - 1))))
+        .withColumn("x", F.explode(F.sequence(F.lit(0), size(nx) + (l + r - 1))))
         .where(~inside)
         .withColumn("v", F.lit(0).cast(px.schema["v"].dataType))
     )
@@ -88,28 +102,30 @@ def fill_background(px: DataFrame, rect: Sequence[int] | None = None, value: int
     return out if rect is not None else out.drop("t", "l", "b", "r")
 
 
-def mirror_background(px: DataFrame, rect: Sequence[int], ny: int, nx: int) -> DataFrame:
+def mirror_background(px: DataFrame, rect: Sequence[int] | None, ny: int | Column, nx: int | Column) -> DataFrame:
     """Outside the box, the pixel that lies symmetric to the nearest edge; corners reflect twice.
 
     Scatter, not gather: each inner pixel emits the places it fills, so there is
     no self-join.  A place whose reflection lies outside the box keeps its value.
+    The box is that of columns t, l, b, r if none is given.
     """
-    t, l, b, r = rect
+    t, l, b, r = _edge(rect)
 
-    def places(c: str, lo: int, hi: int, n: int) -> Column:
+    def places(c: str, lo: Column, hi: Column, n: int | Column) -> Column:
         """Where coordinate ``c`` appears: itself and its images across both edges."""
-        own, before, after = F.col(c), F.lit(2 * lo - 1) - F.col(c), F.lit(2 * hi + 1) - F.col(c)
-        out = F.array(own, F.when((before >= 0) & (before < lo), before), F.when((after > hi) & (after < n), after))
+        own, before, after = F.col(c), lo * 2 - 1 - F.col(c), hi * 2 + 1 - F.col(c)
+        out = F.array(own, F.when((before >= 0) & (before < lo), before), F.when((after > hi) & (after < size(n)), after))
         return F.filter(out, lambda p: p.isNotNull())
 
     inner = px.where(F.col("y").between(t, b) & F.col("x").between(l, r))
     spread = inner.withColumn("y", F.explode(places("y", t, b, ny))).withColumn("x", F.explode(places("x", l, r, nx)))
 
-    def reached(c: str, lo: int, hi: int) -> Column:
-        s = F.when(F.col(c) < lo, F.lit(2 * lo - 1) - F.col(c)).when(F.col(c) > hi, F.lit(2 * hi + 1) - F.col(c)).otherwise(F.col(c))
+    def reached(c: str, lo: Column, hi: Column) -> Column:
+        s = F.when(F.col(c) < lo, lo * 2 - 1 - F.col(c)).when(F.col(c) > hi, hi * 2 + 1 - F.col(c)).otherwise(F.col(c))
         return s.between(lo, hi)
 
-    return spread.unionByName(px.where(~(reached("y", t, b) & reached("x", l, r))))
+    out = spread.unionByName(px.where(~(reached("y", t, b) & reached("x", l, r))))
+    return out if rect is not None else out.drop("t", "l", "b", "r")
 
 
 def select_sections(px: DataFrame, spec: str, nz: int) -> DataFrame:
@@ -120,6 +136,31 @@ def select_sections(px: DataFrame, spec: str, nz: int) -> DataFrame:
     return px.where(F.col("z").isin(wanted))
 
 
+def slice_sections(px: DataFrame, start: int | None = None, stop: int | None = None, step: int = 1) -> DataFrame:
+    """Sections ``start`` to ``stop``, the latter left out, every ``step``-th; their numbers stay."""
+    if step < 1 or start is not None and start < 0 or stop is not None and stop < 0:
+        raise ValueError("start, stop and step must be positive")
+    first = start or 0
+    wanted = (F.col("z") >= first) & ((F.col("z") - first) % step == 0)
+    return px.where(wanted if stop is None else wanted & (F.col("z") < stop))
+
+
+def pair_sections(left: DataFrame, right: DataFrame, on: Sequence[str] = ("z", "y", "x"), names: tuple[str, str] = ("v", "label")) -> DataFrame:
+    """Images beside the labels, or other images, of the same number: the values of both."""
+    return left.select(*on, F.col("v").alias(names[0])).join(right.select(*on, F.col("v").alias(names[1])), list(on))
+
+
+def remove_all(px: DataFrame) -> DataFrame:
+    """No section left."""
+    return px.where(F.lit(False))
+
+
+def empty_header(header: DataFrame) -> DataFrame:
+    """The header of a stack whose sections were all removed: no sections, no statistics."""
+    zero = {c: F.lit(0.0) for c in ("zlen", "amin", "amax", "amean") if c in header.columns}
+    return header.withColumns({c: F.lit(0) for c in ("nz", "mz") if c in header.columns} | zero)
+
+
 def parse_selection(spec: str) -> list[int]:
     out: set[int] = set()
     for part in spec.split(","):

@@ -11,7 +11,7 @@ from lamella.operators import aggregates as A
 from lamella.operators import neighborhood as N
 from lamella.operators import numbering as B
 from lamella.operators import pixels as P
-from lamella.plans import chain
+from lamella.plans import chain as P_chain
 
 
 def image(spark, rows, kind="int"):
@@ -182,12 +182,12 @@ def test_narrowing():
 
 def test_chain(spark):
     px = image(spark, [[0, 0, 0], [0, 200, 0], [0, 0, 90]])
-    f = chain.parse([("-c", None), ("t", "100")], 3, 3)
+    f = P_chain.parse([("-c", None), ("t", "100")], 3, 3)
     assert array(px.transform(f)) == [[1, 0], [0, 0]]
-    assert array(px.transform(chain.compose([]))) == array(px)
+    assert array(px.transform(P_chain.compose([]))) == array(px)
     for bad in ([("sigma", "-1")], [("sigma", "nan")], [("nope", None)], [("pad", "1,2")]):
         with pytest.raises(ValueError):
-            chain.parse(bad, 3, 3)
+            P_chain.parse(bad, 3, 3)
 
 
 def test_forward_fill_keeps_leading_nulls(spark):
@@ -218,3 +218,83 @@ def test_running_values_over_ranges(spark, parts):
         want = [200 // groups + (g < 200 % groups) for g in range(groups)]
         assert [sizes.get(g, 0) for g in range(groups)] == want
     assert tuple(A.value_bounds(df, "k").first()) == (0, 199)
+
+
+def chain(spark, rows, options, dtype="byte", kind="int"):
+    return P_chain.parse(options, len(rows), len(rows[0]), dtype)(image(spark, rows, kind))
+
+
+def test_filters_after_a_crop_of_each_section(spark):
+    rows = [[0, 0, 0, 0], [0, 1, 2, 0], [0, 3, 4, 0], [0, 0, 0, 0]]
+    assert array(chain(spark, rows, [("c", None), ("f", None)])) == [[3, 4], [1, 2]]
+    assert array(chain(spark, rows, [("c", "."), ("p", "1,1,1,1")])) == [[0, 0, 0, 0], [0, 1, 2, 0], [0, 3, 4, 0], [0, 0, 0, 0]]
+    assert array(chain(spark, rows, [("c", None), ("p", "0,0,1,0"), ("f", None)])) == [[0, 0], [3, 4], [1, 2]]
+    blurred = array(chain(spark, [[float(v) for v in r] for r in rows], [("c", None), ("s", "1.0")], "float", "double"))
+    assert np.allclose(blurred, array(N.gauss_blur(image(spark, [[1.0, 2.0], [3.0, 4.0]], "double"), 2, 2, 1.0)))
+    assert array(chain(spark, rows, [("c", None), ("l", None)])) == [[1, 1], [1, 1]]
+    # a second found box is the first one again
+    assert array(chain(spark, rows, [("c", None), ("0", None)])) == [[0, 0], [0, 4]]
+    two = image(spark, rows).unionByName(image(spark, [[5, 5, 5, 5], [5, 5, 9, 5], [5, 5, 5, 5], [5, 5, 5, 5]]).withColumn("z", F.lit(1)))
+    got = P_chain.parse([("c", None), ("p", "1,0,0,0"), ("f", None)], 4, 4)(two)
+    assert array(got.where("z = 0")) == [[3, 4], [1, 2], [0, 0]] and array(got.where("z = 1")) == [[9], [0]]
+
+
+def test_types_follow_the_chain(spark):
+    assert array(chain(spark, [[0, 200]], [("t", "100"), ("F", None)])) == [[0, 1]]
+    assert array(chain(spark, [[0, 255]], [("F", None), ("F", None)])) == [[0, 1]]
+    assert np.allclose(array(chain(spark, [[0, 7, 0, 9, 0, 9]], [("r", None), ("F", None)])), [[0, 1 / 255, 0, 2 / 255, 0, 3 / 255]])
+    assert array(chain(spark, [[0, 7]], [("r", None), ("F", None)])) == [[0, 1]]
+    with pytest.raises(ValueError):
+        chain(spark, [[0, 255]], [("F", None), ("H", "64")])
+
+
+def test_files_of_boxes_and_histograms(spark, tmp_path):
+    (tmp_path / "boxes").write_text("0,0,0,1\n1 1 1 1\nnot a box\n0,0,1,1\n")
+    px = None
+    for z in range(4):
+        one = image(spark, [[1, 2], [3, 4]]).withColumn("z", F.lit(z * 2))
+        px = one if px is None else px.unionByName(one)
+    path = str(tmp_path / "boxes")
+    got = P_chain.parse([("0", path)], 2, 2)(px)
+    assert [array(got.where(F.col("z") == 2 * z)) for z in range(4)] == [[[1, 2], [0, 0]]] + [[[0, 0], [0, 4]]] * 3
+    got = P_chain.parse([("c", path), ("p", "0,1,0,0")], 2, 2)(px)
+    assert [array(got.where(F.col("z") == 2 * z)) for z in range(2)] == [[[0, 1, 2]], [[0, 4]]]
+    got = P_chain.parse([("m", path)], 2, 2)(px)
+    assert array(got.where("z = 0")) == [[1, 2], [1, 2]]
+    (tmp_path / "hist").write_text("".join(f"{1 + k % 7}\n" for k in range(100)))
+    v = image(spark, [[int(x) for x in row] for row in np.random.default_rng(1).integers(0, 256, (8, 8))])
+    target = spark.range(100).selectExpr("cast(id as int) as bin", "1 + id % 7 as n")
+    assert array(P_chain.parse([("H", str(tmp_path / "hist"))], 8, 8)(v)) == array(N.equalise(v, target=target))
+
+
+def test_signed_images_equalise_by_their_bits(spark):
+    v = np.random.default_rng(2).integers(-128, 128, (6, 7))
+    got = np.array(array(N.equalise_type(image(spark, v.tolist()), "sbyte")))
+    want = np.array(array(N.equalise(image(spark, (v % 256).tolist()))))
+    assert (got % 256 == want).all() and got.min() < 0
+    with pytest.raises(ValueError):
+        N.equalise_type(image(spark, [[1]]), "double")
+    with pytest.raises(ValueError):
+        N.equalise(image(spark, [[1]]), target=spark.range(70_000).selectExpr("id as bin", "1 as n"))
+
+
+def test_iterative_relabel(spark):
+    rng = np.random.default_rng(6)
+    v = rng.integers(0, 4, (11, 13))
+    px = image(spark, v.tolist())
+    got = N.relabel_large(px, 13)
+    assert array(got) == N.relabel_array(v).tolist()
+    assert N.label_count(got).first().n == N.relabel_array(v).max()
+
+
+def test_slices_pairs_and_removal(spark):
+    px = spark.range(10).selectExpr("cast(id as int) as z", "0 as y", "0 as x", "id as v")
+    assert sorted(r.z for r in P.slice_sections(px, 1, 8, 3).collect()) == [1, 4, 7]
+    assert sorted(r.z for r in P.slice_sections(px, step=4).collect()) == [0, 4, 8]
+    with pytest.raises(ValueError):
+        P.slice_sections(px, step=0)
+    pairs = P.pair_sections(px, px.where("z > 7").withColumn("v", -F.col("v")))
+    assert sorted((r.z, r.v, r.label) for r in pairs.collect()) == [(8, 8, -8), (9, 9, -9)]
+    assert P.remove_all(px).collect() == []
+    h = spark.createDataFrame([(5, 5, 5.0, 1.0, 2.0, 1.5, 4)], "nz int, mz int, zlen double, amin double, amax double, amean double, nx int")
+    assert tuple(P.empty_header(h).first()) == (0, 0, 0.0, 0.0, 0.0, 0.0, 4)
