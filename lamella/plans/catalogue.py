@@ -122,9 +122,10 @@ def overwrite_section(spark, d):
     return P.overwrite_sections(px, px.where("z = 4").withColumn("v", 255 - F.col("v")))
 
 
-@query(f"WITH {PX} SELECT z, y, x, v FROM px WHERE z < 8")
+@query(f"WITH {PX} SELECT z, y, x, v FROM px WHERE z < (SELECT max(z) - 1 FROM px)")
 def drop_tail(spark, d):
-    return P.drop_tail(X.byte(spark, d), 10, 2)
+    px = X.byte(spark, d)
+    return P.drop_tail(px, px.agg(F.max("z").alias("m")).first()["m"] + 1, 2)
 
 
 @query(f"WITH h AS ({HEADER}) SELECT 31 AS nx, 17 AS ny, 4 AS nz, xlen / mx * 31 AS xlen, ylen / my * 17 AS ylen, zlen / mz * 4 AS zlen, xorg - xlen / mx * 10 AS xorg, yorg - ylen / my * 4 AS yorg, zorg - zlen / mz * 2 AS zorg, xlen / mx AS spacing_x, 64 * 2.5::DOUBLE AS set_xlen FROM h")
@@ -175,10 +176,12 @@ def stack_stats(spark, d):
     return A.stack_stats(X.byte(spark, d)).withColumn("vmean", F.round("vmean", 9))
 
 
-@query(f"WITH {PX}, s AS (SELECT z, min(v) AS a, max(v) AS b, avg(v) AS c FROM px WHERE z < 6 GROUP BY z) SELECT min(a)::DOUBLE AS vmin, max(b)::DOUBLE AS vmax, round(avg(c), 9) AS vmean FROM s")
+@query(f"WITH {PX}, s AS (SELECT z, min(v) AS a, max(v) AS b, avg(v) AS c FROM px GROUP BY z) SELECT min(a)::DOUBLE AS vmin, max(b)::DOUBLE AS vmax, round(avg(c), 9) AS vmean FROM s")
 def append_stats(spark, d):
+    """All sections but the last, and that one appended."""
     px = X.byte(spark, d)
-    return A.merge_stats(A.stack_stats(px.where("z < 5")), 5, A.section_stats(px.where("z = 5"))).withColumn("vmean", F.round("vmean", 9))
+    last = px.agg(F.max("z").alias("m")).first()["m"]
+    return A.merge_stats(A.stack_stats(px.where(F.col("z") < last)), last, A.section_stats(px.where(F.col("z") == last))).withColumn("vmean", F.round("vmean", 9))
 
 
 @query(f"WITH {BORDERED} SELECT z, min(y) AS t, min(x) AS l, max(y) AS b, max(x) AS r FROM bd WHERE v <> 0 GROUP BY z")

@@ -18,14 +18,15 @@ USAGE = ("utime", "stime", "maxrss", "ixrss", "idrss", "isrss", "minflt", "majfl
 def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(file_ord, line_no, value) of the files in the order given.
 
-    ``line_no`` ascends with the lines of a file, with gaps: a split's first byte
-    and the place of the line in its split, so long files are read in parallel.
+    ``line_no`` ascends with the lines of a file, or of a folder of part files: the
+    file's name, the first byte of a split and the place of the line in its split,
+    so long files are read in parallel.
     """
     parts = []
     for k, p in enumerate(paths):
-        rows = spark.read.text(p).select("value", F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+        rows = spark.read.text(p).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
         place = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-        parts.append(rows.select(F.lit(k).alias("file_ord"), F.struct("start", place.alias("place")).alias("line_no"), F.rtrim(F.col("value"), F.lit("\r")).alias("value")))
+        parts.append(rows.select(F.lit(k).alias("file_ord"), F.struct("file", "start", place.alias("place")).alias("line_no"), F.rtrim(F.col("value"), F.lit("\r")).alias("value")))
     return reduce(DataFrame.unionByName, parts)
 
 

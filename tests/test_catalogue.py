@@ -2,7 +2,7 @@
 
 import pytest
 
-from lamella.plans import catalogue
+from lamella.plans import catalogue, catalogue_files  # noqa: F401
 
 
 def same(got, want):
