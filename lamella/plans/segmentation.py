@@ -16,6 +16,27 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Names of the external programs.
+MRC2STACK = "mrc2stack"
+CONV_IMG = "conv_img"
+GET_HISTOGRAM = "get_histogram"
+COMBINE_POINTS = "combine_points"
+IMODMOP = "imodmop"
+POINT2MODEL = "point2model"
+CHM_TRAIN = "CHM_train"
+CHM_TEST = "CHM_test"
+RF_TRAIN = "rf_train"
+RF_PREDICT = "rf_predict"
+GEN_TEXTON_DICT = "hnsGenTextonDict"
+CALCULATE_WATERSHED_THRESHOLD = "hnsCalculateWatershedThreshold"
+WATERSHED = "hnsWatershed"
+MERGE = "hnsMerge"
+GEN_MERGES = "hnsGenMerges"
+GEN_BOUNDARY_FEATURES = "hnsGenBoundaryFeatures"
+GEN_BOUNDARY_LABELS = "hnsGenBoundaryLabels"
+SEGMENT = "hnsSegment"
+GEN_ORDERED_CONTOURS = "hnsGenOrderedContours"
+
 MB, GB = 1 << 20, 1 << 30
 TRAIN, FULL = "train", "full"
 
@@ -123,7 +144,7 @@ class Stage:
 def masks(model: str, stack: str, out: str, contract: float, *, colour: bool) -> list[str]:
     """Arguments that paint a model's contours over a stack: coloured, or inverted in black and white."""
     kind = ["-color", "-mask", "255"] if colour else ["-mask", "1", "-invert", "-mode", "0"]
-    return ["imodmop", *kind, *(["-pad", f"{-contract:g}"] if contract else []), model, stack, out]
+    return [IMODMOP, *kind, *(["-pad", f"{-contract:g}"] if contract else []), model, stack, out]
 
 
 def stages(train: Stack, model: str, full: Stack, out: str, o: Options) -> list[Stage]:
@@ -138,45 +159,45 @@ def stages(train: Stack, model: str, full: Stack, out: str, o: Options) -> list[
     from_hist = ["histogram.txt"] if o.histeq else []
 
     plan = [
-        Stage("mrc2stack", None, ["-etif", train.path, "train_raw"], [train.path], [All("train.raw")], (), 1, base + 2 * train.volume),
-        Stage("mrc2stack", None, ["-emha", blur, "-F", train.path, "train_smooth"], [train.path], [All("train.smooth")], ("sigma",), 1, base + train.volume + 4 * train.pixels),
-        Stage("mrc2stack", None, ["-etif", *hist, full.path, "full_raw"], [full.path, *from_hist], [All("full.raw")], ("histeq",), 1, base + 2 * full.volume),
-        Stage("mrc2stack", None, ["-emha", *hist, blur, "-F", full.path, "full_smooth"], [full.path, *from_hist], [All("full.smooth")], ("sigma", "histeq"), 1, base + full.volume + 4 * full.pixels),
-        Stage("imodmop", None, masks(model, train.path, "mask.mrc", o.contract, colour=False)[1:], [model, train.path], ["mask.mrc"], ("contract",), 1, base + train.volume + train.pixels),
-        Stage("imodmop", None, masks(model, train.path, "labels.mrc", o.contract, colour=True)[1:], [model, train.path], ["labels.mrc"], ("contract",), 1, base + train.volume + 3 * train.pixels),
-        Stage("mrc2stack", None, ["-etif", "mask.mrc", "train_mask"], ["mask.mrc"], [All("train.mask")], (), 1, base + 2 * train.pixels),
-        Stage("mrc2stack", None, ["-emha", "-r", "labels.mrc", "train_labels"], ["labels.mrc"], [All("train.labels")], (), 1, base + 7 * train.pixels),
-        Stage("CHM_train", None, [f"train_raw/####.tif;0-{train.nz - 1}", f"train_mask/####.tif;0-{train.nz - 1}", "-m", "chm", "-S", str(o.chm_nstage), "-L", str(o.chm_nlevel)], [All("train.raw"), All("train.mask")], [All("train.chm"), *nets], ("chm_nstage", "chm_nlevel"), max(o.jobs - most, 1), 75 * GB),
-        Stage("CHM_test", FULL, [Of("full.raw"), "full_chm", "-s", "-m", "chm", "-b", f"{train.nx}x{train.ny}", "-o", "{}x{}".format(*o.chm_overlap)], [Of("full.raw"), *nets], [Of("full.chm")], ("chm_overlap",), 1, 10 * GB),
+        Stage(MRC2STACK, None, ["-etif", train.path, "train_raw"], [train.path], [All("train.raw")], (), 1, base + 2 * train.volume),
+        Stage(MRC2STACK, None, ["-emha", blur, "-F", train.path, "train_smooth"], [train.path], [All("train.smooth")], ("sigma",), 1, base + train.volume + 4 * train.pixels),
+        Stage(MRC2STACK, None, ["-etif", *hist, full.path, "full_raw"], [full.path, *from_hist], [All("full.raw")], ("histeq",), 1, base + 2 * full.volume),
+        Stage(MRC2STACK, None, ["-emha", *hist, blur, "-F", full.path, "full_smooth"], [full.path, *from_hist], [All("full.smooth")], ("sigma", "histeq"), 1, base + full.volume + 4 * full.pixels),
+        Stage(IMODMOP, None, masks(model, train.path, "mask.mrc", o.contract, colour=False)[1:], [model, train.path], ["mask.mrc"], ("contract",), 1, base + train.volume + train.pixels),
+        Stage(IMODMOP, None, masks(model, train.path, "labels.mrc", o.contract, colour=True)[1:], [model, train.path], ["labels.mrc"], ("contract",), 1, base + train.volume + 3 * train.pixels),
+        Stage(MRC2STACK, None, ["-etif", "mask.mrc", "train_mask"], ["mask.mrc"], [All("train.mask")], (), 1, base + 2 * train.pixels),
+        Stage(MRC2STACK, None, ["-emha", "-r", "labels.mrc", "train_labels"], ["labels.mrc"], [All("train.labels")], (), 1, base + 7 * train.pixels),
+        Stage(CHM_TRAIN, None, [f"train_raw/####.tif;0-{train.nz - 1}", f"train_mask/####.tif;0-{train.nz - 1}", "-m", "chm", "-S", str(o.chm_nstage), "-L", str(o.chm_nlevel)], [All("train.raw"), All("train.mask")], [All("train.chm"), *nets], ("chm_nstage", "chm_nlevel"), max(o.jobs - most, 1), 75 * GB),
+        Stage(CHM_TEST, FULL, [Of("full.raw"), "full_chm", "-s", "-m", "chm", "-b", f"{train.nx}x{train.ny}", "-o", "{}x{}".format(*o.chm_overlap)], [Of("full.raw"), *nets], [Of("full.chm")], ("chm_overlap",), 1, 10 * GB),
     ]
     if o.histeq:
-        plan.append(Stage("get_histogram", None, [All("train.raw"), "histogram.txt"], [All("train.raw")], ["histogram.txt"], ("histeq",), 1, base + 2 * train.volume))
+        plan.append(Stage(GET_HISTOGRAM, None, [All("train.raw"), "histogram.txt"], [All("train.raw")], ["histogram.txt"], ("histeq",), 1, base + 2 * train.volume))
     for s, flag in ((TRAIN, []), (FULL, ["-F"])):
         chm, prob, smooth = (Of(f"{s}.{k}") for k in ("chm", "prob", "prob_smooth"))
-        plan.append(Stage("conv_img", s, [*flag, chm, prob], [chm], [prob], (), 1, base + 6 * ram[s].pixels))
+        plan.append(Stage(CONV_IMG, s, [*flag, chm, prob], [chm], [prob], (), 1, base + 6 * ram[s].pixels))
         copy = Stage("cp", s, [prob, smooth], [prob], [smooth], ("sigma",), 1, base)
-        plan.append(Stage("conv_img", s, [blur, *flag, chm, smooth], [chm], [smooth], ("sigma",), 1, base + 6 * ram[s].pixels) if o.sigma else copy)
-    plan.append(Stage("hnsGenTextonDict", None, [All(("-v", "train.smooth"), ("-l", "train.labels")), "textures.ssv"], [All("train.smooth"), All("train.labels")], ["textures.ssv"], (), most))
+        plan.append(Stage(CONV_IMG, s, [blur, *flag, chm, smooth], [chm], [smooth], ("sigma",), 1, base + 6 * ram[s].pixels) if o.sigma else copy)
+    plan.append(Stage(GEN_TEXTON_DICT, None, [All(("-v", "train.smooth"), ("-l", "train.labels")), "textures.ssv"], [All("train.smooth"), All("train.labels")], ["textures.ssv"], (), most))
     known = o.water_lvl is not None
     if not known:
-        plan.append(Stage("hnsCalculateWatershedThreshold", None, ["0", str(train.nz - 1), "train_prob_smooth/%04d.mha", "train_labels/%04d.mha", *merge], [All("train.prob_smooth"), All("train.labels")], [level], ("water_lvl", *limits), 4))
+        plan.append(Stage(CALCULATE_WATERSHED_THRESHOLD, None, ["0", str(train.nz - 1), "train_prob_smooth/%04d.mha", "train_labels/%04d.mha", *merge], [All("train.prob_smooth"), All("train.labels")], [level], ("water_lvl", *limits), 4))
     for s in (TRAIN, FULL):
         smooth, first, merged, tree, saliency, raw, prob, found = (Of(f"{s}.{k}") for k in ("prob_smooth", "first", "merged", "tree", "saliency", "smooth", "prob", "features"))
         plan += [
-            Stage("hnsWatershed", s, [smooth, f"{o.water_lvl:g}" if known else level, first], [smooth] if known else [smooth, level], [first], ("water_lvl",)),
-            Stage("hnsMerge", s, [first, smooth, *merge, merged], [first, smooth], [merged], limits),
-            Stage("hnsGenMerges", s, [merged, smooth, tree, saliency], [merged, smooth], [tree, saliency]),
-            Stage("hnsGenBoundaryFeatures", s, [merged, tree, saliency, raw, prob, "textures.ssv", found], [merged, tree, saliency, raw, prob, "textures.ssv"], [found]),
+            Stage(WATERSHED, s, [smooth, f"{o.water_lvl:g}" if known else level, first], [smooth] if known else [smooth, level], [first], ("water_lvl",)),
+            Stage(MERGE, s, [first, smooth, *merge, merged], [first, smooth], [merged], limits),
+            Stage(GEN_MERGES, s, [merged, smooth, tree, saliency], [merged, smooth], [tree, saliency]),
+            Stage(GEN_BOUNDARY_FEATURES, s, [merged, tree, saliency, raw, prob, "textures.ssv", found], [merged, tree, saliency, raw, prob, "textures.ssv"], [found]),
         ]
     truth = [Of("train.merged"), Of("train.tree"), Of("train.labels")]
-    plan.append(Stage("hnsGenBoundaryLabels", TRAIN, [*truth, Of("train.truth")], truth, [Of("train.truth")]))
-    plan.append(Stage("rf_train", None, [All(("-f", "train.features"), ("-l", "train.truth")), str(o.num_trees), str(o.mtry), f"{o.samp_size:g}", "1", "forest"], [All("train.features"), All("train.truth")], ["forest"], ("num_trees", "mtry", "samp_size")))
+    plan.append(Stage(GEN_BOUNDARY_LABELS, TRAIN, [*truth, Of("train.truth")], truth, [Of("train.truth")]))
+    plan.append(Stage(RF_TRAIN, None, [All(("-f", "train.features"), ("-l", "train.truth")), str(o.num_trees), str(o.mtry), f"{o.samp_size:g}", "1", "forest"], [All("train.features"), All("train.truth")], ["forest"], ("num_trees", "mtry", "samp_size")))
     done = [Of("full.merged"), Of("full.tree"), Of("full.predicted")]
     plan += [
-        Stage("hnsSegment", FULL, [*done, Of("full.segments")], done, [Of("full.segments")]),
-        Stage("hnsGenOrderedContours", FULL, [Of("full.segments"), Z, Of("full.points")], [Of("full.segments")], [Of("full.points")]),
-        Stage("combine_points", None, [All("full.points"), "all.pts"], [All("full.points")], ["all.pts"]),
-        Stage("point2model", None, ["-im", full.path, "all.pts", out], [full.path, "all.pts"], [out]),
+        Stage(SEGMENT, FULL, [*done, Of("full.segments")], done, [Of("full.segments")]),
+        Stage(GEN_ORDERED_CONTOURS, FULL, [Of("full.segments"), Z, Of("full.points")], [Of("full.segments")], [Of("full.points")]),
+        Stage(COMBINE_POINTS, None, [All("full.points"), "all.pts"], [All("full.points")], ["all.pts"]),
+        Stage(POINT2MODEL, None, ["-im", full.path, "all.pts", out], [full.path, "all.pts"], [out]),
     ]
     return plan
 
@@ -230,8 +251,8 @@ def plan(spark: SparkSession, train: Stack, model: str, full: Stack, out: str, o
     first = F.col("z") * size + F.least("z", F.lit(more))
     own = F.sequence(first, first + size - 1 + (F.col("z") < more).cast("int"))
     both = All(("-f", "full.features"), ("-p", "full.predicted"))
-    predict = Stage("rf_predict", None, ["forest", "1", both], ["forest", All("full.features")], [All("full.predicted")])
-    parts.append(_rows("rf_predict", spark.range(groups).select(F.col("id").cast("int").alias("z")), predict, sizes, own))
+    predict = Stage(RF_PREDICT, None, ["forest", "1", both], ["forest", All("full.features")], [All("full.predicted")])
+    parts.append(_rows(RF_PREDICT, spark.range(groups).select(F.col("id").cast("int").alias("z")), predict, sizes, own))
     rows = reduce(DataFrame.unionByName, parts)
     return rows.select(F.concat_ws(" ", "args").alias("task"), F.col("args")[0].alias("program"), "*")
 
