@@ -162,7 +162,7 @@ def brute_clean(rows):
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_against_every_pair(spark, seed):
     """Short, blank, indented, repeated and clause-cut lines; both ways to reach the texts."""
     rng = random.Random(100 + seed)
@@ -173,7 +173,7 @@ def test_against_every_pair(spark, seed):
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = brute_clean(rows)
-    for bounds in ({}, {"broadcast_rows": 0}, {"broadcast_spans": 0}):
+    for bounds in ({}, {"broadcast_rows": 0}, {"broadcast_spans": 0}) if seed == 0 else ({},):
         got = {r.doc_id: (r.lamella_lines, r.lamella_removed, r.text) for r in L.clean(df, **bounds).collect()}
         assert got == want
 
