@@ -30,7 +30,7 @@ BORDERED = PX + """,
 bd AS (SELECT z, y, x, CASE WHEN y < 5 OR y > 44 OR x < 7 OR x > 56 THEN 0 ELSE v END AS v FROM px)"""
 LAB = PX + """,
 lab AS (SELECT z, y, x, CASE WHEN v >= 145 THEN (v // 4) % 3 + 1 ELSE 0 END AS v FROM px)"""
-HEADER = "SELECT 64 AS mx, 50 AS my, 10 AS mz, 128.0::DOUBLE AS xlen, 75.0::DOUBLE AS ylen, 40.0::DOUBLE AS zlen, 1.0::DOUBLE AS xorg, 2.0::DOUBLE AS yorg, 3.0::DOUBLE AS zorg"
+HEADER = "SELECT (max(x) + 1)::INT AS mx, (max(y) + 1)::INT AS my, (max(z) + 1)::INT AS mz, (max(x) + 1) * 2.0::DOUBLE AS xlen, (max(y) + 1) * 1.5::DOUBLE AS ylen, (max(z) + 1) * 4.0::DOUBLE AS zlen, 1.0::DOUBLE AS xorg, 2.0::DOUBLE AS yorg, 3.0::DOUBLE AS zorg FROM px"
 
 
 def query(sql: str, name: str | None = None):  # noqa: ANN201
@@ -42,8 +42,11 @@ def query(sql: str, name: str | None = None):  # noqa: ANN201
     return add
 
 
-def header(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(*(F.lit(v).alias(k) for k, v in (("nx", 64), ("ny", 50), ("nz", 10), ("mx", 64), ("my", 50), ("mz", 10), ("xlen", 128.0), ("ylen", 75.0), ("zlen", 40.0), ("xorg", 1.0), ("yorg", 2.0), ("zorg", 3.0))), F.array(F.rpad(F.lit("first"), 80, " ")).alias("labels"))
+def header(spark: SparkSession, d: str) -> DataFrame:
+    """The header that the table's stack would have, with spacings 2, 1.5 and 4."""
+    h = X.byte(spark, d).agg(*((F.max(a) + 1).alias(f"n{a}") for a in "xyz"))
+    h = h.withColumns({f"m{a}": F.col(f"n{a}") for a in "xyz"} | {f"{a}org": F.lit(o) for a, o in zip("xyz", (1.0, 2.0, 3.0), strict=True)})
+    return P.set_spacing(h, 2.0, 1.5, 4.0).withColumn("labels", F.array(F.rpad(F.lit("first"), 80, " ")))
 
 
 # Projections and filters.
@@ -128,18 +131,19 @@ def drop_tail(spark, d):
     return P.drop_tail(px, px.agg(F.max("z").alias("m")).first()["m"] + 1, 2)
 
 
-@query(f"WITH h AS ({HEADER}) SELECT 31 AS nx, 17 AS ny, 4 AS nz, xlen / mx * 31 AS xlen, ylen / my * 17 AS ylen, zlen / mz * 4 AS zlen, xorg - xlen / mx * 10 AS xorg, yorg - ylen / my * 4 AS yorg, zorg - zlen / mz * 2 AS zorg, xlen / mx AS spacing_x, 64 * 2.5::DOUBLE AS set_xlen FROM h")
+@query(f"WITH {PX}, h AS ({HEADER}) SELECT 31 AS nx, 17 AS ny, 4 AS nz, xlen / mx * 31 AS xlen, ylen / my * 17 AS ylen, zlen / mz * 4 AS zlen, xorg - xlen / mx * 10 AS xorg, yorg - ylen / my * 4 AS yorg, zorg - zlen / mz * 2 AS zorg, xlen / mx AS spacing_x, mx * 2.5::DOUBLE AS set_xlen FROM h")
 def spacing_header(spark, d):
-    h = header(spark)
+    h = header(spark, d)
     v = P.view_header(h, (10, 40), (4, 20), (2, 5)).select("nx", "ny", "nz", "xlen", "ylen", "zlen", "xorg", "yorg", "zorg")
     return v.crossJoin(P.spacing(h).select("spacing_x")).crossJoin(P.set_spacing(h, 2.5, 1.0, 1.0).select(F.col("xlen").alias("set_xlen")))
 
 
-@query("SELECT i::INT AS pos, rpad('label ' || (i + 3), 80, ' ') AS label FROM range(10) t(i)")
+@query("WITH l AS (SELECT n_name AS label, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) SELECT (i - (SELECT max(i) FROM l) + 9)::INT AS pos, rpad(label, 80, ' ') AS label FROM l WHERE i > (SELECT max(i) FROM l) - 10")
 def header_labels(spark, d):
-    h = header(spark)
-    for k in range(13):
-        h = P.add_label(h, f"label {k}")
+    """A label for each nation, added in turn: the last ten stay."""
+    h = header(spark, d)
+    for r in X.table(spark, d, "nation").orderBy("n_nationkey").collect():  # 25 rows
+        h = P.add_label(h, r["n_name"])
     return h.select(F.posexplode("labels").alias("pos", "label"))
 
 

@@ -21,6 +21,16 @@ def numbered(paths: DataFrame, column: str = "path") -> DataFrame:
     return paths.drop("z").join(names, column)
 
 
+def listed(spark: SparkSession, inputs: str | Sequence[str]) -> DataFrame:
+    """(ord, path) of the files that each input names, inputs in the order given; no file is read."""
+    from functools import reduce
+
+    parts = [spark.read.format("binaryFile").load(p).select(F.lit(k).alias("ord"), "path") for k, p in enumerate([inputs] if isinstance(inputs, str) else inputs)]
+    if not parts:
+        raise ValueError("no input")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def stack_to_images(spark: SparkSession, stack: str, folder: str, *, select: str | None = None, x: tuple[int, int] | None = None, y: tuple[int, int] | None = None, filters: Options = (), dtype: str | None = None, name: str = "%04d.mha") -> int:
     """Sections of an MRC stack as image files; ``select`` like ``3,5-9``, boxes include both ends.
 
@@ -44,14 +54,20 @@ def stack_to_images(spark: SparkSession, stack: str, folder: str, *, select: str
     return metaimage.write(sections.to_sections(px, dtype or head.dtype), folder, name)
 
 
-def images_to_stack(spark: SparkSession, images: str, stack: str, *, filters: Options = (), dtype: str | None = None) -> None:
-    """Image files, in the order of their paths, as one MRC stack."""
-    df = metaimage.read(spark, images).drop("z")
-    first = df.select("ny", "nx", "dtype").first()
+def images_to_stack(spark: SparkSession, images: str | Sequence[str], stack: str, *, filters: Options = (), dtype: str | None = None) -> None:
+    """Image files as one MRC stack: inputs in the order given, the files of a pattern by their paths."""
+    inputs = [images] if isinstance(images, str) else list(images)
+    z = numbering.numbered(listed(spark, inputs), "ord", "path", name="z").select("ord", "path", F.col("z").cast("int").alias("z"))
+    head = metaimage.read(spark, inputs[0]).select("ny", "nx", "dtype")
+    first = head.first()
     if first is None:
         raise ValueError(f"no image at {images}")
     mrc.register(spark)
-    px = sections.to_pixels(numbered(df)).transform(chain.parse(filters, first.ny, first.nx, first.dtype))
+    parts = [metaimage.read(spark, p).drop("z").join(z.where(F.col("ord") == k), "path").drop("ord") for k, p in enumerate(inputs)]
+    df = parts[0]
+    for more in parts[1:]:
+        df = df.unionByName(more)
+    px = sections.to_pixels(df).transform(chain.parse(filters, first.ny, first.nx, first.dtype))
     sections.to_sections(px, dtype or first.dtype).write.format("mrc").mode("append").option("path", stack).save()
 
 

@@ -50,6 +50,16 @@ def write(path: str, data: bytes) -> None:
     store.move(part, at)
 
 
+def append(path: str, data: bytes) -> None:
+    """``data`` behind what the file holds; stores that can't append write the whole file anew."""
+    store, at = locate(path)
+    if isinstance(store, fs.LocalFileSystem):
+        with open(at, "ab") as f:
+            f.write(data)
+    else:
+        write(path, (read(path) if exists(path) else b"") + data)
+
+
 def remove(path: str) -> None:
     store, at = locate(path)
     kind = store.get_file_info(at).type

@@ -16,6 +16,13 @@ def test_stack_and_images(spark, tmp_path):
     back = str(tmp_path / "back.mrc")
     commands.images_to_stack(spark, folder, back)
     assert mrc.read_header(back).fields["nz"] == 2
+    # inputs keep the order given, the files of a pattern that of their paths
+    both = str(tmp_path / "both.mrc")
+    commands.images_to_stack(spark, [folder + "/0002.mha", folder + "/*.mha"], both)
+    found = {r.z: bytes(r.pixels) for r in mrc.read(spark, both).collect()}
+    assert found[0] == found[2] == got["0002"].tobytes() and found[1] == got["0000"].tobytes() and len(found) == 3
+    with pytest.raises(ValueError):
+        commands.listed(spark, [])
     h = {r.bin: r.n for r in commands.histogram(spark, folder).collect()}
     assert len(h) == 256 and sum(h.values()) == 12
     assert commands.convert(spark, f"{folder}/0000.mha", str(tmp_path / "one"), filters=[("thresh", "3")], dtype="byte") == 1
