@@ -232,9 +232,19 @@ def test_fit_on_pages(spark, data, model):
     got = {r.page_id: r.text for r in html_model.extract(pages).collect()}
     want = {k: f"{('text %d of many words ' % k) * 12}".strip() + f"\nshort {k}" for k, _, _ in rng_pages}
     assert got == want
+    fitted = html_model.fit(pages)
+    assert fitted.own["n:zzmenu"] < 0 and fitted.own["n:zzfoot"] < 0 < fitted.own["n:zzbody"] and "n:zzmenu" not in model.own
     empty = html_model.fit(pages.where("1 = 0"))
     assert empty.own == model.own and html_model.extract(pages.where("1 = 0")).collect() == []
     fitted = html_model.fit(read(spark, data, "pages"), bound=50)
+    # what the sample adds takes nothing from other pages
+    import random
+
+    rng, right = random.Random(99), []
+    for _ in range(200):
+        nodes = html_model.labelled_page(rng)
+        right += [(p > 0.5) == bool(x.label) for x, p in zip(nodes, fitted.marginals(nodes), strict=True)]
+    assert sum(right) / len(right) > 0.98
     for r in read(spark, data, "pages").collect():
         assert fitted.extract(r.html) == model.extract(r.html)
 
