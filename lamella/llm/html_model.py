@@ -5,9 +5,9 @@ node's features (tag, class words, link density, text length) give its own
 potential and each edge couples parent and child; messages passed once upward
 and once downward give every node's exact marginal.  All potentials are
 smoothed counts from labelled pages: pages that a seeded generator makes with
-their labels, and a sample of the pages themselves, labelled in part by what
-repeats across them, by links and by long text; where that says nothing, the
-marginals given the rest are the labels.
+their labels, and all the pages themselves, labelled in part by what repeats
+across them, by links and by long text; where that says nothing, the marginals
+given the rest are the labels.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, small_batches, texts
+from .common import map_arrow, small_batches, stored, texts
 
 #: A tag ends at the first > outside quoted values.  A quote that is never closed, or
 #: whose value runs over a > into something that can't follow a value, is no quote.
@@ -209,13 +209,18 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
-def features(node: Node, whole: tuple[int, int]) -> list[str]:
+@lru_cache(maxsize=1 << 14)
+def feature_names(tag: str, own: bool, size: int, links: int, names: tuple[str, ...]) -> tuple[str, ...]:
+    return (f"t:{tag}{'+' if own else ''}", f"s:{size}", f"l:{links}", *(f"n:{x}" for x in names))
+
+
+def features(node: Node, whole: tuple[int, int]) -> tuple[str, ...]:
     """Of an element with ``whole`` = (characters, characters inside links) of its subtree."""
     chars, linked = whole
     share = linked / chars if chars else 0.0
     size = 0 if not chars else 1 if chars < 25 else 2 if chars < 120 else 3 if chars < 600 else 4
-    own = "+" if node.chars and node.parent < 0 else ""  # bare text below no element at all
-    return [f"t:{node.tag}{own}", f"s:{size}", f"l:{0 if share < 0.1 else 1 if share < 0.5 else 2}", *(f"n:{x}" for x in node.names)]
+    own = node.chars > 0 and node.parent < 0  # bare text below no element at all
+    return feature_names(node.tag, own, size, 0 if share < 0.1 else 1 if share < 0.5 else 2, node.names)
 
 
 def totals(nodes: list[Node]) -> list[tuple[int, int]]:
@@ -230,11 +235,27 @@ def totals(nodes: list[Node]) -> list[tuple[int, int]]:
 @dataclass
 class Model:
     """Log potentials: ``own`` by feature (content minus not), ``edge`` by child tag as
-    log P(child | parent) in rows (parent) of two."""
+    log P(child | parent) in rows (parent) of two.
+
+    ``rest`` has the numbers (key, w) of features and, as "e:" and the tag, edges that
+    are too many to hold; pages get theirs by a join.
+    """
 
     own: dict[str, float]
     edge: dict[str, tuple[tuple[float, float], tuple[float, float]]]
     prior: float
+    rest: DataFrame | None = None
+
+    def absent(self, nodes: list[Node]) -> set[str]:
+        """What ``rest`` may know of a page."""
+        keys = {f for x, w in zip(nodes, totals(nodes), strict=True) for f in features(x, w) if f not in self.own}
+        return keys | {f"e:{x.tag}" for x in nodes if x.tag not in self.edge}
+
+    def joined(self, found: dict[str, list[float]]) -> Model:
+        """With what ``rest`` has for a page."""
+        own = {k: w[0] for k, w in found.items() if len(w) == 1}
+        edge = {k[2:]: ((w[0], w[1]), (w[2], w[3])) for k, w in found.items() if len(w) == 4}
+        return Model(ChainMap(own, self.own), ChainMap(edge, self.edge), self.prior)
 
     def marginals(self, nodes: list[Node], evidence: np.ndarray | float = 0.0) -> np.ndarray:
         """P(content) of each node by sum-product: one pass up, one down.
@@ -332,12 +353,18 @@ class Counts:
             self.edge[k] = self.edge.get(k, 0) + weight * v
         self.count = self.count + weight * other.count
 
-    def model(self) -> Model:
+    def log_ratio(self, other: float, content: float) -> float:
         n = self.count + 1
-        logs = {f: float(np.log((self.own[1][f] + 0.5) / (n[1] + 1)) - np.log((self.own[0][f] + 0.5) / (n[0] + 1))) for f in {*self.own[0], *self.own[1]}}
+        return float(np.log((content + 0.5) / (n[1] + 1)) - np.log((other + 0.5) / (n[0] + 1)))
+
+    def model(self) -> Model:
+        logs = {f: self.log_ratio(self.own[0][f], self.own[1][f]) for f in {*self.own[0], *self.own[1]}}
         edge = {"*": np.zeros((2, 2))} | self.edge
-        rows = {k: tuple(tuple(float(v) for v in r / r.sum()) for r in c + 1) for k, c in edge.items()}
-        return Model(logs, rows, 0.0)
+        return Model(logs, {k: transitions(c) for k, c in edge.items()}, 0.0)
+
+
+def transitions(count: np.ndarray) -> tuple[tuple[float, float], tuple[float, float]]:
+    return tuple(tuple(float(v) for v in r / r.sum()) for r in count + 1)
 
 
 def train(pages: list[list[Node]]) -> Model:
@@ -468,20 +495,27 @@ def default_model(n_pages: int = GENERATED, seed: int = SEED) -> Model:
 #: Log odds that a sign of content or of its opposite adds.
 SIGN = 3.0
 LONG_TEXT = 120
+#: A node in the sums over the table: whole numbers, for which no order of adding matters.
+UNIT = 1 << 30
+#: Different sums that a task holds at once.
+MOST_SUMS = 50_000
+#: Repeated blocks, and features and tags, that are broadcast; beyond, pages are joined with theirs.
+MOST_BLOCKS, MOST_KEYS = 4_000_000, 200_000
 
 
 def block_hashes(nodes: list[Node]) -> list[int]:
     """A hash of each node's own text, 0 if it has none."""
     import xxhash
 
-    own = (BLANK.sub(" ", "".join(p for p in x.parts if isinstance(p, str))).strip() for x in nodes)
+    # a node without characters holds only blanks
+    own = (" ".join("".join([p for p in x.parts if isinstance(p, str)]).split()) if x.chars else "" for x in nodes)
     return [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 if t else 0 for t in own]
 
 
-def signs(nodes: list[Node], repeated: set[int]) -> np.ndarray:
+def signs(nodes: list[Node], hashes: list[int], repeated: set[int]) -> np.ndarray:
     """What speaks for content (long text without links) and against it (text of other pages, links)."""
     out = np.zeros(len(nodes))
-    for i, (x, h, (chars, linked)) in enumerate(zip(nodes, block_hashes(nodes), totals(nodes), strict=True)):
+    for i, (x, h, (chars, linked)) in enumerate(zip(nodes, hashes, totals(nodes), strict=True)):
         if h in repeated or chars and linked > 0.5 * chars:
             out[i] = -SIGN
         elif x.chars >= LONG_TEXT and x.linked < 0.1 * x.chars:
@@ -489,60 +523,161 @@ def signs(nodes: list[Node], repeated: set[int]) -> np.ndarray:
     return out
 
 
-def fit(pages: DataFrame, *, bound: int = 2000, least_pages: int = 3, share: float = 0.1, seed: int = 7) -> Model:
-    """The generated pages' counts, joined by those of about ``bound`` pages at most.
+def among(hashes: list[int], ordered: np.ndarray) -> set[int]:
+    """Those of ``hashes`` that ``ordered`` holds."""
+    if not len(ordered):
+        return set()
+    found = np.array(hashes, np.int64)
+    return set(found[ordered[np.minimum(np.searchsorted(ordered, found), len(ordered) - 1)] == found].tolist())
 
-    Pages are sampled by a hash of their id and url and count ``share`` of the
-    generated ones together.  A block of text on ``least_pages`` of them or more
-    is repeated.  Without pages this is :func:`default_model`.
-    """
-    spark = pages.sparkSession
-    small_batches(spark)
-    rows = pages.select("html", F.pmod(F.xxhash64("page_id", "url", F.lit(seed)), F.lit(1 << 30)).alias("place")).where("html is not null")
-    total = pages.count()
-    if total > bound:
-        rows = rows.where(F.col("place") < int(bound / total * (1 << 30)))
-    rows = rows.select("html")
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [h for t in texts(batch.column("html")) for h in {*block_hashes(parse(t))} - {0}]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["h"])
 
-    # both collected tables are bounded by the sample
-    often = rows.mapInArrow(hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages).select("h").toArrow()
-    repeated = set(often.column("h").to_pylist())
+class Sums:
+    """What :class:`Counts` counts, in whole numbers of 1 / UNIT and as rows (key, a, b, c, d):
+    of a feature not and content, of "e:" and a tag, or * for all, the four of parent and child."""
+
+    def __init__(self) -> None:
+        self.own: dict[tuple[str, ...], list[int]] = {}
+        self.edge: dict[str, list[int]] = {}
+
+    def __len__(self) -> int:
+        return len(self.own) + len(self.edge)
+
+    def add(self, nodes: list[Node], content: np.ndarray) -> None:
+        p = [round(x * UNIT) for x in content.tolist()]
+        for x, w, one in zip(nodes, totals(nodes), p, strict=True):
+            sums = self.own.setdefault(features(x, w), [0, 0])
+            sums[0] += UNIT - one
+            sums[1] += one
+            if x.parent >= 0:
+                above = p[x.parent]
+                both = above * one // UNIT
+                sums = self.edge.setdefault(x.tag, [0, 0, 0, 0])
+                sums[0] += UNIT - above - one + both
+                sums[1] += one - both
+                sums[2] += above - both
+                sums[3] += both
+
+    def rows(self) -> pa.RecordBatch:
+        out: dict[str, list[int]] = {}
+        for names, (a, b) in self.own.items():
+            for f in set(names):
+                sums = out.setdefault(f, [0, 0, 0, 0])
+                sums[0] += a
+                sums[1] += b
+        for tag, four in self.edge.items():
+            out[f"e:{tag}"] = four
+        out["e:*"] = [sum(x) for x in zip(*self.edge.values(), strict=True)] or [0, 0, 0, 0]
+        columns = zip(*out.values(), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=[*"kabcd"])
+
+
+def counted(rows: pa.Table) -> Counts:
+    """Rows of :class:`Sums` as counts."""
+    out = Counts()
+    for k, a, b, c, d in zip(*(rows.column(x).to_pylist() for x in "kabcd"), strict=True):
+        if k.startswith("e:"):
+            out.edge[k[2:]] = np.array([[a, b], [c, d]]) / UNIT
+            continue
+        out.own[0][k], out.own[1][k] = a / UNIT, b / UNIT
+        if k.startswith("s:"):  # every node has one size
+            out.count += (a / UNIT, b / UNIT)
+    return out
+
+
+def block_rows(rows: DataFrame) -> DataFrame:
+    """(page, h) for each block of text of ``rows`` (html, page)."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [(p, h) for t, p in zip(texts(batch.column("html")), batch.column("page").to_pylist(), strict=True) for h in {*block_hashes(parse(t))} - {0}]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["page", "h"])
+
+    return map_arrow(rows, run, "page long, h long").distinct()
+
+
+def fit(pages: DataFrame, *, bound: int | None = None, least_pages: int = 3, share: float = 0.1, seed: int = 7, most_blocks: int = MOST_BLOCKS, most_keys: int = MOST_KEYS) -> Model:
+    """The generated pages' counts, joined by those of all ``pages`` with a html.
+
+    The pages count ``share`` of the generated ones together.  A block of text on
+    ``least_pages`` different pages or more is repeated.  Without pages this is
+    :func:`default_model`.  With ``bound``, about so many pages at most are looked
+    at, by a hash of their id and url.  ``most_blocks`` and ``most_keys`` bound what
+    is broadcast, not what counts.
+    """
+    small_batches(pages.sparkSession)
+    rows = pages.where("html is not null")
+    if bound is not None and (total := pages.count()) > bound:
+        rows = rows.where(F.pmod(F.xxhash64("page_id", "url", F.lit(seed)), F.lit(1 << 30)) < int(bound / total * (1 << 30)))
+    rows = rows.select("html", F.xxhash64("html").alias("page"))
+    blocks = block_rows(rows)
+    often = stored(blocks.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages).select("h"), "blocks")
+    if often.count() <= most_blocks:
+        repeated = np.sort(often.toArrow().column("h").to_numpy())
+    else:
+        repeated = None
+        marks = blocks.join(often, "h", "left_semi").groupBy("page").agg(F.collect_list("h").alias("marks"))
+        rows = rows.join(marks, "page", "left").select("html", "marks")
     base = default_model()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pickle
-
-        counts = Counts()
+        sums = Sums()
         for batch in batches:
-            for t in texts(batch.column("html")):
+            marks = None if repeated is not None else batch.column("marks").to_pylist()
+            for i, t in enumerate(texts(batch.column("html"))):
                 nodes = parse(t)
-                counts.add(nodes, base.marginals(nodes, signs(nodes, repeated)))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(counts)], pa.binary())], names=["counts"])
+                hashes = block_hashes(nodes)
+                known = among(hashes, repeated) if marks is None else set(marks[i] or ())
+                sums.add(nodes, base.marginals(nodes, signs(nodes, hashes, known)))
+            if len(sums) > MOST_SUMS:
+                yield sums.rows()
+                sums = Sums()
+        if len(sums):
+            yield sums.rows()
+
+    sums = rows.mapInArrow(count, "k string, a long, b long, c long, d long").groupBy("k").agg(*(F.sum(F.col(x).cast("decimal(20,0)")).cast("double").alias(x) for x in "abcd"))
+    sums = stored(sums, "sums")
+    whole = sums.count() <= most_keys
+    made = generated()
+    held = sums if whole else sums.where(F.substring("k", 1, 2).isin("s:", "l:") | F.col("k").isin([*made.own[0], *made.own[1], *(f"e:{k}" for k in made.edge)]))
+    found = counted(held.toArrow())
+    out = Counts()
+    out.merge(made)
+    if not found.count.sum():
+        return out.model()
+    weight = share * made.count.sum() / found.count.sum()
+    out.merge(found, weight)
+    if whole:
+        return out.model()
+    scale, total = weight / UNIT, Counts(count=out.count)
 
-    import pickle
+    def weigh(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = zip(*(batch.column(x).to_pylist() for x in "kabcd"), strict=True)
+        w = [[*np.ravel(transitions(np.array([[a, b], [c, d]]) * scale))] if k.startswith("e:") else [total.log_ratio(a * scale, b * scale)] for k, a, b, c, d in rows]
+        return pa.RecordBatch.from_arrays([batch.column("k"), pa.array(w, pa.list_(pa.float64()))], names=["key", "w"])
 
-    sample = Counts()
-    for r in rows.mapInArrow(count, "counts binary").collect():
-        sample.merge(pickle.loads(r["counts"]))
-    out = Counts()
-    out.merge(generated())
-    if sample.count.sum():
-        out.merge(sample, share * generated().count.sum() / sample.count.sum())
-    return out.model()
+    return replace(out.model(), rest=map_arrow(sums.join(held.select("k"), "k", "left_anti"), weigh, "key string, w array<double>"))
 
 
 def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """page_id, url, text and n_chars for each row of ``pages``; a null html is an empty page."""
     model = model or fit(pages)
+    held = replace(model, rest=None)
+    pages = pages.select("page_id", "url", "html")
+
+    def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [(p, k) for t, p in zip(texts(batch.column("html")), batch.column("page").to_pylist(), strict=True) for k in held.absent(parse(t))]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string())], names=["page", "key"])
+
+    if model.rest is not None:
+        pages = pages.withColumn("page", F.xxhash64("html"))
+        found = map_arrow(pages.select("html", "page"), keys, "page long, key string").distinct().join(model.rest, "key")
+        pages = pages.join(found.groupBy("page").agg(F.collect_list(F.struct("key", "w")).alias("found")), "page", "left").drop("page")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [model.extract(t) for t in texts(batch.column("html"))]
+        if "found" in batch.schema.names:
+            known = ({x["key"]: x["w"] for x in row or ()} for row in batch.column("found").to_pylist())
+            found = [held.joined(k).extract(t) for t, k in zip(texts(batch.column("html")), known, strict=True)]
+        else:
+            found = [held.extract(t) for t in texts(batch.column("html"))]
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    small_batches(pages.sparkSession)
-    return map_arrow(pages.select("page_id", "url", "html"), run, "page_id long, url string, text string, n_chars long")
+    return map_arrow(pages, run, "page_id long, url string, text string, n_chars long")

@@ -249,6 +249,59 @@ def test_fit_on_pages(spark, data, model):
         assert fitted.extract(r.html) == model.extract(r.html)
 
 
+def many_pages(n):
+    """Pages with a class name and a custom tag of their own; blocks on two, three and all pages; copies of one page."""
+    letters = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(3))
+    out = [(k, f"u{k}", f"<html><body><div class='zz{letters(k)}'><a href='/'>Home</a> all</div><x-{letters(k)}>pair {k // 2}</x-{letters(k)}><div class='qq{letters(k // 3)}'>three {k // 3}</div><p>{f'text {k} of many words ' * (k % 9)}</p></body></html>") for k in range(n)]
+    return out + [(n + k, None, "<div class='copied'>the same</div>") for k in range(5)] + [(None, None, None), (n, "v", "")]
+
+
+def test_fit_counts_every_page(spark):
+    """More pages than a sample had: the model against plain counting, whatever the partitions."""
+    import numpy as np
+
+    rows = many_pages(2400)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    fitted = html_model.fit(pages)
+    assert sum(k.startswith("n:zz") for k in fitted.own) == 2400
+    htmls = [h for _, _, h in rows if h is not None]
+    on = {}
+    for h in set(htmls):
+        for x in {*html_model.block_hashes(html_model.parse(h))} - {0}:
+            on[x] = on.get(x, 0) + 1
+    repeated = {x for x, n in on.items() if n >= 3}
+    assert len(repeated) == 1 + 800  # copies of a page are one page
+    base, sample, want = html_model.default_model(), html_model.Counts(), html_model.Counts()
+    for h in htmls:
+        nodes = html_model.parse(h)
+        sample.add(nodes, base.marginals(nodes, html_model.signs(nodes, html_model.block_hashes(nodes), repeated)))
+    want.merge(html_model.generated())
+    want.merge(sample, 0.1 * html_model.generated().count.sum() / sample.count.sum())
+    want = want.model()
+    assert fitted.own.keys() == want.own.keys() and fitted.edge.keys() == want.edge.keys()
+    assert all(abs(fitted.own[k] - v) < 1e-6 for k, v in want.own.items())
+    assert all(np.allclose(fitted.edge[k], v, atol=1e-6) for k, v in want.edge.items())
+    again = html_model.fit(pages.repartition(7))
+    assert again.own == fitted.own and again.edge == fitted.edge
+
+
+def test_numbers_by_join(spark):
+    """Blocks, features and tags beyond what is broadcast reach pages by joins: same numbers, same texts."""
+    pages = spark.createDataFrame(many_pages(300), "page_id long, url string, html string")
+    fitted = html_model.fit(pages)
+    for bounds in ({"most_blocks": 0}, {"most_blocks": 0, "most_keys": 0}):
+        joined = html_model.fit(pages.repartition(5), **bounds)
+        assert (joined.rest is not None) == ("most_keys" in bounds)
+        if joined.rest is not None:
+            assert "n:zzaaa" not in joined.own and "x-aaa" not in joined.edge
+            joined_all = joined.joined({r["key"]: r["w"] for r in joined.rest.collect()})
+            assert dict(joined_all.own) == fitted.own and dict(joined_all.edge) == fitted.edge
+        else:
+            assert joined.own == fitted.own and joined.edge == fitted.edge
+        key = lambda r: (r.page_id or 0, r.url or "", r.text)
+        assert sorted(html_model.extract(pages, joined).collect(), key=key) == sorted(html_model.extract(pages, fitted).collect(), key=key)
+
+
 def test_marginals_are_exact(model):
     """Sum-product against the sum over all labelings of a small tree."""
     import itertools
