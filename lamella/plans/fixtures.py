@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import stored
+
 NY, NX = 50, 64
 
 
@@ -23,13 +25,37 @@ def byte(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir).withColumn("v", v)
 
 
+def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(z, y) of the vectors that sections lack: the last section, or any, may have fewer than fifty."""
+    e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / NY).cast("int").alias("z"), (F.col("vec_id") % NY).cast("int").alias("y"))
+    short = e.groupBy("z").agg(F.collect_set("y").alias("ys")).where(F.size("ys") < NY)
+    return short.select("z", F.explode(F.array_except(F.sequence(F.lit(0), F.lit(NY - 1)), "ys")).alias("y"))
+
+
+def whole(px: DataFrame, sf_dir: str) -> DataFrame:
+    """``px`` and a pixel without a value for each that its sections lack: files, frames and boxes take whole sections."""
+    x = F.explode(F.sequence(F.lit(0), F.lit(NX - 1))).alias("x")
+    return px.unionByName(missing(px.sparkSession, sf_dir).select("z", "y", x, F.lit(None).cast(px.schema["v"].dataType).alias("v")))
+
+
+def held(px: DataFrame, sf_dir: str, y: Column | None = None) -> DataFrame:
+    """Pixels of vectors that the table has, of sections that were made whole; ``y`` is where a filter moved row y."""
+    gone = missing(px.sparkSession, sf_dir)
+    gone = stored(gone if y is None else gone.withColumn("y", y.cast("int")), "missing")  # its size is known: few rows are broadcast
+    return px.join(gone, ["z", "y"], "left_anti").select(px.columns)
+
+
 def short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte(spark, sf_dir).withColumn("v", F.col("v") * 257 - 32768)
 
 
-def bordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+def framed(px: DataFrame, value: float = 0) -> DataFrame:
     frame = (F.col("y") < 5) | (F.col("y") > 44) | (F.col("x") < 7) | (F.col("x") > 56)
-    return byte(spark, sf_dir).withColumn("v", F.when(frame, 0).otherwise(F.col("v")))
+    return px.withColumn("v", F.when(frame, value).otherwise(F.col("v")))
+
+
+def bordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return framed(byte(spark, sf_dir))
 
 
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -215,7 +215,10 @@ ORDERS = {"little": "<", "big": ">"}
 
 
 class MrcWriter(DataSourceWriter):
-    """Sections must have one shape and type and z from 0 without gaps; option ``endian``: little or big."""
+    """Sections must have one shape and type and z from 0 without gaps; option ``endian``: little or big.
+
+    Columns vmin, vmax and vmean, if there, are the sections' statistics for the header; else those of all pixels are taken.
+    """
 
     def __init__(self, options: dict, overwrite: bool) -> None:
         self.path = options["path"]
@@ -253,8 +256,12 @@ class MrcWriter(DataSourceWriter):
                         left, to = left[n:], to + n
                 else:
                     out.write(data)
-                v = v.astype(np.float64)
-                found.append((r["z"], r["ny"], r["nx"], r["dtype"], at, len(data), float(v.min()), float(v.max()), float(v.mean())))
+                if "vmean" in r:
+                    ends = r["vmin"], r["vmax"], r["vmean"]
+                else:
+                    v = v.astype(np.float64)
+                    ends = float(v.min()), float(v.max()), float(v.mean())
+                found.append((r["z"], r["ny"], r["nx"], r["dtype"], at, len(data), *ends))
                 at += len(data)
         finally:
             os.close(out) if self.in_place else out.close()
