@@ -11,6 +11,7 @@ from test_catalogue import same
 NAMES = [
     "command_stack_to_images",
     "image_file_list",
+    "image_file_pattern",
 ]
 
 
