@@ -13,6 +13,7 @@ NAMES = [
     "image_file_list",
     "image_file_pattern",
     "mrc_big_endian",
+    "mrc_header_fields",
 ]
 
 
