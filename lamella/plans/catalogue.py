@@ -430,8 +430,8 @@ def relabel4(spark, d):
 def mrc_roundtrip(spark, d):
     mrc.register(spark)
     path = scratch_path(spark, "stack.mrc").removeprefix("file://")
-    sections.to_sections(X.byte(spark, d), "byte").write.format("mrc").mode("append").option("path", path).save()
-    return sections.to_pixels(spark.read.format("mrc").load(path).where("z between 2 and 7"))
+    sections.to_sections(X.whole(X.byte(spark, d), d), "byte", stats=True).write.format("mrc").mode("append").option("path", path).save()
+    return X.held(sections.to_pixels(spark.read.format("mrc").load(path).where("z between 2 and 7")), d)
 
 
 @query(f"WITH {PX} SELECT z, y, x, (v * 257 - 32768)::DOUBLE AS v FROM px")

@@ -15,6 +15,7 @@ NAMES = [
     "mrc_big_endian",
     "mrc_header_fields",
     "mrc_point",
+    "mrc_roundtrip",
 ]
 
 
