@@ -16,6 +16,7 @@ NAMES = [
     "mrc_header_fields",
     "mrc_point",
     "mrc_roundtrip",
+    "mrc_shape",
 ]
 
 
