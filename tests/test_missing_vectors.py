@@ -19,6 +19,7 @@ NAMES = [
     "mrc_shape",
     "mrc_step",
     "mrc_volume",
+    "remove_all",
 ]
 
 
