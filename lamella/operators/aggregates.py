@@ -61,7 +61,7 @@ def foreground_area(px: DataFrame, ny: int | Column, nx: int | Column, backgroun
     The background is ``background``, else the first pixel's value if the top
     row or left column is constant, else the last pixel's if the bottom row or
     right column is; else the box is the whole image.  All background: the last
-    pixel.  Both aggregates are partial sums per section.
+    pixel.  A pixel without a value differs from it.  Both aggregates are partial sums per section.
     """
     v, y, x = F.col("v"), F.col("y"), F.col("x")
     if background is None:
@@ -76,7 +76,7 @@ def foreground_area(px: DataFrame, ny: int | Column, nx: int | Column, backgroun
         px = px.join(found, list(by))
     else:
         px = px.withColumn("bg", F.lit(background))
-    fg = F.col("bg").isNull() | (v != F.col("bg"))
+    fg = F.col("bg").isNull() | ~v.eqNullSafe(F.col("bg"))
     box = px.groupBy(*by).agg(*(f(F.when(fg, c)).alias(k) for k, f, c in (("t", F.min, y), ("l", F.min, x), ("b", F.max, y), ("r", F.max, x))))
     return box.select(*by, *(F.coalesce(F.col(k), size(d)).cast("int").alias(k) for k, d in (("t", ny - 1), ("l", nx - 1), ("b", ny - 1), ("r", nx - 1))))
 

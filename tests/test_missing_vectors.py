@@ -20,6 +20,7 @@ NAMES = [
     "mrc_step",
     "mrc_volume",
     "remove_all",
+    "chain_autocrop_flip",
 ]
 
 
