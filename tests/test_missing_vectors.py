@@ -21,6 +21,7 @@ NAMES = [
     "mrc_volume",
     "remove_all",
     "chain_autocrop_flip",
+    "chain_autocrop_pad",
 ]
 
 
