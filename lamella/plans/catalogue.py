@@ -445,7 +445,7 @@ def mha_roundtrip(spark, d):
 @query(f"WITH {PX}, f AS (SELECT z, 49 - y AS y, x, v FROM px), c AS (SELECT z, y - 5 AS y, x - 7 AS x, v FROM f WHERE y BETWEEN 5 AND 44 AND x BETWEEN 7 AND 56), g AS (SELECT z, y::INT AS y, x::INT AS x FROM (SELECT DISTINCT z FROM px), range(42) a(y), range(52) b(x)) SELECT g.z, g.y, g.x, coalesce(c.v, 0) >= 128 AS v FROM g LEFT JOIN c ON c.z = g.z AND c.y = g.y - 1 AND c.x = g.x - 1")
 def chain_demo(spark, d):
     options = [("flip", None), ("crop", "5,7,44,56"), ("pad", "1,1,1,1"), ("thresh", "128")]
-    return X.byte(spark, d).transform(chain.parse(options, NY, NX))
+    return X.whole(X.byte(spark, d), d, 0).transform(chain.parse(options, NY, NX))
 
 
 @query(f"WITH {PX} SELECT y, x, v::DOUBLE AS v FROM px WHERE z = 0")

@@ -32,10 +32,10 @@ def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return short.select("z", F.explode(F.array_except(F.sequence(F.lit(0), F.lit(NY - 1)), "ys")).alias("y"))
 
 
-def whole(px: DataFrame, sf_dir: str) -> DataFrame:
-    """``px`` and a pixel without a value for each that its sections lack: files, frames and boxes take whole sections."""
+def whole(px: DataFrame, sf_dir: str, value: int | None = None) -> DataFrame:
+    """``px`` and a pixel of ``value`` (or none) for each that its sections lack: files, frames and boxes take whole sections."""
     x = F.explode(F.sequence(F.lit(0), F.lit(NX - 1))).alias("x")
-    return px.unionByName(missing(px.sparkSession, sf_dir).select("z", "y", x, F.lit(None).cast(px.schema["v"].dataType).alias("v")))
+    return px.unionByName(missing(px.sparkSession, sf_dir).select("z", "y", x, F.lit(value).cast(px.schema["v"].dataType).alias("v")))
 
 
 def held(px: DataFrame, sf_dir: str, y: Column | None = None) -> DataFrame:

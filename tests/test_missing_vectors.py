@@ -23,6 +23,7 @@ NAMES = [
     "chain_autocrop_flip",
     "chain_autocrop_pad",
     "chain_autocrop_sigma",
+    "chain_demo",
 ]
 
 
