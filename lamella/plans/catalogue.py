@@ -90,7 +90,7 @@ def crop_auto(spark, d):
 
 @query(f"WITH {PX}, g AS (SELECT z, y::INT AS y, x::INT AS x FROM (SELECT DISTINCT z FROM px), range(55) a(y), range(71) b(x)) SELECT g.z, g.y, g.x, coalesce(px.v, 0) AS v FROM g LEFT JOIN px ON px.z = g.z AND px.y = g.y - 2 AND px.x = g.x - 3")
 def pad_fixed(spark, d):
-    return P.pad(X.byte(spark, d), 2, 3, 3, 4, NY, NX)
+    return P.pad(X.whole(X.byte(spark, d), d, 0), 2, 3, 3, 4, NY, NX)
 
 
 @query(f"WITH {PX} SELECT z, y, x, CASE WHEN y BETWEEN 5 AND 44 AND x BETWEEN 7 AND 56 THEN v ELSE 0 END AS v FROM px")

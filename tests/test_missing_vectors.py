@@ -26,6 +26,7 @@ NAMES = [
     "chain_demo",
     "command_images_to_stack",
     "image_tags",
+    "pad_fixed",
 ]
 
 
