@@ -49,7 +49,8 @@ def tables(data, tmp_path_factory):
 @pytest.mark.parametrize("name", NAMES)
 def test_missing_vectors(spark, tables, name):
     folder, con = tables
-    same(catalogue.QUERIES[name](spark, folder).toPandas(), con.sql(catalogue.ORACLES[name]).df())
+    got, want = catalogue.QUERIES[name](spark, folder).toPandas(), con.sql(catalogue.ORACLES[name]).df()
+    same(got.convert_dtypes(), want.convert_dtypes())  # a null makes a column of integers one of floats
 
 
 def test_long_numbers(spark, data, tmp_path):
